@@ -82,6 +82,42 @@ def polygon_contains(x: Column, y: Column, rings: Column, boundary: bool = False
     return (edge | inside_even_odd(x, y, rings)) if boundary else (~edge & inside_even_odd(x, y, rings))
 
 
+def _clamped_integral(e: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Integral over y of one edge's abscissa clamped to ``[x0, x1]``, y limited to ``[y0, y1]``."""
+    width = x1 - x0
+    clamp = lambda v, lo, hi: F.least(F.greatest(v, lo), hi)
+    primitive = lambda u: F.when(u <= 0, 0.0).when(u < width, u * u / 2).otherwise(width * u - width * width / 2)
+
+    def ends(v: Column) -> Column:
+        slope = F.when(e["yb"] != e["ya"], (e["xb"] - e["xa"]) / (e["yb"] - e["ya"])).otherwise(0.0)
+        at = lambda y: e["xa"] + (y - e["ya"]) * slope - x0
+        return F.struct(at(v["lo"]).alias("a"), at(v["hi"]).alias("b"), (v["hi"] - v["lo"]).alias("h"))
+
+    def mean(v: Column) -> Column:
+        a, b = v["a"], v["b"]
+        low, high = F.least(a, b), F.greatest(a, b)
+        return v["h"] * (
+            F.when(high <= 0, 0.0).when(low >= width, width).when((low >= 0) & (high <= width), (a + b) / 2)
+            .otherwise((primitive(b) - primitive(a)) / (b - a))
+        )
+
+    limits = F.struct(clamp(e["ya"], y0, y1).alias("lo"), clamp(e["yb"], y0, y1).alias("hi"))
+    return _let(_let(limits, ends), mean)
+
+
+def clipped_area(rings: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Area of a simple polygon inside a rectangle by Green's formula; no clipped ring is built."""
+    def ring(r: Column) -> Column:
+        edges = F.filter(
+            ring_edges(r),
+            lambda e: (e["ya"] != e["yb"]) & (F.greatest(e["ya"], e["yb"]) > y0) & (F.least(e["ya"], e["yb"]) < y1),
+        )
+        return F.abs(F.aggregate(edges, F.lit(0.0), lambda acc, e: acc + _clamped_integral(e, x0, y0, x1, y1)))
+
+    areas = F.transform(rings, ring)
+    return F.aggregate(F.slice(areas, F.lit(2), F.greatest(F.size(areas) - 1, F.lit(0))), areas[0], lambda acc, a: acc - a)
+
+
 def to_wkt(rings: Column) -> Column:
     """``POLYGON`` text, for sinks that want a geometry column."""
     ring = lambda r: F.concat(
@@ -166,20 +202,32 @@ def _tm_origin(crs: TransverseMercator) -> tuple[float, float]:
     return radius, radius * crs.k0 * xi
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``; keeps nested formulas from repeating."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tm_forward(lon: Column, lat: Column, crs: TransverseMercator = NATIONAL_TM) -> Column:
     """Degrees to metres as ``struct<x,y>``."""
     e, n = _ellipsoid(crs.rf)
     radius, m0 = _tm_origin(crs)
-    dlon = F.radians(lon - crs.lon0)
-    t = _conformal_tan(F.radians(lat), e)
-    xi0 = F.atan2(t, F.cos(dlon))
-    eta0 = F.asinh(F.sin(dlon) / F.sqrt(t * t + F.cos(dlon) * F.cos(dlon)))
-    xi, eta = xi0, eta0
-    for j, a in enumerate(_alpha(n), start=1):
-        xi = xi + a * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
-        eta = eta + a * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
     scale = crs.k0 * radius
-    return F.struct((eta * scale + crs.fe).alias("x"), (xi * scale - m0 + crs.fn).alias("y"))
+
+    def sphere(v: Column) -> Column:
+        xi0 = F.atan2(v["t"], F.cos(v["d"]))
+        eta0 = F.asinh(F.sin(v["d"]) / F.sqrt(v["t"] * v["t"] + F.cos(v["d"]) * F.cos(v["d"])))
+        return F.struct(xi0.alias("xi"), eta0.alias("eta"))
+
+    def series(v: Column) -> Column:
+        xi, eta = v["xi"], v["eta"]
+        for j, a in enumerate(_alpha(n), start=1):
+            xi = xi + a * F.sin(2 * j * v["xi"]) * F.cosh(2 * j * v["eta"])
+            eta = eta + a * F.cos(2 * j * v["xi"]) * F.sinh(2 * j * v["eta"])
+        return F.struct((eta * scale + crs.fe).alias("x"), (xi * scale - m0 + crs.fn).alias("y"))
+
+    tangent = _let(F.radians(lat), lambda phi: _conformal_tan(phi, e))
+    start = F.struct(tangent.alias("t"), F.radians(lon - crs.lon0).alias("d"))
+    return _let(_let(start, sphere), series)
 
 
 def tm_inverse(x: Column, y: Column, crs: TransverseMercator = NATIONAL_TM) -> Column:
@@ -187,25 +235,33 @@ def tm_inverse(x: Column, y: Column, crs: TransverseMercator = NATIONAL_TM) -> C
     e, n = _ellipsoid(crs.rf)
     radius, m0 = _tm_origin(crs)
     scale = crs.k0 * radius
-    xi, eta = (y - crs.fn + m0) / scale, (x - crs.fe) / scale
-    xi0, eta0 = xi, eta
-    for j, b in enumerate(_beta(n), start=1):
-        xi0 = xi0 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        eta0 = eta0 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    lon = F.degrees(F.atan2(F.sinh(eta0), F.cos(xi0))) + crs.lon0
-    target = F.sin(xi0) / F.sqrt(F.sinh(eta0) * F.sinh(eta0) + F.cos(xi0) * F.cos(xi0))
-    # an array fold keeps the expression small: every step reads the accumulator once
-    e2 = e * e
-
-    def newton(tau: Column, _: Column) -> Column:
-        root = F.sqrt(1 + tau * tau)
-        sigma = F.sinh(e * F.atanh(e * tau / root))
-        t = tau * F.sqrt(1 + sigma * sigma) - sigma * root
-        step = (target - t) / F.sqrt(1 + t * t) * (1 + (1 - e2) * tau * tau) / ((1 - e2) * root)
-        return tau + step
-
-    tau = F.aggregate(F.sequence(F.lit(1), F.lit(3)), target, newton)
-    return F.struct(lon.alias("lon"), F.degrees(F.atan(tau)).alias("lat"))
+
+    def series(v: Column) -> Column:
+        xi, eta = v["xi"], v["eta"]
+        for j, b in enumerate(_beta(n), start=1):
+            xi = xi - b * F.sin(2 * j * v["xi"]) * F.cosh(2 * j * v["eta"])
+            eta = eta - b * F.cos(2 * j * v["xi"]) * F.sinh(2 * j * v["eta"])
+        return F.struct(xi.alias("xi"), eta.alias("eta"))
+
+    def degrees(v: Column) -> Column:
+        s, c = F.sinh(v["eta"]), F.cos(v["xi"])
+        lon = F.degrees(F.atan2(s, c)) + crs.lon0
+        lat = _let(F.sin(v["xi"]) / F.sqrt(s * s + c * c), latitude)
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    def latitude(target: Column) -> Column:
+        def newton(tau: Column, _: Column) -> Column:
+            def step(root: Column) -> Column:
+                sigma = F.sinh(e * F.atanh(e * tau / root))
+                t = tau * F.sqrt(1 + sigma * sigma) - sigma * root
+                return tau + (target - t) / F.sqrt(1 + t * t) * (1 + (1 - e * e) * tau * tau) / ((1 - e * e) * root)
+
+            return _let(F.sqrt(1 + tau * tau), step)
+
+        return F.degrees(F.atan(F.aggregate(F.sequence(F.lit(1), F.lit(3)), target, newton)))
+
+    start = F.struct(((y - crs.fn + m0) / scale).alias("xi"), ((x - crs.fe) / scale).alias("eta"))
+    return _let(_let(start, series), degrees)
 
 
 def laea_forward(lon: Column, lat: Column, crs: EqualAreaLaea = EUROPE_LAEA) -> Column:
@@ -222,11 +278,16 @@ def laea_forward(lon: Column, lat: Column, crs: EqualAreaLaea = EUROPE_LAEA) ->
     b1 = math.asin(q_num(phi1) / qp)
     m1 = math.cos(phi1) / math.sqrt(1 - (e * math.sin(phi1)) ** 2)
     d = crs.a * m1 / (rq * math.cos(b1))
-    s = F.sin(F.radians(lat))
-    q = (1 - e * e) * (s / (1 - e * e * s * s) + F.atanh(e * s) / e)
-    beta = F.asin(q / qp)
-    dlon = F.radians(lon - crs.lon0)
-    b = rq * F.sqrt(2 / (1 + math.sin(b1) * F.sin(beta) + math.cos(b1) * F.cos(beta) * F.cos(dlon)))
-    x = b * d * F.cos(beta) * F.sin(dlon) + crs.fe
-    y = b / d * (math.cos(b1) * F.sin(beta) - math.sin(b1) * F.cos(beta) * F.cos(dlon)) + crs.fn
-    return F.struct(x.alias("x"), y.alias("y"))
+    def authalic(s: Column) -> Column:
+        q = (1 - e * e) * (s / (1 - e * e * s * s) + F.atanh(e * s) / e)
+        return F.asin(q / qp)
+
+    def project(v: Column) -> Column:
+        beta, dlon = v["beta"], v["d"]
+        b = rq * F.sqrt(2 / (1 + math.sin(b1) * F.sin(beta) + math.cos(b1) * F.cos(beta) * F.cos(dlon)))
+        x = b * d * F.cos(beta) * F.sin(dlon) + crs.fe
+        y = b / d * (math.cos(b1) * F.sin(beta) - math.sin(b1) * F.cos(beta) * F.cos(dlon)) + crs.fn
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    beta = _let(F.sin(F.radians(lat)), authalic)
+    return _let(F.struct(beta.alias("beta"), F.radians(lon - crs.lon0).alias("d")), project)

@@ -96,28 +96,101 @@ def slab_intervals(poly, role, xa, ya, xb, yb, window):
     return ys, slab[0::2], role[left], left, right, edges
 
 
+def _pair_crossings(win, xa, ya, xb, yb, count):
+    """Ordinates where a slanted edge meets any other edge of its window."""
+    slope = (xb - xa) / (yb - ya)
+    base = xa - slope * ya
+    start = np.cumsum(count) - count
+    i = np.flatnonzero(slope != 0)
+    n = count[win[i]]
+    left = np.repeat(i, n)
+    right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[win[i]], n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        y = (base[right] - base[left]) / (slope[left] - slope[right])
+    ok = (y > np.maximum(ya[left], ya[right])) & (y < np.minimum(yb[left], yb[right]))
+    return win[left][ok], y[ok]
+
+
+def slab_areas(win, poly, role, xa, ya, xb, yb, boxes) -> np.ndarray:
+    """Dissolved area of many windows at once.
+
+    ``win`` numbers the window of each edge, ``boxes`` holds one ``(x0, y0, x1, y1)``
+    row per window. The area is that of the union of role-0 polygons, limited to the
+    union of role-1 polygons in windows that have any. Windows are cut into slabs at
+    every ordinate where the order of edges can change; inside a slab the covered
+    length is linear, so its value at mid-height times the height is exact.
+    """
+    areas = np.zeros(len(boxes))
+    up = ya < yb
+    xa, xb = np.where(up, xa, xb), np.where(up, xb, xa)
+    ya, yb = np.where(up, ya, yb), np.where(up, yb, ya)
+    box = boxes[win]
+    use = np.flatnonzero((ya < yb) & (yb > box[:, 1]) & (ya < box[:, 3]))
+    use = use[np.argsort(win[use], kind="stable")]
+    win, poly, role, xa, ya, xb, yb = (v[use] for v in (win, poly, role, xa, ya, xb, yb))
+    if len(win) == 0:
+        return areas
+    box = boxes[win]
+    count = np.bincount(win, minlength=len(boxes))
+    slope = (xb - xa) / (yb - ya)
+    low, high = np.maximum(ya, box[:, 1]), np.minimum(yb, box[:, 3])
+    ev_win, ev_y = [win, win], [low, high]
+    slanted = slope != 0
+    if slanted.any():
+        for side in (0, 2):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                y = ya + (box[:, side] - xa) / slope
+            ok = slanted & (y > low) & (y < high)
+            ev_win.append(win[ok])
+            ev_y.append(y[ok])
+        pairs = _pair_crossings(win, xa, ya, xb, yb, count)
+        ok = (pairs[1] > boxes[pairs[0], 1]) & (pairs[1] < boxes[pairs[0], 3])
+        ev_win.append(pairs[0][ok])
+        ev_y.append(pairs[1][ok])
+    ew, ey = np.concatenate(ev_win), np.concatenate(ev_y)
+    order = np.lexsort((ey, ew))
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (ew[order][1:] != ew[order][:-1]) | (ey[order][1:] != ey[order][:-1])
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    ys = ey[order][fresh]
+    slab_win = ew[order][fresh]
+    height = np.append(np.diff(ys), 0.0)
+    mid = ys + height / 2
+    first, last = number[: len(win)], number[len(win): 2 * len(win)]
+    n = last - first
+    edge = np.repeat(np.arange(len(win)), n)
+    slab = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    x = xa[edge] + (mid[slab] - ya[edge]) * slope[edge]
+    order = np.lexsort((x, poly[edge], role[edge], slab))
+    edge, slab, x = edge[order], slab[order], x[order]
+    # consecutive crossings of one polygon enclose its even-odd spans
+    kind = role[edge]
+    x = np.clip(x, boxes[slab_win[slab], 0], boxes[slab_win[slab], 2])
+    step = np.where(np.arange(len(x)) % 2 == 0, 1, -1)
+    order = np.lexsort((x, slab))
+    x, slab, step, kind = x[order], slab[order], step[order], kind[order]
+    masked = np.zeros(len(boxes), dtype=bool)
+    masked[win[role == 1]] = True
+    inside = np.cumsum(np.where(kind == 0, step, 0)) > 0
+    inside &= (np.cumsum(np.where(kind == 1, step, 0)) > 0) | ~masked[slab_win[slab]]
+    width = np.append(np.diff(x), 0.0)
+    width[:-1][slab[1:] != slab[:-1]] = 0.0
+    return areas + np.bincount(slab_win[slab], weights=width * inside * height[slab], minlength=len(boxes))
+
+
 def slab_area(poly, role, xa, ya, xb, yb, window) -> float:
-    """Area of the union of role-0 polygons inside ``window``, and inside role-1 polygons if any."""
-    ys, slab, kind, left, right, (ea, fa, eb, fb) = slab_intervals(poly, role, xa, ya, xb, yb, window)
-    if len(slab) == 0:
-        return 0.0
-    mid = (ys[:-1] + ys[1:]) / 2
+    """One window; see ``slab_areas``."""
+    win = np.zeros(len(poly), dtype=np.int64)
+    return float(slab_areas(win, poly, role, xa, ya, xb, yb, np.array([window], dtype=float))[0])
+
 
-    def at(edge):
-        x = ea[edge] + (mid[slab] - fa[edge]) * (eb[edge] - ea[edge]) / (fb[edge] - fa[edge])
-        return np.clip(x, window[0], window[2])
-
-    masked = bool((role == 1).any())
-    x = np.concatenate([at(left), at(right)])
-    step = np.concatenate([np.ones(len(left)), -np.ones(len(right))])
-    where = np.concatenate([slab, slab])
-    which = np.concatenate([kind, kind])
-    order = np.lexsort((x, where))
-    x, where, step, which = x[order], where[order], step[order], which[order]
-    subject = np.cumsum(np.where(which == 0, step, 0.0)) > 0.5
-    inside = subject & (np.cumsum(np.where(which == 1, step, 0.0)) > 0.5) if masked else subject
-    width = np.diff(x) * (where[1:] == where[:-1]) * inside[:-1]
-    return float(np.sum(width * np.diff(ys)[where[:-1]]))
+def edge_chunks(win: np.ndarray, slanted: np.ndarray, windows: int, budget: int = 2_000_000):
+    """Window ranges whose edge pairs stay within a memory budget."""
+    pairs = np.bincount(win, minlength=windows) * np.maximum(np.bincount(win, weights=slanted, minlength=windows), 4)
+    marks = np.floor(np.cumsum(pairs) / budget)
+    cuts = np.flatnonzero(np.diff(marks) > 0) + 1
+    return zip(np.r_[0, cuts], np.r_[cuts, windows])
 
 
 def dissolve(poly, xa, ya, xb, yb, window):

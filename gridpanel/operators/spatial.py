@@ -19,15 +19,16 @@ from pyspark.sql import types as T
 
 from gridpanel.functions.geometry import (
     bbox,
+    clipped_area,
     inside_even_odd,
     polygon_area,
     polygon_contains,
     rect_ring,
     ring_edges,
 )
-from gridpanel.functions.kernels import clip_ring, dissolve, rect_planes, ring_area, slab_area
+from gridpanel.functions.kernels import clip_ring, dissolve, edge_chunks, rect_planes, ring_area, slab_areas
 from gridpanel.operators.skew import salted_join
-from gridpanel.session import broadcast_if_small, materialize
+from gridpanel.session import broadcast_if_small, materialize, spread
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 RINGS_TYPE = "array<array<struct<x:double,y:double>>>"
@@ -180,9 +181,10 @@ def clip_to_rect(polys: DataFrame, window: Sequence[str] = ("wx0", "wy0", "wx1",
 
 def cell_windows(polys: DataFrame, size: float) -> DataFrame:
     """One row per grid square ``(ix, iy)`` a polygon's box meets, with that square as window."""
-    boxed = with_bbox(polys) if "xmin" not in polys.columns else polys
-    spread = tile_explode(boxed, size, closed=False).withColumnsRenamed({"tx": "ix", "ty": "iy"})
-    return spread.withColumns(
+    boxed = spread(polys)
+    boxed = boxed if "xmin" in polys.columns else with_bbox(boxed)
+    squares = tile_explode(boxed, size, closed=False).withColumnsRenamed({"tx": "ix", "ty": "iy"})
+    return squares.withColumns(
         {
             "ix": F.col("ix").cast("int"), "iy": F.col("iy").cast("int"),
             "wx0": F.col("ix") * float(size), "wy0": F.col("iy") * float(size),
@@ -218,9 +220,10 @@ def _classify(windows: DataFrame) -> DataFrame:
 def clip_to_cells(polys: DataFrame, keys: Sequence[str], size: float) -> DataFrame:
     """Area each polygon has inside each grid square it overlaps: ``(keys, ix, iy, area)``."""
     classified = _classify(cell_windows(split_large(polys, size), size))
-    whole = classified.where("state = 1").select(*keys, "ix", "iy", F.lit(float(size) * float(size)).alias("area"))
-    cut = clip_to_rect(classified.where("state = 0")).select(*keys, "ix", "iy", polygon_area(F.col("rings")).alias("area"))
-    return whole.unionByName(cut).groupBy(*keys, "ix", "iy").agg(F.sum("area").alias("area")).where("area > 0")
+    window = [F.col(c) for c in ("wx0", "wy0", "wx1", "wy1")]
+    inside = F.when(F.col("state") == 1, float(size) * float(size)).otherwise(clipped_area(F.col("rings"), *window))
+    areas = classified.select(*keys, "ix", "iy", inside.alias("area"))
+    return areas.groupBy(*keys, "ix", "iy").agg(F.sum("area").alias("area")).where("area > 0")
 
 
 def _window_pieces(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -337,28 +340,52 @@ def window_areas(
     fields = [edges.schema[c] for c in group] + [T.StructField(n, T.DoubleType()) for n in names]
 
     def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0]
-        box = tuple(float(head[c]) for c in window)
+        heads = pdf.groupby([*group, *window], sort=False)
+        win = heads.ngroup().to_numpy()
+        firsts = np.unique(win, return_index=True)[1]
+        order = np.argsort(win, kind="stable")
+        pdf, win = pdf.iloc[order], win[order]
+        head = heads.head(1)
+        boxes = head[window].to_numpy(dtype=float)
         poly = pd.factorize(pdf["poly"])[0]
         role = pdf["role"].to_numpy()
-        coords = [pdf[c].to_numpy() for c in ("xa", "ya", "xb", "yb")]
-        row = {c: head[c] for c in group}
-        row["area"] = slab_area(poly, role, *coords, box)
-        ox, oy = int(head["ix"]) * size, int(head["iy"]) * size
+        coords = [pdf[c].to_numpy(dtype=float) for c in ("xa", "ya", "xb", "yb")]
+        out = head[group].copy()
+        out["area"] = _chunked_areas(win, poly, role, coords, boxes)
         for name, outline in outlines.items():
-            shifted = outline + np.array([ox, oy, ox, oy])
-            both = [np.concatenate([v, shifted[:, i]]) for i, v in enumerate(coords)]
-            ids = np.concatenate([poly, np.full(len(outline), poly.max() + 1)])
-            roles = np.concatenate([role, np.ones(len(outline), dtype=int)])
-            row[name] = slab_area(ids, roles, *both, box)
-        return pd.DataFrame([row])
-
-    measured = edges.groupBy(*group, *window).applyInPandas(measure, T.StructType(fields))
+            corner = np.column_stack([head["ix"], head["iy"]]) * float(size)
+            shape = outline[None, :, :] + np.hstack([corner, corner])[:, None, :]
+            n = len(outline)
+            both = [np.concatenate([v, shape[:, :, i].ravel()]) for i, v in enumerate(coords)]
+            wins = np.concatenate([win, np.repeat(np.arange(len(firsts)), n)])
+            ids = np.concatenate([poly, np.full(len(wins) - len(win), poly.max() + 1)])
+            roles = np.concatenate([role, np.ones(len(wins) - len(win), dtype=role.dtype)])
+            out[name] = _chunked_areas(wins, ids, roles, both, boxes)
+        return out
+
+    # many windows share one kernel call; a bucket holds a bounded number of bounded windows
+    total = pieces.agg(F.sum(n_edges)).first()[0] or 0
+    spark = edges.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, total // 200_000)
+    bucketed = edges.withColumn("_bucket", F.pmod(F.xxhash64(*group, *window), F.lit(buckets)).cast("int"))
+    measured = bucketed.repartition(buckets, "_bucket").groupBy("_bucket").applyInPandas(measure, T.StructType(fields))
     if plain is not None:
         measured = measured.unionByName(plain)
     return measured.groupBy(*group).agg(*[F.sum(n).alias(n) for n in names])
 
 
+def _chunked_areas(win, poly, role, coords, boxes) -> np.ndarray:
+    """``slab_areas`` in window ranges that bound the memory for edge pairs."""
+    order = np.argsort(win, kind="stable")
+    win, poly, role = win[order], poly[order], role[order]
+    xa, ya, xb, yb = (v[order] for v in coords)
+    out = np.zeros(len(boxes))
+    for lo, hi in edge_chunks(win, xa != xb, len(boxes)):
+        part = slice(np.searchsorted(win, lo), np.searchsorted(win, hi))
+        out[lo:hi] = slab_areas(win[part] - lo, poly[part], role[part], xa[part], ya[part], xb[part], yb[part], boxes[lo:hi])
+    return out
+
+
 def _shape_edges(points: Sequence[tuple[float, float]]) -> np.ndarray:
     closed = np.asarray([*points, points[0]], dtype=float)
     return np.hstack([closed[:-1], closed[1:]])
@@ -416,9 +443,9 @@ def context_areas(
     measured = window_areas(layer, keys, size, mask=mask, shapes={n: p[2] for n, p in partial.items()})
     parts = [F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.col("area").alias("a")) for dx, dy in whole]
     parts += [F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.col(n).alias("a")) for n, (dx, dy, _) in partial.items()]
-    spread = measured.withColumn("_p", F.explode(F.array(*parts)))
+    sent = measured.withColumn("_p", F.explode(F.array(*parts)))
     return (
-        spread.select(
+        sent.select(
             *keys, (F.col("ix") - F.col("_p.dx")).alias("ix"), (F.col("iy") - F.col("_p.dy")).alias("iy"),
             F.col("_p.a").alias("area"),
         )
@@ -496,37 +523,57 @@ def coverage_gap(layer: DataFrame, boundary: DataFrame, size: float) -> DataFram
     )
 
 
-def mask_polygons(layer: DataFrame, boundary: DataFrame, keys: Sequence[str], size: float) -> DataFrame:
-    """Pieces of each polygon inside the boundary as disjoint trapezoids per square: ``(keys, ix, iy, rings)``."""
-    inner = _classify(cell_windows(split_large(boundary.select("rings"), size), size)).select(
-        "ix", "iy", F.col("rings").alias("b_rings"), F.col("state").alias("b_state")
-    )
-    pieces = _classify(cell_windows(split_large(layer.select(*keys, "rings"), size), size))
-    joined = salted_join(pieces, inner, ["ix", "iy"])
-    # inside a whole boundary square the plain clip is the answer
-    simple = clip_to_rect(joined.where("b_state = 1").drop("b_rings", "b_state", "state")).select(*keys, "ix", "iy", "rings")
-    hard = clip_to_rect(joined.where("b_state = 0").drop("state", "b_state"))
-    flat = _flat(hard).withColumns(
-        {
-            "bx": F.transform(F.flatten(F.transform("b_rings", lambda r: F.slice(r, F.lit(1), F.size(r) - 1))), lambda p: p["x"]),
-            "by": F.transform(F.flatten(F.transform("b_rings", lambda r: F.slice(r, F.lit(1), F.size(r) - 1))), lambda p: p["y"]),
-            "blens": F.transform("b_rings", lambda r: F.size(r) - 1),
-        }
-    ).drop("b_rings")
-    out = T.StructType([f for f in flat.schema.fields if f.name in (*keys, "ix", "iy", "xs", "ys", "lens")])
+def convex_parts(boundary: DataFrame, size: float) -> DataFrame:
+    """Boundary cut into disjoint convex parts per square: ``(ix, iy, qx[4], qy[4])``."""
+    squares = _classify(cell_windows(split_large(boundary.select("rings"), size), size))
+    whole = squares.where("state = 1").select(
+        "ix", "iy", F.array("wx0", "wx1", "wx1", "wx0").alias("qx"), F.array("wy0", "wy0", "wy1", "wy1").alias("qy")
+    ).distinct()
+    cut = _flat(squares.where("state = 0").select("ix", "iy", "wx0", "wy0", "wx1", "wy1", "rings"))
 
-    def intersect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def trapezoids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for rec in batch.to_dict("records"):
+                e = _ring_edges(rec["xs"], rec["ys"], rec["lens"])
                 box = tuple(rec[c] for c in ("wx0", "wy0", "wx1", "wy1"))
-                a = _ring_edges(rec["xs"], rec["ys"], rec["lens"])
-                b = _ring_edges(rec["bx"], rec["by"], rec["blens"])
-                for trap in _intersection(a, b, box):
-                    rows.append([rec[k] for k in (*keys, "ix", "iy")] + trap)
-            yield pd.DataFrame(rows, columns=[*keys, "ix", "iy", "xs", "ys", "lens"])[[f.name for f in out.fields]]
+                rows += [
+                    (rec["ix"], rec["iy"], *_trapezoid(t)[:2]) for t in dissolve(np.zeros(len(e), dtype=int), *e.T, box)
+                ]
+            yield pd.DataFrame(rows, columns=["ix", "iy", "qx", "qy"])
+
+    return whole.unionByName(cut.mapInPandas(trapezoids, "ix int, iy int, qx array<double>, qy array<double>"))
+
+
+def mask_polygons(layer: DataFrame, boundary: DataFrame, keys: Sequence[str], size: float) -> DataFrame:
+    """Pieces of each polygon inside the boundary: ``(keys, ix, iy, rings)``.
 
-    return simple.unionByName(_unflat(flat.mapInPandas(intersect, out)).select(*keys, "ix", "iy", "rings"))
+    The boundary (non-overlapping parts) is cut once into convex parts per square;
+    every polygon piece is then clipped by the parts of its own squares.
+    """
+    parts = convex_parts(boundary, size)
+    pieces = _classify(cell_windows(split_large(layer.select(*keys, "rings"), size), size)).drop("state", "wx0", "wy0", "wx1", "wy1")
+    pairs = spread(_flat(salted_join(pieces, parts, ["ix", "iy"])))
+    out = T.StructType([f for f in pairs.schema.fields if f.name not in ("qx", "qy")])
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            xs_out, ys_out, lens_out = [], [], []
+            for xs, ys, lens, qx, qy in zip(batch["xs"], batch["ys"], batch["lens"], batch["qx"], batch["qy"]):
+                ux, uy = np.roll(qx, -1) - qx, np.roll(qy, -1) - qy
+                planes, kept, start = np.column_stack([-uy, ux, uy * qx - ux * qy]), [], 0
+                for n in lens:
+                    kept.append(clip_ring(np.asarray(xs[start:start + n]), np.asarray(ys[start:start + n]), planes))
+                    start += n
+                kept = [r for r in kept if len(r[0]) > 2]
+                xs_out.append(np.concatenate([r[0] for r in kept]) if kept else np.array([]))
+                ys_out.append(np.concatenate([r[1] for r in kept]) if kept else np.array([]))
+                lens_out.append([len(r[0]) for r in kept])
+            result = batch.drop(columns=["qx", "qy"])
+            result["xs"], result["ys"], result["lens"] = xs_out, ys_out, lens_out
+            yield result[result["lens"].map(len) > 0]
+
+    return _unflat(pairs.mapInPandas(cut, out)).select(*keys, "ix", "iy", "rings")
 
 
 def _ring_edges(xs, ys, lens) -> np.ndarray:
@@ -544,24 +591,6 @@ def _trapezoid(t) -> list:
     return [[a0, b0, b1, a1], [y0, y0, y1, y1], [4]]
 
 
-def _intersection(a: np.ndarray, b: np.ndarray, box) -> list:
-    """Trapezoids of ``a`` cut to each trapezoid of ``b``; both are even-odd polygons."""
-    out = []
-    zeros = lambda e: np.zeros(len(e), dtype=int)
-    for t in dissolve(zeros(b), *b.T, box):
-        (qx, qy, _) = _trapezoid(t)
-        planes = []
-        for i in range(4):
-            xa, ya, xb, yb = qx[i], qy[i], qx[(i + 1) % 4], qy[(i + 1) % 4]
-            planes.append((-(yb - ya), xb - xa, (yb - ya) * xa - (xb - xa) * ya))
-        for s in dissolve(zeros(a), *a.T, box):
-            px, py, _ = _trapezoid(s)
-            cx, cy = clip_ring(np.array(px), np.array(py), np.array(planes))
-            if len(cx) > 2 and abs(ring_area(cx, cy)) > 0:
-                out.append([cx, cy, [len(cx)]])
-    return out
-
-
 # ------------------------------------------------------------------- repair
 
 

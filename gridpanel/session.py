@@ -48,3 +48,14 @@ def materialize(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Hint a broadcast only after counting; larger inputs are left to a shuffle join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Spread rows over all tasks before CPU-heavy work, round-robin or by key.
+
+    Round-robin splits copies of one row as well; Spark sorts the rows first, so a
+    retried task deals them out the same way.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *[F.col(c) for c in cols])
