@@ -129,13 +129,10 @@ def binned_comparison(df: DataFrame, score: str, target: str, bins: int = 10) ->
     """Right-closed quantile bins of the score (repeated edges dropped) with means and positive share."""
     rows = df.where(F.col(score).isNotNull() & F.col(target).isNotNull())
     probs = {f"e{i}": i / bins for i in range(bins + 1)}
-    names = list(probs)
-    edges = exact_quantiles(rows, [score], probs).select(F.struct(*names).alias("e")).scalar()
-    # number of distinct edges below the value; the lowest edge itself belongs to bin 1
-    below = F.lit(0)
-    for i, name in enumerate(names):
-        fresh = F.lit(True) if i == 0 else edges[name] != edges[names[i - 1]]
-        below = below + F.when((edges[name] < F.col(score)) & fresh, 1).otherwise(0)
+    # bins + 1 numbers; repeated edges collapse
+    edges = sorted(set(exact_quantiles(rows, [score], probs).select(*probs).first() or ()))
+    # number of edges below the value; the lowest edge itself belongs to bin 1
+    below = sum(((F.col(score) > e).cast("int") for e in edges), F.lit(0))
     slot = F.greatest(F.lit(1), below)
     t = F.col(target)
     return rows.groupBy(slot.alias("bin")).agg(

@@ -197,6 +197,8 @@ def split_large(polys: DataFrame, size: float, vertices: int = 256, factor: int
     """Cut polygons with many vertices into coarse tiles first, so squares only see nearby edges."""
     n = F.aggregate("rings", F.lit(0), lambda acc, r: acc + F.size(r))
     small, large = polys.where(n <= vertices), polys.where(n > vertices)
+    if large.select(F.lit(1)).isEmpty():
+        return polys
     pieces = clip_to_rect(cell_windows(large, size * factor)).select(*polys.columns)
     return small.unionByName(pieces)
 
