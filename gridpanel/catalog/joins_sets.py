@@ -1 +1,226 @@
-"""Queries."""
+"""Queries on equi-joins, set operations and comparisons."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridpanel.catalog.registry import query
+from gridpanel.catalog.stats_ranking import rounded
+from gridpanel.catalog.views import Views
+from gridpanel.operators import compare as CM
+from gridpanel.operators import metrics as M
+from gridpanel.operators import screening as SC
+
+
+def _ref(year):
+    return F.when(year <= 1996, 1990).when(year <= 1999, 1994).otherwise(1998)
+
+
+@query("j1_assemble_components", """
+WITH cov AS (SELECT p_partkey AS k, r.ref, ROUND((p_size * r.ref) % 97 / 97.0::DOUBLE, 9) AS cover FROM part, (VALUES (1990), (1994), (1998)) r(ref)),
+cl AS (SELECT l_partkey AS k, CAST(YEAR(l_shipdate) AS INT) AS year, ROUND(SUM(CAST(l_tax AS DECIMAL(12,2)))::DOUBLE / COUNT(*), 9) AS climate FROM lineitem GROUP BY 1, 2)
+SELECT c.cell_id, y.year AS observation_year, p.p_retailprice AS slope, cov.cover, cl.climate FROM cell c CROSS JOIN lyrs y JOIN part p ON p.p_partkey = c.k
+JOIN cov ON cov.k = c.k AND cov.ref = CASE WHEN y.year <= 1996 THEN 1990 WHEN y.year <= 1999 THEN 1994 ELSE 1998 END
+LEFT JOIN cl ON cl.k = c.k AND cl.year = y.year""", "cell lyrs")
+def assemble_components(spark, sf):
+    from gridpanel.plans.panel import assemble
+
+    v = Views(spark, sf)
+    slope = v.table("part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("slope"))
+    refs = F.array(F.lit(1990), F.lit(1994), F.lit(1998))
+    cover = v.table("part").select(F.col("p_partkey").alias("k"), "p_size", F.explode(refs).alias("ref")).select(
+        "k", "ref", F.round((F.col("p_size") * F.col("ref")) % 97 / 97.0, 9).alias("cover")
+    )
+    climate = v.table("lineitem").groupBy(F.col("l_partkey").alias("k"), F.year("l_shipdate").alias("observation_year")).agg(
+        F.round(F.sum(F.col("l_tax").cast("decimal(12,2)")).cast("double") / F.count(F.lit(1)), 9).alias("climate")
+    )
+    keyed = v.cell_years().withColumn("ref", _ref(F.col("observation_year")))
+    out = assemble(keyed, [(slope, ["k"], True), (cover, ["k", "ref"], True), (climate, ["k", "observation_year"], False)])
+    return out.select("cell_id", "observation_year", "slope", "cover", "climate")
+
+
+@query("j2_join_one_to_one", "SELECT p_partkey AS k, p_size, cell_id FROM part JOIN cell ON k = p_partkey", "cell")
+def join_one_to_one(spark, sf):
+    v = Views(spark, sf)
+    part = v.table("part").select(F.col("p_partkey").alias("k"), "p_size")
+    return CM.join_one_to_one(part, v.cell().select("k", "cell_id"), ["k"])
+
+
+@query("j3_join_core", """
+SELECT c.cell_id, COUNT(b.year) AS recurrence, MAX(p.p_size) AS cover, MAX(p.p_retailprice) AS slope FROM cell c JOIN part p ON p.p_partkey = c.k
+LEFT JOIN burn b ON b.k = c.k GROUP BY c.cell_id""", "cell burn")
+def join_core(spark, sf):
+    v = Views(spark, sf)
+    keyed = v.cell().select("k", "cell_id")
+    burnt = v.burn().groupBy("k").agg(F.count(F.lit(1)).alias("recurrence"))
+    recurrence = keyed.join(burnt, "k", "left").select("cell_id", F.coalesce("recurrence", F.lit(0)).alias("recurrence"))
+    part = keyed.join(v.table("part").withColumnRenamed("p_partkey", "k"), "k")
+    cover, slope = part.select("cell_id", F.col("p_size").alias("cover")), part.select("cell_id", F.col("p_retailprice").alias("slope"))
+    return SC.screening_core(recurrence, cover, slope, keyed.select("cell_id"))
+
+
+@query("j4_coverage_join", "SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey")
+def coverage_join(spark, sf):
+    v = Views(spark, sf)
+    left = v.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    brands = v.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    return CM.coverage_join(left, brands, ["l_partkey"]).drop("l_partkey")
+
+
+@query("j14_membership", """
+SELECT 'affected' AS side, COUNT(*) AS n FROM part WHERE p_partkey IN (SELECT k FROM burn)
+UNION ALL SELECT 'missing', COUNT(*) FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0) a
+UNION ALL SELECT 'extra', COUNT(*) FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0 EXCEPT SELECT o_custkey FROM orders) b""", "burn")
+def membership(spark, sf):
+    v = Views(spark, sf)
+    affected = v.table("part").join(v.burn().select(F.col("k").alias("p_partkey")).distinct(), "p_partkey", "left_semi")
+    expected = v.table("orders").select(F.col("o_custkey").alias("k"))
+    observed = v.table("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
+    sides = CM.key_differences(expected, observed, ["k"]).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+    names = F.array(F.lit("missing"), F.lit("extra"))
+    every = affected.agg(F.count(F.lit(1)).alias("n")).select(F.lit("affected").alias("side"), "n")
+    # absent sides count as zero
+    zero = v.table("part").agg(F.lit(0).alias("n")).select(F.explode(names).alias("side"), F.col("n").cast("bigint").alias("n"))
+    counted = sides.unionByName(zero).groupBy("side").agg(F.max("n").alias("n"))
+    return every.unionByName(counted)
+
+
+@query("j17_evaluate_published", """
+SELECT 'score_a' AS model, scope, COUNT(*) AS rows, ROUND(AVG(ABS(score - target)), 9) AS mae_all FROM scoped WHERE model = 'score_a' GROUP BY scope""", "scoped")
+def evaluate_published(spark, sf):
+    """Scores joined to outcomes that arrived later."""
+    v = Views(spark, sf)
+    scores = v.pred().select("cell_id", (F.col("observation_year") + 1).alias("forecast_year"), F.col("score_a").alias("score"))
+    outcomes = v.burn().join(v.cell().select("k", "cell_id"), "k").select("cell_id", F.col("year").alias("forecast_year"), "share")
+    joined = M.evaluate_published(scores, outcomes, v.years(), ["cell_id", "forecast_year"])
+    long = joined.select("target", "score", F.lit("score_a").alias("model"), (F.col("forecast_year") - 1).alias("observation_year"))
+    return rounded(M.regression_metrics(long, "observation_year").select("model", "scope", "rows", "mae_all"), 9)
+
+
+@query("x1_union_parts", """SELECT code, COUNT(*) AS n FROM rect GROUP BY code""", "rect")
+def union_parts(spark, sf):
+    rect = Views(spark, sf).rect().select("poly_id", "code")
+    parts = [rect.where(F.col("code") == c) for c in ("112", "211", "311")]
+    return CM.union_parts(parts).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("x2_key_set_equality", """
+SELECT c.cell_id, y.year AS observation_year, 'missing' AS side FROM cell c CROSS JOIN yrs y LEFT JOIN burn b ON b.k = c.k AND b.year = y.year WHERE b.k IS NULL""", "cell yrs burn")
+def key_set_equality(spark, sf):
+    v = Views(spark, sf)
+    expected = CM.expected_keys(v.cell(), v.years())
+    observed = v.burn().join(v.cell().select("k", "cell_id"), "k").select("cell_id", F.col("year").alias("observation_year"))
+    return CM.key_differences(expected, observed, ["cell_id", "observation_year"])
+
+
+@query("x3_frames_equal", """
+SELECT k, year, share, side FROM (SELECT k, year, share, 'a' AS side FROM burn WHERE share = 1
+UNION ALL SELECT k, year, 0.5::DOUBLE, 'b' FROM burn WHERE share = 1) s""", "burn")
+def frames_equal(spark, sf):
+    """Rows that differ after one value was changed on every saturated row."""
+    burn = Views(spark, sf).burn()
+    changed = burn.withColumn("share", F.when(F.col("share") == 1, 0.5).otherwise(F.col("share")))
+    return CM.frame_differences(burn, changed)
+
+
+@query("x4_frames_close", """
+SELECT k, year, 'share' AS "column" FROM burn WHERE share = 1""", "burn")
+def frames_close(spark, sf):
+    """A change of 1e-14 stays within tolerance, one of 1e-6 does not."""
+    burn = Views(spark, sf).burn()
+    nudge = F.when(F.col("share") == 1, 1e-6).otherwise(1e-14)
+    return CM.close_differences(burn, burn.withColumn("share", F.col("share") + nudge), ["k", "year"], ["share"])
+
+
+@query("x5_rerun_check", """SELECT COUNT(*) AS rows, CAST(0 AS BIGINT) AS differences FROM burn""", "burn")
+def rerun_check(spark, sf):
+    """The event table derived twice with different partitioning."""
+    v = Views(spark, sf)
+    first = v.burn()
+    second = Views(spark, sf).table("lineitem").repartition(17, "l_orderkey")
+    total = F.sum(F.col("l_quantity").cast("decimal(12,2)")).cast("double") / 100
+    again = second.where("l_returnflag = 'R' AND l_quantity >= 45").groupBy(F.col("l_partkey").alias("k"), F.year("l_shipdate").alias("year")).agg(
+        F.least(F.lit(1.0), total).alias("share")
+    )
+    differences = CM.close_differences(first, again, ["k", "year"], ["share"]).agg(F.count(F.lit(1))).scalar()
+    return first.agg(F.count(F.lit(1)).alias("rows")).select("rows", differences.alias("differences"))
+
+
+@query("x6_schema_difference", """
+SELECT 'extra_column' AS gate, 'p_brand' AS key, 'string' AS detail UNION ALL SELECT 'extra_column', 'p_name', 'string'
+UNION ALL SELECT 'extra_column', 'p_type', 'string' UNION ALL SELECT 'missing_column', 'p_weight', 'double'
+UNION ALL SELECT 'column_type', 'p_size', 'int instead of bigint'""")
+def schema_difference(spark, sf):
+    part = Views(spark, sf).table("part")
+    return CM.schema_gate(part, [("p_partkey", "bigint"), ("p_size", "bigint"), ("p_retailprice", "double"), ("p_weight", "double")])
+
+
+@query("x7_duplicates", """SELECT l_orderkey, l_partkey, COUNT(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1""")
+def duplicates(spark, sf):
+    return CM.duplicate_keys(Views(spark, sf).table("lineitem"), ["l_orderkey", "l_partkey"])
+
+
+@query("x8_code_differences", """SELECT '211' AS code, 'unexpected' AS side UNION ALL SELECT '999', 'absent'""")
+def code_differences(spark, sf):
+    return CM.code_differences(Views(spark, sf).rect(), "code", ["112", "311", "999"])
+
+
+@query("x9_column_collision", """
+SELECT k, year, CAST(2 AS BIGINT) AS copies FROM burn WHERE year BETWEEN 1997 AND 1998""", "burn")
+def column_collision(spark, sf):
+    """Early and late blocks that overlap in two years."""
+    burn = Views(spark, sf).burn()
+    both = CM.union_parts([burn.where("year <= 1998"), burn.where("year >= 1997")])
+    return CM.duplicate_keys(both, ["k", "year"])
+
+
+@query("k10_append_labelled", """
+SELECT cell_id, observation_year, target, CASE WHEN observation_year <= 1997 THEN 'development' ELSE 'later' END AS source FROM pred""", "pred")
+def append_labelled(spark, sf):
+    v = Views(spark, sf)
+    pred = v.pred().select("cell_id", "observation_year", "target")
+    years = v.labelled_years()
+    early, late = [y for y in years if y <= 1997], [y for y in years if y > 1997]
+    parts = [("development", pred.where("observation_year <= 1997"), early), ("later", pred.where("observation_year > 1997"), late)]
+    return CM.append_labelled(parts, "observation_year")
+
+
+@query("k11_align_columns", "SELECT cell_id, observation_year, target, score_a, score_b FROM pred", "pred")
+def align_columns(spark, sf):
+    pred = Views(spark, sf).pred()
+    return CM.align_columns(pred.select("score_b", "target", "score_a", "observation_year", "cell_id"), pred)
+
+
+@query("k12_year_snapshot", """
+SELECT cell_id, target, CASE WHEN k IN (SELECT k FROM burn WHERE year = 1998) THEN 'nearest_valid_source' ELSE 'containing_source' END AS assignment_method,
+  CONCAT('POLYGON ((', x0::DOUBLE, ' ', y0::DOUBLE, ', ', (x0 + 1000)::DOUBLE, ' ', y0::DOUBLE, ', ', (x0 + 1000)::DOUBLE, ' ', (y0 + 1000)::DOUBLE, ', ',
+  x0::DOUBLE, ' ', (y0 + 1000)::DOUBLE, ', ', x0::DOUBLE, ' ', y0::DOUBLE, '))') AS wkt
+FROM pred JOIN cell USING (cell_id) WHERE observation_year = 1998""", "pred cell burn")
+def year_snapshot(spark, sf):
+    from gridpanel.sinks.publish import year_snapshot as snapshot
+
+    v = Views(spark, sf)
+    affected = v.burn().where("year = 1998").join(v.cell(), "k")
+    return snapshot(v.pred(), v.cell(), affected, 1998, 1000.0).select("cell_id", "target", "assignment_method", "wkt")
+
+
+@query("k5_publish_with_geometry", """
+SELECT cell_id, p_brand, CAST(x0 AS DOUBLE) AS x, CAST(y0 + 1000 AS DOUBLE) AS y FROM part JOIN cell ON k = p_partkey""", "cell")
+def publish_with_geometry(spark, sf):
+    from gridpanel.sinks.publish import with_geometry
+
+    v = Views(spark, sf)
+    table = v.table("part").join(v.cell().select(F.col("k").alias("p_partkey"), "cell_id"), "p_partkey").select("cell_id", "p_brand")
+    out = with_geometry(table, v.cell(), 1000.0)
+    corner = F.col("rings")[0][3]
+    return out.select("cell_id", "p_brand", corner["x"].alias("x"), corner["y"].alias("y"))
+
+
+@query("p24_replace_columns", """
+SELECT cell_id, observation_year, target, CASE WHEN target > 0 THEN 2.0::DOUBLE ELSE score_a END AS score_a, score_b, CAST(0 AS BIGINT) AS touched FROM pred""", "pred")
+def replace_columns(spark, sf):
+    pred = Views(spark, sf).pred()
+    patch = pred.where("target > 0").select("cell_id", "observation_year", F.lit(2.0).alias("score_a"))
+    out = CM.replace_columns(pred, patch, ["cell_id", "observation_year"], ["score_a"])
+    touched = CM.untouched_equal(pred, out, ["score_a"]).agg(F.count(F.lit(1))).scalar()
+    return out.withColumn("touched", touched)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from gridpanel.catalog.registry import query
 from gridpanel.catalog.stats_ranking import rounded
-from gridpanel.catalog.vector import CONTEXT_SQL  # noqa: F401  (shared context weights)
 from gridpanel.catalog.views import Views
 from gridpanel.operators import climate as C
 from gridpanel.operators import nearest as N

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridpanel.functions.geometry import inside_even_odd, ring_edges, tm_inverse
-from gridpanel.operators.spatial import context_offsets, with_bbox
+from gridpanel.functions.geometry import ring_edges, tm_inverse
+from gridpanel.operators.spatial import context_offsets, context_planes, with_bbox
 
 
 def pixel_centres(pix: DataFrame, ox: float, oy: float, res: float) -> DataFrame:
@@ -43,10 +43,11 @@ def zonal_mean(
 
     whole, partial = context_offsets(size, distance) if distance else ([(0, 0)], {})
     aggregates = sums(F.lit(True), "whole")
-    dx, dy = F.col("x") - F.col("ix") * size, F.col("y") - F.col("iy") * size
-    for name, (_, _, outline) in partial.items():
-        ring = F.array(*[F.struct(F.lit(float(px)).alias("x"), F.lit(float(py)).alias("y")) for px, py in [*outline, outline[0]]])
-        aggregates += sums(inside_even_odd(dx, dy, F.array(ring)), name)
+    placed = placed.withColumns({"_dx": F.col("x") - F.col("ix") * size, "_dy": F.col("y") - F.col("iy") * size})
+    for name, (ox, oy, _) in partial.items():
+        # the context is convex, so a few half-planes decide inside one square
+        tests = [f"{a!r}D * _dx + {b!r}D * _dy + {c!r}D >= 0" for a, b, c in context_planes(size, distance, ox, oy)]
+        aggregates += sums(F.expr(" AND ".join(tests)), name)
     reduced = placed.groupBy("ix", "iy").agg(*aggregates)
     part = lambda ox, oy, n: F.struct(
         F.lit(ox).alias("dx"), F.lit(oy).alias("dy"), F.col(f"s_{n}").alias("s"), F.col(f"n_{n}").alias("n")

@@ -427,11 +427,23 @@ def context_offsets(size: float, distance: float, segments: int = 16) -> tuple[l
             inside = abs(ring_area(*cut))
             if inside >= size * size * (1 - 1e-12):
                 whole.append((dx, dy))
-            elif inside > 0:
+            elif inside > 1e-9 * size * size:
                 partial[f"s_{dx + reach}_{dy + reach}"] = (dx, dy, [(x - dx * size, y - dy * size) for x, y in zip(*cut)])
     return whole, partial
 
 
+def context_planes(size: float, distance: float, dx: int, dy: int, segments: int = 16) -> list[tuple[float, float, float]]:
+    """Half-planes ``a*x + b*y + c >= 0`` that cut the square at an offset, in that square's own metres."""
+    outline = context_outline(size, distance, segments)
+    kept = []
+    for (xa, ya), (xb, yb) in zip(outline, outline[1:] + outline[:1]):
+        a, b = -(yb - ya), xb - xa
+        c = (yb - ya) * (xa - dx * size) - (xb - xa) * (ya - dy * size)
+        if min(a * x + b * y + c for x in (0.0, size) for y in (0.0, size)) < 0:
+            kept.append((a, b, c))
+    return kept
+
+
 def context_areas(
     layer: DataFrame, keys: Sequence[str], size: float, distance: float, mask: DataFrame | None = None
 ) -> DataFrame:
