@@ -1 +1,253 @@
-"""Queries."""
+"""Queries on sinks, checksums and contract gates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridpanel.catalog.grid_time import DESIGN
+from gridpanel.catalog.registry import query
+from gridpanel.catalog.views import Views
+from gridpanel.contract import FieldRule, PanelContract
+from gridpanel.functions import scalars as S
+from gridpanel.operators import gates as GT
+from gridpanel.sinks import publish as K
+
+CONTRACT = PanelContract(
+    features=(
+        FieldRule("n_items", 0.0, 10.0, integral=True), FieldRule("disc", 0.0, 1.0, group="climate"),
+        FieldRule("tax", 0.0, 0.05, group="climate"), FieldRule("price", 0.0, 2000.0),
+    ),
+    target=FieldRule("target", 0.0, 1.0),
+    metadata=("outcome_year", "historical_fire_start_year", "historical_fire_end_year", "climate_reference_year", "land_cover_reference_year"),
+)
+
+
+def contract_panel(v):
+    from gridpanel.functions.years import assign_reference, cell_year_id
+
+    t = F.col("observation_year")
+    rows = assign_reference(v.panel(), "observation_year", DESIGN).withColumns(
+        {
+            "cell_year_id": cell_year_id(), "outcome_year": t + 1, "historical_fire_start_year": t - 3,
+            "historical_fire_end_year": t - 1, "climate_reference_year": t,
+        }
+    )
+    return rows.select(*CONTRACT.columns)
+
+
+@query("k1_write_panel", """SELECT observation_year, COUNT(*) AS rows, MIN(cell_id) AS first_cell, MAX(cell_id) AS last_cell, CAST(0 AS BIGINT) AS disorder
+FROM pred GROUP BY observation_year""", "pred")
+def write_panel(spark, sf):
+    """The stored panel read back: rows and cell range per year, and no row out of order."""
+    from gridpanel.operators.prefix import order_violations
+
+    path = K.scratch_path(spark, "panel")
+    K.write_panel(Views(spark, sf).pred(), path)
+    stored = spark.read.parquet(path)
+    bad = order_violations(stored, "cell_id", ["observation_year"]).agg(F.count(F.lit(1))).scalar()
+    return stored.groupBy("observation_year").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("cell_id").alias("first_cell"), F.max("cell_id").alias("last_cell")
+    ).withColumn("disorder", bad)
+
+
+@query("k2_publish", """SELECT 'created' AS first, 'reused' AS second, COUNT(*) AS rows, CAST(0 AS BIGINT) AS violations FROM burn""", "burn")
+def publish(spark, sf):
+    burn = Views(spark, sf).burn()
+    path = K.scratch_path(spark, "artefact")
+    first = K.publish(burn, path, "burn", {"table": "lineitem"})
+    second = K.publish(burn, path, "burn", {"table": "lineitem"})
+    broken = K.verify_published(spark, path).agg(F.count(F.lit(1))).scalar()
+    stored = spark.read.parquet(path)
+    return stored.agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit(first["status"]).alias("first"), F.lit(second["status"]).alias("second"), "rows", broken.alias("violations")
+    )
+
+
+@query("k3_content_hash", "SELECT COUNT(*) AS rows, true AS same FROM lineitem")
+def content_hash(spark, sf):
+    """The checksum must not depend on row order or partitioning."""
+    item = Views(spark, sf).table("lineitem")
+    other = K.content_hash(item.repartition(13)).select(F.struct("hash_sum", "hash_xor").alias("h")).scalar()
+    return K.content_hash(item).select("rows", (F.struct("hash_sum", "hash_xor") == other).alias("same"))
+
+
+@query("k4_required_columns_reuse", "SELECT COUNT(*) AS rows, true AS reusable, false AS lacking FROM burn", "burn")
+def required_columns_reuse(spark, sf):
+    burn = Views(spark, sf).burn()
+    path = K.scratch_path(spark, "artefact")
+    burn.write.parquet(path)
+    return burn.agg(F.count(F.lit(1)).alias("rows")).select(
+        "rows", F.lit(K.fits_existing(spark, path, ["k", "share"])).alias("reusable"),
+        F.lit(K.fits_existing(spark, path, ["k", "extra"])).alias("lacking"),
+    )
+
+
+@query("k6_write_geojson", """
+SELECT CONCAT('{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[', CAST(xmin AS DOUBLE), ',', CAST(ymin AS DOUBLE), '],[', CAST(xmax AS DOUBLE), ',', CAST(ymin AS DOUBLE),
+  '],[', CAST(xmax AS DOUBLE), ',', CAST(ymax AS DOUBLE), '],[', CAST(xmin AS DOUBLE), ',', CAST(ymax AS DOUBLE), '],[', CAST(xmin AS DOUBLE), ',', CAST(ymin AS DOUBLE),
+  ']]]},"properties":{"poly_id":', poly_id, ',"code":"', code, '"}}') AS value FROM rect""", "rect")
+def write_geojson(spark, sf):
+    path = K.scratch_path(spark, "geojson")
+    K.write_geojson(Views(spark, sf).polygons(), path, ["poly_id", "code"])
+    return spark.read.text(path)
+
+
+def published_scores(v):
+    from gridpanel.operators.prefix import rank_pct
+
+    last = v.labelled_years()[-1]
+    rows = v.pred().where(F.col("observation_year") == last).select("cell_id", F.col("score_a").alias("estimate"))
+    return rank_pct(rows, "estimate").select(
+        "cell_id", F.lit(last + 1).alias("forecast_year"), F.lit(last).alias("prediction_input_year"), "estimate", "rank_pct",
+        F.lit("model-1").alias("model_id"), F.lit("published").alias("score_status"),
+    )
+
+
+@query("k7_publish_metadata", """
+SELECT COUNT(*) AS row_count, MAX(observation_year) + 1 AS forecast_year, MAX(observation_year) AS input_year, 'model-1' AS model_id, CAST(1 AS BIGINT) AS model_ids,
+  ROUND(MIN(score_a), 9) AS min_estimate, ROUND(MAX(score_a), 9) AS max_estimate, 'v1' AS version
+FROM pred WHERE observation_year = (SELECT MAX(year) FROM lyrs)""", "pred")
+def publish_metadata(spark, sf):
+    row = K.metadata_row(published_scores(Views(spark, sf)), "v1").drop("content_hash")
+    return row.withColumns({c: F.round(c, 9) for c in ("min_estimate", "max_estimate")})
+
+
+@query("k8_write_report_tables", "SELECT code, COUNT(*) AS n FROM rect GROUP BY code", "rect")
+def write_report_tables(spark, sf):
+    path = K.scratch_path(spark, "report")
+    K.write_report_tables({"codes": Views(spark, sf).rect().groupBy("code").agg(F.count(F.lit(1)).alias("n"))}, path)
+    return spark.read.schema("code string, n bigint").option("header", True).csv(f"{path}/codes")
+
+
+@query("k9_write_if_changed", "SELECT true AS first, false AS again, true AS changed, COUNT(*) AS rows FROM burn", "burn")
+def write_if_changed(spark, sf):
+    burn = Views(spark, sf).burn()
+    path = K.scratch_path(spark, "artefact")
+    first, again = K.write_if_changed(burn, path, "burn"), K.write_if_changed(burn, path, "burn")
+    changed = K.write_if_changed(burn.withColumn("share", F.col("share") / 2), path, "burn")
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit(first).alias("first"), F.lit(again).alias("again"), F.lit(changed).alias("changed"), "rows"
+    )
+
+
+@query("p18_public_fields", """
+WITH s AS (SELECT cell_id, observation_year + 1 AS forecast_year, score_a AS estimate,
+  (RANK() OVER (ORDER BY score_a) + (COUNT(*) OVER (PARTITION BY score_a) - 1) / 2.0)::DOUBLE / COUNT(*) OVER () AS r
+  FROM pred WHERE observation_year = (SELECT MAX(year) FROM lyrs))
+SELECT cell_id, forecast_year, ROUND(estimate, 9) AS estimate, ROUND(r, 9) AS rank_pct, CAST(CASE WHEN r <= 0.5 THEN 1 WHEN r <= 0.8 THEN 2 ELSE 3 END AS INT) AS band_code,
+  CASE WHEN r <= 0.5 THEN 'lower' WHEN r <= 0.8 THEN 'intermediate' ELSE 'higher' END AS band_label FROM s""", "pred")
+def public_fields(spark, sf):
+    out = K.public_fields(published_scores(Views(spark, sf)))
+    return out.withColumns({c: F.round(c, 9) for c in ("estimate", "rank_pct")})
+
+
+@query("p20_forbid_fields", """
+SELECT 'forbidden_field' AS gate, 'score_status' AS key, 'listed' AS detail UNION ALL SELECT 'forbidden_field', 'model_id', 'token'
+UNION ALL SELECT 'forbidden_field', 'forecast_year', 'token' UNION ALL SELECT 'forbidden_field', 'prediction_input_year', 'token'""")
+def forbid_fields(spark, sf):
+    return GT.forbidden_fields(published_scores(Views(spark, sf)), GT.PREDICTIVE_NAMES, ["predict", "forecast", "model"])
+
+
+@query("q1_gate_panel", """
+SELECT 'above_n_items' AS gate, MIN(CONCAT(cell_id, '_', observation_year)) AS key, CONCAT(COUNT(*), ' rows') AS detail FROM panel WHERE n_items > 10 HAVING COUNT(*) > 0
+UNION ALL SELECT 'null_disc', MIN(CONCAT(cell_id, '_', observation_year)), CONCAT(COUNT(*), ' rows') FROM panel WHERE disc IS NULL HAVING COUNT(*) > 0
+UNION ALL SELECT 'null_tax', MIN(CONCAT(cell_id, '_', observation_year)), CONCAT(COUNT(*), ' rows') FROM panel WHERE tax IS NULL HAVING COUNT(*) > 0
+UNION ALL SELECT 'above_tax', MIN(CONCAT(cell_id, '_', observation_year)), CONCAT(COUNT(*), ' rows') FROM panel WHERE tax > 0.05 + 1e-9 HAVING COUNT(*) > 0
+UNION ALL SELECT 'key_set', CONCAT(cell_id, '|', (SELECT MAX(year) FROM yrs)), 'missing' FROM cell""", "panel yrs")
+def gate_panel(spark, sf):
+    """Expected keys reach one year beyond the panel, so every cell of that year is missing."""
+    from gridpanel.operators.compare import expected_keys
+
+    v = Views(spark, sf)
+    expected = expected_keys(v.cell(), v.years())
+    return GT.gate_panel(contract_panel(v), CONTRACT, DESIGN, expected)
+
+
+@query("q2_gate_model_frame", """
+SELECT 'undeclared_year' AS gate, MIN(cell_id) AS key, CONCAT(COUNT(*), ' rows') AS detail FROM panel WHERE observation_year > 1999
+UNION ALL SELECT 'year_set', CAST(MAX(year) AS VARCHAR), 'extra' FROM lyrs""", "panel")
+def gate_model_frame(spark, sf):
+    v = Views(spark, sf)
+    out = GT.gate_model_frame(contract_panel(v), CONTRACT, DESIGN, [y for y in v.labelled_years() if y <= 1999])
+    return out.where(F.col("gate").isin("undeclared_year", "year_set"))
+
+
+@query("q3_gate_scoring", """
+SELECT 'target_present' AS gate, 'target' AS key, 'must be absent' AS detail
+UNION ALL SELECT 'null_disc', MIN(cell_id), CONCAT(COUNT(*), ' rows') FROM panel WHERE disc IS NULL AND observation_year = (SELECT MAX(year) FROM lyrs) HAVING COUNT(*) > 0
+UNION ALL SELECT 'null_tax', MIN(cell_id), CONCAT(COUNT(*), ' rows') FROM panel WHERE tax IS NULL AND observation_year = (SELECT MAX(year) FROM lyrs) HAVING COUNT(*) > 0
+UNION ALL SELECT 'above_tax', MIN(cell_id), CONCAT(COUNT(*), ' rows') FROM panel WHERE tax > 0.05 AND observation_year = (SELECT MAX(year) FROM lyrs) HAVING COUNT(*) > 0
+UNION ALL SELECT 'above_n_items', MIN(cell_id), CONCAT(COUNT(*), ' rows') FROM panel WHERE n_items > 10 AND observation_year = (SELECT MAX(year) FROM lyrs) HAVING COUNT(*) > 0""", "panel")
+def gate_scoring(spark, sf):
+    v = Views(spark, sf)
+    last = v.labelled_years()[-1]
+    matrix = contract_panel(v).where(F.col("observation_year") == last)
+    return GT.gate_scoring(matrix, CONTRACT, DESIGN, last + 1, v.cell().select("cell_id"))
+
+
+@query("q4_gate_forecast", """
+SELECT 'prediction_changed' AS gate, cell_id AS key, CAST(0.5 AS VARCHAR) AS detail FROM pred WHERE observation_year = (SELECT MAX(year) FROM lyrs) AND score_a = 0
+UNION ALL SELECT 'key_set', cell_id, 'extra' FROM cell WHERE ix = 0""", "pred cell")
+def gate_forecast(spark, sf):
+    """Scores against cells that lack one column of the grid and a rerun that moved the zeros."""
+    v = Views(spark, sf)
+    scores = published_scores(v)
+    rerun = scores.withColumn("estimate", F.when(F.col("estimate") == 0, 0.5).otherwise(F.col("estimate")))
+    last = v.labelled_years()[-1]
+    cells = v.cell().where("ix <> 0").select("cell_id")
+    return GT.gate_forecast(scores, cells, rerun, last + 1, scores.dtypes)
+
+
+@query("q6_gate_layers", """
+SELECT 'status' AS gate, MIN(cell_id) AS key, CONCAT(COUNT(*), ' rows') AS detail FROM cell
+UNION ALL SELECT 'window_start', MIN(cell_id), CONCAT(COUNT(*), ' rows') FROM cell UNION ALL SELECT 'window_length', MIN(cell_id), CONCAT(COUNT(*), ' rows') FROM cell""", "cell")
+def gate_layers(spark, sf):
+    v = Views(spark, sf)
+    scores = published_scores(v)
+    required = ["cell_id", "forecast_year", "estimate", "rank_pct", "score_status"]
+    first = GT.gate_scores_layer(scores, required, v.labelled_years()[-1] + 1, ["experimental"])
+    screening = v.cell().select("cell_id", F.lit(1994).alias("history_start_year"), F.lit(2001).alias("history_end_year"))
+    return first.unionByName(GT.gate_screening_layer(screening, 1992, 2001))
+
+
+@query("q7_gate_national", """
+WITH m AS (SELECT cell_id, COUNT(*) FILTER (WHERE disc IS NULL) AS m, COUNT(*) AS n FROM panel GROUP BY cell_id)
+SELECT 'moving_mask' AS gate, cell_id AS key, CONCAT(m, ' of ', n) AS detail FROM m WHERE m > 0 AND m < n""", "panel")
+def gate_national(spark, sf):
+    panel = Views(spark, sf).panel()
+    return GT.gate_national(panel, ["disc", "tax"], ["price", "target"], "cell_id", "observation_year")
+
+
+@query("q8_gate_source_matrix", """SELECT 'year_set' AS gate, CAST(year AS VARCHAR) AS key, 'extra' AS detail FROM lyrs WHERE year > 1998""", "lyrs")
+def gate_source_matrix(spark, sf):
+    v = Views(spark, sf)
+    return GT.gate_source_matrix(v.pred(), ["cell_id", "target"], "observation_year", [y for y in v.labelled_years() if y <= 1998])
+
+
+@query("q10_gate_grid", """SELECT 'row_count' AS gate, 'table' AS key, CONCAT(COUNT(*), ' instead of ', 1) AS detail FROM cell
+UNION ALL SELECT 'snapped_x', MIN(cell_id) FILTER (WHERE ix % 3 <> 0), CONCAT(COUNT(*) FILTER (WHERE ix % 3 <> 0), ' rows') FROM cell
+UNION ALL SELECT 'snapped_y', MIN(cell_id) FILTER (WHERE iy % 3 <> 0), CONCAT(COUNT(*) FILTER (WHERE iy % 3 <> 0), ' rows') FROM cell""", "cell")
+def gate_grid(spark, sf):
+    """A wrong expected count and a wrong cell size are both reported."""
+    return GT.gate_grid(Views(spark, sf).cell(), 1, 3000)
+
+
+@query("q11_gate_predictions", """SELECT 'held_out_row' AS gate, MIN(cell_id) AS key, CONCAT(COUNT(*), ' rows') AS detail FROM pred WHERE observation_year = 1999""", "pred")
+def gate_predictions(spark, sf):
+    pred = Views(spark, sf).pred().select("cell_id", "observation_year", (F.col("observation_year") + 1).alias("outcome_year"), "target", "score_a")
+    return GT.gate_predictions(pred, pred.columns, "observation_year", [1999])
+
+
+@query("q12_insufficient_evidence", """
+SELECT evidence, missing_groups, COUNT(*) AS n FROM (SELECT CASE WHEN disc IS NULL THEN 'insufficient_evidence' ELSE 'eligible' END AS evidence,
+  CASE WHEN disc IS NULL THEN 'climate' ELSE '' END AS missing_groups FROM panel) s GROUP BY 1, 2""", "panel")
+def insufficient_evidence(spark, sf):
+    out = S.insufficient_evidence(Views(spark, sf).panel(), {"climate": ["disc", "tax"], "terrain": ["price"]})
+    return out.groupBy("evidence", "missing_groups").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q13_gate_mapping", """SELECT 'key_set' AS gate, cell_id AS key, 'missing' AS detail FROM cell WHERE k NOT IN (SELECT k FROM burn)""", "cell burn")
+def gate_mapping(spark, sf):
+    v = Views(spark, sf)
+    mapping = v.burn().select("k").distinct().join(v.cell(), "k").select("cell_id")
+    return GT.gate_mapping(mapping, v.cell().select("cell_id"))

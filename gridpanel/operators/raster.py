@@ -37,17 +37,18 @@ def zonal_mean(
     finite = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     number = F.col(value).cast("double")
 
-    def sums(inside: Column, name: str) -> list[Column]:
-        keep = finite & inside
-        return [F.sum(F.when(keep, number)).alias(f"s_{name}"), F.count_if(keep).alias(f"n_{name}")]
-
     whole, partial = context_offsets(size, distance) if distance else ([(0, 0)], {})
-    aggregates = sums(F.lit(True), "whole")
     placed = placed.withColumns({"_dx": F.col("x") - F.col("ix") * size, "_dy": F.col("y") - F.col("iy") * size})
-    for name, (ox, oy, _) in partial.items():
-        # the context is convex, so a few half-planes decide inside one square
+    # the context is convex, so a few half-planes decide inside one square; one bit per outline
+    bits = ["0"]
+    for i, (ox, oy, _) in enumerate(partial.values()):
         tests = [f"{a!r}D * _dx + {b!r}D * _dy + {c!r}D >= 0" for a, b, c in context_planes(size, distance, ox, oy)]
-        aggregates += sums(F.expr(" AND ".join(tests)), name)
+        bits.append(f"CASE WHEN {' AND '.join(tests)} THEN {1 << i} ELSE 0 END")
+    placed = placed.select("ix", "iy", F.when(finite, number).alias("_v"), F.expr(" + ".join(bits)).alias("_bits"))
+    aggregates = [F.sum("_v").alias("s_whole"), F.count("_v").alias("n_whole")]
+    for i, name in enumerate(partial):
+        seen = F.when(F.col("_bits").bitwiseAND(1 << i) != 0, F.col("_v"))
+        aggregates += [F.sum(seen).alias(f"s_{name}"), F.count(seen).alias(f"n_{name}")]
     reduced = placed.groupBy("ix", "iy").agg(*aggregates)
     part = lambda ox, oy, n: F.struct(
         F.lit(ox).alias("dx"), F.lit(oy).alias("dy"), F.col(f"s_{n}").alias("s"), F.col(f"n_{n}").alias("n")
