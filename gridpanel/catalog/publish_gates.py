@@ -43,8 +43,8 @@ def write_panel(spark, sf):
 
     path = K.scratch_path(spark, "panel")
     K.write_panel(Views(spark, sf).pred(), path)
-    stored = spark.read.parquet(path)
-    bad = order_violations(stored, "cell_id", ["observation_year"]).agg(F.count(F.lit(1))).scalar()
+    stored = spark.read.parquet(path).withColumn("file", F.col("_metadata.file_path"))
+    bad = order_violations(stored, "cell_id", ["file"]).agg(F.count(F.lit(1))).scalar()
     return stored.groupBy("observation_year").agg(
         F.count(F.lit(1)).alias("rows"), F.min("cell_id").alias("first_cell"), F.max("cell_id").alias("last_cell")
     ).withColumn("disorder", bad)

@@ -59,19 +59,14 @@ def content_hash(df: DataFrame) -> DataFrame:
     )
 
 
-def write_panel(
-    df: DataFrame, path: str, year: str = "observation_year", cell: str = "cell_id", files_per_year: int = 1,
-) -> None:
+def write_panel(df: DataFrame, path: str, year: str = "observation_year", cell: str = "cell_id") -> None:
     """Year-major, cell-ordered, zstd panel.
 
-    A year is cut into ``files_per_year`` ranges of the cell id, so a large year is
-    written by many tasks and each file stays ordered.
+    Rows are range-partitioned by year and cell, so a large year is written by many
+    tasks, and every file holds one ordered range of one year.
     """
-    spread = df.withColumn("_part", F.pmod(F.xxhash64(cell), F.lit(files_per_year))) if files_per_year > 1 else df
-    keys = [year, "_part"] if files_per_year > 1 else [year]
-    # range partitioning keeps two years of equal hash apart and splits inside a year by id
-    ranged = spread.repartitionByRange(*[F.col(k) for k in keys], F.col(cell)) if files_per_year > 1 else spread.repartition(F.col(year))
-    ranged.sortWithinPartitions(year, cell).drop("_part").write.mode("error").option("compression", "zstd").partitionBy(year).parquet(path)
+    ranged = df.repartitionByRange(F.col(year), F.col(cell)).sortWithinPartitions(year, cell)
+    ranged.write.mode("error").option("compression", "zstd").partitionBy(year).parquet(path)
 
 
 def fits_existing(spark: SparkSession, path: str, required: Sequence[str]) -> bool:
