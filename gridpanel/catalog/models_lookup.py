@@ -181,7 +181,7 @@ def circle_context(spark, sf):
 @query("j12_context_summary", f"""WITH {SC_SQL}, {disc_sql("(1.0::DOUBLE), (3.0), (5.0)")}
 SELECT px AS x, py AS y, radius_km, COUNT(*) AS intersecting_cell_count, ROUND(SUM(w) / 1e6, 6) AS intersected_area_sq_km, ROUND(SUM(w * estimate) / SUM(w), 6) AS mean_estimate,
   ROUND(SUM(w * rank_pct) / SUM(w), 6) AS mean_rank_pct, ROUND(SUM(CASE WHEN rank_pct > 0.8 THEN w ELSE 0 END) / SUM(w), 6) AS higher_area_share,
-  ROUND(SUM(w * history) / SUM(w), 6) AS mean_history, MIN(cell_id) AS first_cell, MAX(cell_id) AS last_cell FROM wg WHERE w > 1e-6 GROUP BY px, py, radius_km""", "req cell")
+  ROUND(SUM(w * history) / SUM(w), 6) AS mean_history, MIN(cell_id) AS first_cell, MAX(cell_id) AS last_cell FROM wg WHERE w > 1e-3 GROUP BY px, py, radius_km""", "req cell")
 def context_summary(spark, sf):
     v = Views(spark, sf)
     points = v.req().select("x", "y", F.explode(F.array(F.lit(1.0), F.lit(3.0), F.lit(5.0))).alias("radius_km"))

@@ -9,14 +9,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridpanel.functions.scalars import band3, parse_radii
 from gridpanel.operators.skew import salted_join
+from gridpanel.session import spread
 
 SEGMENTS = 64
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _disc_rect_area(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
     """Area of a regular 64-gon of radius ``r`` around ``(px, py)`` inside a rectangle.
 
@@ -66,9 +68,10 @@ def context_summary(
     distinct point and radius is computed once.
     """
     r = F.col("radius_km") * 1000.0
-    spots = points.select("x", "y", "radius_km").distinct()
+    # a pre-aggregation, then an even spread: the weights are the expensive part
+    spots = spread(points.select("x", "y", "radius_km").distinct())
     span = lambda c: F.sequence(F.floor((F.col(c) - r) / size), F.floor((F.col(c) + r) / size))
-    spread = spots.withColumn("ix", F.explode(span("x"))).withColumn("iy", F.explode(span("y")))
+    squares = spots.withColumn("ix", F.explode(span("x"))).withColumn("iy", F.explode(span("y")))
     x0, y0 = F.col("ix") * float(size), F.col("iy") * float(size)
     x1, y1 = x0 + size, y0 + size
     if square:
@@ -77,7 +80,8 @@ def context_summary(
         weight = w * h
     else:
         weight = _disc_rect_area(F.col("x"), F.col("y"), r, x0, y0, x1, y1)
-    weighted = spread.withColumn("w", weight).where("w > 0")
+    # contact without area leaves rounding dust, far below a square millimetre per square metre
+    weighted = squares.withColumn("w", weight).where(F.col("w") > 1e-9 * size * size)
     values = cells.select(
         F.col("ix").cast("bigint").alias("ix"), F.col("iy").cast("bigint").alias("iy"), "cell_id", "estimate", "rank_pct", "history"
     )

@@ -623,7 +623,7 @@ def repair_polygons(polys: DataFrame, keys: Sequence[str]) -> DataFrame:
     rings = F.transform(F.filter(F.transform(F.coalesce("rings", F.array().cast(RINGS_TYPE)), clean_ring), usable), closed)
     cleaned = polys.withColumn("raw_area", F.coalesce(F.when(F.size("rings") > 0, polygon_area(F.col("rings"))), F.lit(0.0)))
     cleaned = cleaned.withColumn("rings", rings)
-    flat = _flat(cleaned)
+    flat = spread(_flat(cleaned))
     extra = [T.StructField("invalid", T.BooleanType()), T.StructField("area_after", T.DoubleType())]
     schema = T.StructType([*flat.schema.fields, *extra])
 
