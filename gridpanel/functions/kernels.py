@@ -27,6 +27,7 @@ def clip_ring(xs: np.ndarray, ys: np.ndarray, planes: np.ndarray) -> tuple[np.nd
         px = np.empty(2 * len(xs))
         py = np.empty(2 * len(xs))
         px[0::2], py[0::2] = xs, ys
+        t = np.where(crossing, t, 0.0)
         px[1::2], py[1::2] = xs + t * (xs[nxt] - xs), ys + t * (ys[nxt] - ys)
         taken = np.empty(2 * len(xs), dtype=bool)
         taken[0::2], taken[1::2] = keep, crossing

@@ -98,7 +98,8 @@ def spatial_join(
     renamed = right.select(*[F.col(c) if c in BOX else F.col(c).alias(f"r_{c}") for c in right.columns])
     a, b = _split_hot_tiles([left, renamed], size, per_tile)
     b = b.select(*[F.col(c).alias(f"r_{c}") if c in BOX else F.col(c) for c in b.columns])
-    pairs = a.join(b, ["tx", "ty", "_g", "sx", "sy"])
+    # copies of one box cannot be split by tiles; their key is salted instead
+    pairs = salted_join(a, b, ["tx", "ty", "_g", "sx", "sy"])
     cx, cy = F.greatest("xmin", "r_xmin"), F.greatest("ymin", "r_ymin")
     if touching:
         meets = (cx <= F.least("xmax", "r_xmax")) & (cy <= F.least("ymax", "r_ymax"))
@@ -118,14 +119,15 @@ def spatial_join(
 def points_in_polygons(
     points: DataFrame, polys: DataFrame, keys: Sequence[str], tile: float, covers: bool = True
 ) -> DataFrame:
-    """``(keys…, polygon columns)`` for every point inside a polygon."""
-    boxed = tile_explode(with_bbox(polys), tile).drop(*BOX)
-    placed = points.select(
-        *keys, "x", "y", F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty")
-    )
-    joined = salted_join(placed, boxed, ["tx", "ty"])
-    hit = joined.where(polygon_contains(F.col("x"), F.col("y"), F.col("rings"), covers))
-    return hit.drop("tx", "ty", "rings")
+    """``(keys…, x, y, polygon columns)`` for every point inside a polygon.
+
+    A point is a box without extent, so crowded tiles are split as in any other join.
+    """
+    spots = points.select(*keys, "x", "y").withColumns({"xmin": F.col("x"), "ymin": F.col("y"), "xmax": F.col("x"), "ymax": F.col("y")})
+    pairs = spatial_join(spots, with_bbox(polys), tile)
+    hit = pairs.where(polygon_contains(F.col("x"), F.col("y"), F.col("r_rings"), covers))
+    others = [c for c in polys.columns if c not in ("rings", *BOX)]
+    return hit.select(*keys, "x", "y", *[F.col(f"r_{c}").alias(c) for c in others])
 
 
 # -------------------------------------------------------------- clip kernels
@@ -331,12 +333,12 @@ def window_areas(
         .where(e["ya"] != e["yb"])
         .select(*group, *window, "role", "poly", e["xa"].alias("xa"), e["ya"].alias("ya"), e["xb"].alias("xb"), e["yb"].alias("yb"))
     )
-    for _ in range(3):
-        counts = edges.groupBy(*group, *window).agg(F.count(F.lit(1)).alias("n"))
-        if mask is not None or counts.where(F.col("n") > 4 * max_edges).isEmpty():
+    side = [*group, *window, "role"]
+    for _ in range(6):
+        counts = edges.groupBy(*side).agg(F.count(F.lit(1)).alias("n"))
+        if counts.where(F.col("n") > 4 * max_edges).isEmpty():
             break
-        merged = _merge_batches(edges.drop("role"), [*group, *window], 4 * max_edges)
-        edges = materialize(merged.withColumn("role", F.lit(0)))
+        edges = materialize(_merge_batches(edges, side, 4 * max_edges))
     names = ["area", *shapes]
     outlines = {n: _shape_edges(points) for n, points in shapes.items()}
     fields = [edges.schema[c] for c in group] + [T.StructField(n, T.DoubleType()) for n in names]
