@@ -103,7 +103,7 @@ WITH l AS ({EDA_LONG}), s AS (SELECT split, col, COUNT(v) AS c, COUNT(*) - COUNT
 y AS (SELECT CAST(observation_year AS VARCHAR) AS y, AVG(CASE WHEN target = 0 THEN 1.0::DOUBLE ELSE 0 END) AS z, AVG(target) AS m, quantile_cont(target, 0.5) AS md,
   quantile_cont(target, 0.99) AS p FROM panel GROUP BY 1),
 o AS (SELECT l.split, l.col, COUNT(*) FILTER (WHERE v < q1 - 3 * (q3 - q1) OR v > q3 + 3 * (q3 - q1)) AS n FROM l JOIN s ON s.col = l.col AND s.split = 'train' WHERE l.col <> 'target' GROUP BY 1, 2)
-SELECT "table", scope, "column", metric, ROUND(value, 6) AS value FROM (
+SELECT "table", scope, "column", metric, CASE WHEN ABS(value) < 5e-7 THEN 0 ELSE ROUND(value, 6) END AS value FROM (
   SELECT 'standardized_difference' AS "table", a.split AS scope, a.col AS "column", 'smd' AS metric, (a.m - t.m) / t.sd AS value FROM s a JOIN s t ON t.col = a.col AND t.split = 'train'
     WHERE a.split <> 'train' AND a.col <> 'target'
   UNION ALL SELECT 'outliers', split, col, 'outliers', n::DOUBLE FROM o

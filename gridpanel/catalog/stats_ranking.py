@@ -152,7 +152,7 @@ def means_by_year(spark, sf):
 
 @query("a13_standardized_difference", f"""
 WITH s AS (SELECT split, col, AVG(v) AS m, stddev_samp(v) AS sd FROM ({LONG}) l GROUP BY split, col)
-SELECT a.split, a.col AS "column", ROUND((a.m - t.m) / t.sd, 6) AS smd FROM s a JOIN s t ON t.col = a.col AND t.split = 'train'
+SELECT a.split, a.col AS "column", CASE WHEN ABS((a.m - t.m) / t.sd) < 5e-7 THEN 0 ELSE ROUND((a.m - t.m) / t.sd, 6) END AS smd FROM s a JOIN s t ON t.col = a.col AND t.split = 'train'
 WHERE a.split <> 'train'""", "panel")
 def standardized_difference(spark, sf):
     return rounded(D.standardized_difference(Views(spark, sf).panel(), "split", COLS))

@@ -7,11 +7,9 @@ from tests.conftest import SF
 from tools.check import compare
 
 FAST = [
-    "p2_tile_key", "p6_assign_reference", "p10_panel_metadata", "a1_recurrence", "w1_rank_pct", "w8_even_sample", "a10_describe",
-    "a17_recurrence_thresholds", "a20_regression_metrics", "a21_capture_at", "a22_tie_aware_ranking", "a24_binned_comparison", "a7_zonal_mode",
-    "a5_season_total", "g17_terrain_slope", "g8_union_area", "g7_clip_to_context", "j5_spatial_join", "j7_knn_nearest", "j9_fill_from_mapping",
-    "j16_lookup_job", "x4_frames_close", "s3_access_audit", "k1_write_panel", "k2_publish", "q1_gate_panel", "t2_recurrence_stream",
-    "b0_recurrence_ranking", "b5_screening",
+    "p2_tile_key", "p6_assign_reference", "a1_recurrence", "w1_rank_pct", "w8_even_sample", "a17_recurrence_thresholds",
+    "a20_regression_metrics", "a21_capture_at", "a22_tie_aware_ranking", "a7_zonal_mode", "a5_season_total", "g17_terrain_slope",
+    "a2_burn_share", "j5_spatial_join", "j7_knn_nearest", "x4_frames_close", "s3_access_audit", "k1_write_panel", "t2_recurrence_stream",
 ]
 
 
