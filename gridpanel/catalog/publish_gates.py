@@ -251,3 +251,20 @@ def gate_mapping(spark, sf):
     v = Views(spark, sf)
     mapping = v.burn().select("k").distinct().join(v.cell(), "k").select("cell_id")
     return GT.gate_mapping(mapping, v.cell().select("cell_id"))
+
+
+@query("p19_score_table", """
+WITH s AS (SELECT cell_id, observation_year, score_b AS estimate, (RANK() OVER (ORDER BY score_b) + (COUNT(*) OVER (PARTITION BY score_b) - 1) / 2.0)::DOUBLE / COUNT(*) OVER () AS r
+  FROM pred WHERE observation_year = (SELECT MAX(year) FROM lyrs))
+SELECT cell_id, observation_year + 1 AS forecast_year, observation_year AS prediction_input_year, ROUND(estimate, 9) AS estimate, ROUND(r, 9) AS rank_pct,
+  'containing_source' AS assignment_method, 'model-1' AS model_id, 'published' AS score_status FROM s""", "pred")
+def score_table(spark, sf):
+    from gridpanel.operators.models import score_table as table
+
+    v = Views(spark, sf)
+    last = v.labelled_years()[-1]
+    rows = v.pred().where(F.col("observation_year") == last).select(
+        "cell_id", F.col("score_b").alias("estimate"), F.lit("containing_source").alias("assignment_method")
+    )
+    out = table(rows, last + 1, "model-1")
+    return out.withColumns({c: F.round(c, 9) for c in ("estimate", "rank_pct")})
