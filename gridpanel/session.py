@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +22,7 @@ def local_session(app: str = "gridpanel", cores: str = "*", partitions: int = 8)
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -60,3 +64,36 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(n, *[F.col(c) for c in cols])
+
+
+PACKAGE = "gridpanel"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application.
+
+    The driver's import path does not reach Python workers, so functions that are pickled
+    by name would not be found there. The archive is served by the driver; nothing is read
+    from an executor's disk.
+    """
+    context = spark.sparkContext
+    if any(Path(name).name.startswith(f"{PACKAGE}-") for name in context._python_includes):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix=f"{PACKAGE}-")) / f"{PACKAGE}-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it again.
+
+    Cuts the lineage like :func:`materialize`; later reads load only the columns they use.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
