@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridpanel.llm import bpe, dedup, mixture, urls
+from gridpanel.llm import bpe, dedup, fingerprints, langid, mixture, toxicity, urls
+from gridpanel.llm.langid import held_out
 from gridpanel.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -20,6 +21,34 @@ RULES = (
 )
 
 
+@query("op1_language_id")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = held_out(F.col("doc_id"))
+    vocabulary = bpe.ranks_of(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    model = langid.train(docs.where(~out), vocabulary)
+    told = langid.identify(docs.select("doc_id", "text"), model)
+    return told.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+# Fixed value: the score from which a text counts as toxic.
+TOXIC_FROM = 0.3
+
+
+@query("op2_toxicity")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"))
+    net = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~out))
+    told = toxicity.score(docs, net)
+    return told.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+@query("op3_fingerprints")
+def op3(spark, sf_dir):
+    return fingerprints.fingerprint_versions(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query(
     "op5_exact_dedup",
     """
