@@ -33,7 +33,15 @@ WINDOW, STRIDE = 32, 24
 HIDDEN, EMBEDDED, ATTENTION = 8, 4, 4
 BUCKETS = 1 << 15
 GRAMS = (3, 4, 5, 6, 7)
-EPOCHS, BATCH, RATE = 14, 64, 0.012
+EPOCHS, BATCH, RATE = 10, 64, 0.012
+#: A text's leanings while fitting come from the other folds, or it would be judged by itself.
+FOLDS = 4
+#: Steps the network is fitted for at least, and the share of learned embeddings left out of each.
+LEAST_STEPS, DROPPED = 400, 0.3
+#: How sure (likelihood ratio, as chi-squared) a bucket's leaning must be.
+SURE = 18.0
+#: Texts of the sample that a bucket must occur in to have an embedding of its own.
+KNOWN_TEXTS = 30
 #: Windows scored at once, and words a task remembers before it starts anew.
 SCORED, STORE_WORDS = 2048, 150_000
 
@@ -71,16 +79,26 @@ def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(grams).astype(np.int64), np.concatenate(owners), (whole % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def leanings(documents: list[set[int]], toxic: np.ndarray) -> np.ndarray:
-    """Per bucket the log-ratio of its document shares in both kinds; what is rare or unsure stays 0."""
+def hits_of(documents: list[set[int]], toxic: np.ndarray) -> np.ndarray:
+    """Texts of either kind that each bucket occurs in."""
     hits = np.zeros((2, BUCKETS))
     for found, kind in zip(documents, toxic):
         hits[int(kind), list(found)] += 1
+    return hits
+
+
+def leanings(documents: list[set[int]], toxic: np.ndarray) -> np.ndarray:
+    """Per bucket the log-ratio of its document shares in both kinds; what is rare or unsure stays 0."""
+    hits = hits_of(documents, toxic)
     n = np.bincount(toxic.astype(int), minlength=2)
     share = (hits + 0.5) / (n[:, None] + 1.0)
     ratio = np.log(share[1] / share[0])
     spread = np.sqrt(1 / (hits[1] + 0.5) + 1 / (hits[0] + 0.5))
-    sure = (hits.sum(0) >= 4) & (np.abs(ratio) > 3 * spread)
+    # likelihood-ratio test of each bucket: with so many buckets only what is far from chance counts
+    expected = hits.sum(0) * (n / max(n.sum(), 1))[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        test = 2 * np.where(hits > 0, hits * np.log(hits / expected), 0.0).sum(0)
+    sure = test > SURE
     return np.where(sure, np.sign(ratio) * np.maximum(np.abs(ratio) - spread, 0), 0.0)
 
 
@@ -89,6 +107,8 @@ class Network:
     gram_lean: np.ndarray
     word_lean: np.ndarray
     share: float
+    gram_known: np.ndarray
+    word_known: np.ndarray
     p: dict[str, np.ndarray] = field(default_factory=dict)
     curve: np.ndarray = field(default_factory=lambda: np.zeros(4))
     fitted: bool = False
@@ -116,8 +136,12 @@ class Network:
         np.maximum.at(top, owner, lean)
         mean = np.bincount(owner, lean, n) / counts
         fixed = np.stack([top / 4, mean / 2, self.word_lean[own] / 4, (self.word_lean[own] > 0) * 0.5], 1)
-        chars = np.stack([np.bincount(owner, self.p["gram"][grams, k], n) for k in range(EMBEDDED)], 1) / counts[:, None]
-        return np.concatenate([fixed, chars, self.p["word"][own]], 1), (grams, owner, own, counts)
+        # buckets of too few texts would only let the network learn those texts by heart
+        known = self.gram_known[grams]
+        grams, owner, counts = grams[known], owner[known], counts[:, None]
+        chars = np.stack([np.bincount(owner, self.p["gram"][grams, k], n) for k in range(EMBEDDED)], 1) / counts
+        kept = self.word_known[own][:, None]
+        return np.concatenate([fixed, chars, self.p["word"][own] * kept], 1), (grams, owner, own, counts, kept)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -179,22 +203,39 @@ def _pool(p: dict, fore: np.ndarray, aft: np.ndarray, mask: np.ndarray):
     return both, inner, weight, pooled, pooled @ p["out"] + p["bias"]
 
 
-def _train(net: Network, words: list[str], windows: np.ndarray, toxic: np.ndarray) -> None:
-    """Adam over shuffled batches; ``windows`` holds word numbers, -1 beyond a text's end."""
+def _batches(fold: np.ndarray, toxic: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
+    """Shuffled batches within folds; toxic windows come again until they are a third of all."""
+    out = []
+    for f in np.unique(fold):
+        one, rest = np.flatnonzero((fold == f) & (toxic > 0)), np.flatnonzero((fold == f) & (toxic == 0))
+        again = max(1, min(3, len(rest) // max(2 * len(one), 1)))
+        order = rng.permutation(np.concatenate([np.tile(one, again), rest]))
+        out += [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
+    return [out[i] for i in rng.permutation(len(out))]
+
+
+def _train(nets: list[Network], words: list[str], windows: np.ndarray, fold: np.ndarray, toxic: np.ndarray) -> None:
+    """Adam over batches; ``windows`` holds word numbers, -1 beyond a text's end.
+
+    ``nets`` share their weights and differ in leanings: one for each fold of texts.
+    """
     rng = np.random.default_rng(11)
-    moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
+    shared = nets[0].p
+    moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in shared.items()}
     step = 0
-    for epoch in range(EPOCHS):
-        rate = RATE * (0.5 if epoch >= EPOCHS // 2 else 1.0)
-        order = rng.permutation(len(windows))
-        for begin in range(0, len(order), BATCH):
-            part = order[begin : begin + BATCH]
+    epochs = max(EPOCHS, -(-LEAST_STEPS // max(1, len(_batches(fold, toxic, rng)))))
+    for epoch in range(epochs):
+        rate = RATE * (0.4 if epoch >= 0.6 * epochs else 1.0)
+        for part in _batches(fold, toxic, rng):
+            net = nets[int(fold[part[0]])]
             used, inverse = np.unique(windows[part].T, return_inverse=True)
             inverse, mask = inverse.reshape(WINDOW, len(part)), windows[part].T >= 0
             known = used >= 0
             x_words = np.zeros((len(used), 4 + 2 * EMBEDDED))
-            x_known, (grams, owner, own, counts) = net.inputs([words[i] for i in used[known]])
-            x_words[known] = x_known
+            x_known, (grams, owner, own, counts, kept) = net.inputs([words[i] for i in used[known]])
+            room = np.ones((len(x_known), 4 + 2 * EMBEDDED))
+            room[:, 4:] = rng.random((len(x_known), 2 * EMBEDDED)) >= DROPPED
+            x_words[known] = x_known * room
             x = x_words[inverse]
             p = net.p
             side = {"f": slice(None), "b": slice(None, None, -1)}
@@ -222,10 +263,10 @@ def _train(net: Network, words: list[str], windows: np.ndarray, toxic: np.ndarra
                 gx += gin @ p[f"in_{s}"].T
             gwords = np.zeros_like(x_words)
             np.add.at(gwords, inverse, gx)
-            gwords = gwords[known]
+            gwords = gwords[known] * room
             grads["gram"], grads["word"] = np.zeros_like(p["gram"]), np.zeros_like(p["word"])
-            np.add.at(grads["gram"], grams, gwords[owner, 4 : 4 + EMBEDDED] / counts[owner][:, None])
-            np.add.at(grads["word"], own, gwords[:, 4 + EMBEDDED :])
+            np.add.at(grads["gram"], grams, gwords[owner, 4 : 4 + EMBEDDED] / counts[owner])
+            np.add.at(grads["word"], own, gwords[:, 4 + EMBEDDED :] * kept)
             step += 1
             for k, grad in grads.items():
                 decayed = grad + 1e-4 * p[k]
@@ -334,16 +375,26 @@ def fit(texts: list[str], toxic: list[int], share: float) -> Network:
     of_word = np.split(grams[np.argsort(owner, kind="stable")], np.cumsum(np.bincount(owner, minlength=len(every)))[:-1]) if every else []
     gram_sets = [set(np.concatenate([of_word[number[w]] for w in set(c)]).tolist()) if c else set() for c in cut]
     word_sets = [{int(own[number[w]]) for w in c} for c in cut]
-    net = Network(leanings(gram_sets, kind), leanings(word_sets, kind), share)
+    often = [hits_of(sets, kind).sum(0) >= KNOWN_TEXTS for sets in (gram_sets, word_sets)]
+    net = Network(leanings(gram_sets, kind), leanings(word_sets, kind), share, *often)
     if len(np.unique(kind)) < 2 or not every:
         return net
     net.start()
+    folds = np.random.default_rng(5).permutation(len(cut)) % FOLDS
+    others = [np.flatnonzero(folds != f) for f in range(FOLDS)]
+    nets = [
+        Network(leanings([gram_sets[i] for i in o], kind[o]), leanings([word_sets[i] for i in o], kind[o]), share, *often, net.p)
+        for o in others
+    ]
     # from every text the windows that lean most, and one other
-    x, _ = net.inputs(every)
-    lean = np.maximum(x[:, 0], x[:, 2])
+    leans = []
+    for part in nets:
+        x, _ = part.inputs(every)
+        leans.append(np.maximum(x[:, 0], x[:, 2]))
     rng = np.random.default_rng(3)
-    windows, labels = [], []
-    for c, k in zip(cut, kind):
+    windows, labels, of = [], [], []
+    for c, k, f in zip(cut, kind, folds):
+        lean = leans[f]
         n = np.array([number[w] for w in c], np.int64)
         starts = windows_of(len(n))
         if not starts:
@@ -356,9 +407,14 @@ def fit(texts: list[str], toxic: list[int], share: float) -> Network:
             w = n[starts[i] : starts[i] + WINDOW]
             windows.append(np.pad(w, (0, WINDOW - len(w)), constant_values=-1))
             labels.append(k)
-    _train(net, every, np.array(windows), np.array(labels, float))
-    scorer = Scorer(net)
-    x, count = scorer.features(texts)
+            of.append(f)
+    _train(nets, every, np.array(windows), np.array(of), np.array(labels, float))
+    x, count = np.zeros((len(texts), 4)), np.zeros(len(texts), np.int64)
+    for f, part in enumerate(nets):
+        scorer = Scorer(part)
+        own_fold = np.flatnonzero(folds == f)
+        for some in np.array_split(own_fold, max(1, len(own_fold) // 200)):
+            x[some], count[some] = scorer.features([texts[i] for i in some])
     use = count > 0
     part = kind.mean()
     weight = np.where(kind == 1, share / part, (1 - share) / (1 - part))
