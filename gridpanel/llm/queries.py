@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridpanel.llm import bpe, dedup, fingerprints, langid, mixture, toxicity, urls
+from gridpanel.llm import bpe, dedup, fingerprints, jaccard, langid, mixture, toxicity, urls
 from gridpanel.llm.langid import held_out
 from gridpanel.llm.registry import ORACLES, QUERIES, query, table
 
@@ -49,6 +49,12 @@ def op3(spark, sf_dir):
     return fingerprints.fingerprint_versions(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op4_ngram_jaccard")
+def op4(spark, sf_dir):
+    told = jaccard.components(table(spark, sf_dir, "documents"))
+    return told.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 @query(
     "op5_exact_dedup",
     """
