@@ -27,14 +27,16 @@ from pyspark.sql import types as T
 from gridpanel.llm.arrowtext import filled, slices
 
 #: Labelled texts per language that the model is fitted on at most.
-SAMPLE_ROWS = 600
+SAMPLE_ROWS = 300
 #: Bytes of text in the whole sample at most; texts beyond it are left out as a whole.
-SAMPLE_BYTES = 16 << 20
+SAMPLE_BYTES = 6 << 20
 ROUNDS = 3
 #: Pieces longer than this are not used.
 LONGEST = 12
 #: Weight, in counts, of the distribution over all languages.
 SMOOTHING = 400.0
+#: Bytes of distinct words whose segmentations are held at once.
+BLOCK_BYTES = 100_000
 #: Words a task remembers before it starts anew.
 STORE_WORDS = 300_000
 
@@ -159,21 +161,24 @@ class Model:
     prior: np.ndarray
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        """Log-probability of each word in each language; long words are cut into blocks that memory holds."""
-        coded = [w.encode() for w in words]
-        out, begin, held = [], 0, 0
-        for i, w in enumerate(coded):
-            if held and held + len(w) > 200_000:
-                out.append(self._scores(coded[begin:i]))
-                begin, held = i, 0
-            held += len(w)
-        if begin < len(coded):
-            out.append(self._scores(coded[begin:]))
-        return np.concatenate(out) if out else np.zeros((0, len(self.languages)))
-
-    def _scores(self, words: list[bytes]) -> np.ndarray:
-        lattice = Lattice(words, self.pieces)
-        return lattice.forward(self.log_p)[lattice.ends]
+        """Log-probability of each word in each language."""
+        out = [np.zeros((0, len(self.languages)))]
+        for block in blocks([w.encode() for w in words]):
+            lattice = Lattice(block, self.pieces)
+            out.append(lattice.forward(self.log_p)[lattice.ends])
+        return np.concatenate(out)
+
+
+def blocks(words: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of words that memory holds with all their segmentations; a longer word stands alone."""
+    begin = held = 0
+    for i, w in enumerate(words):
+        if held and held + len(w) > BLOCK_BYTES:
+            yield words[begin:i]
+            begin, held = i, 0
+        held += len(w)
+    if begin < len(words):
+        yield words[begin:]
 
 
 def fit(rows: list[tuple[str, str]], vocabulary: Mapping[bytes, int], rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> Model:
@@ -186,15 +191,20 @@ def fit(rows: list[tuple[str, str]], vocabulary: Mapping[bytes, int], rounds: in
     texts = Counter(language for _, language in rows)
     prior = np.log(np.array([texts[x] + 1.0 for x in languages])) if languages else np.zeros(0)
     every = sorted(set().union(*counts.values())) if counts else []
-    weight = np.array([[counts[x][w] for x in languages] for w in every], float).reshape(len(every), len(languages))
-    lattice = Lattice([w.encode() for w in every], pieces)
+    coded = [w.encode() for w in every]
     log_p = np.full((pieces.count, len(languages)), -np.log(pieces.count))
     for _ in range(rounds if languages else 0):
-        ahead, behind = lattice.forward(log_p), lattice.backward(log_p)
-        whole = np.repeat(ahead[lattice.ends], lattice.lengths + 1, axis=0)
-        used = np.exp(ahead[lattice.source] + log_p[lattice.piece] + behind[lattice.target] - whole[lattice.source])
-        used *= np.repeat(weight, lattice.lengths + 1, axis=0)[lattice.source]
-        expected = np.stack([np.bincount(lattice.piece, used[:, k], pieces.count) for k in range(len(languages))], 1)
+        expected, done = np.zeros((pieces.count, len(languages))), 0
+        for block in blocks(coded):
+            words = every[done : done + len(block)]
+            done += len(block)
+            weight = np.array([[counts[x][w] for x in languages] for w in words], float)
+            lattice = Lattice(block, pieces)
+            ahead, behind = lattice.forward(log_p), lattice.backward(log_p)
+            word = np.repeat(np.arange(len(block)), lattice.lengths + 1)[lattice.source]
+            used = np.exp(ahead[lattice.source] + log_p[lattice.piece] + behind[lattice.target] - ahead[lattice.ends][word]) * weight[word]
+            for k in range(len(languages)):
+                expected[:, k] += np.bincount(lattice.piece, used[:, k], pieces.count)
         shared = expected.sum(1) + 0.01
         shared /= shared.sum()
         log_p = np.log((expected + smoothing * shared[:, None]) / (expected.sum(0) + smoothing))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridpanel.llm import bpe, dedup, fingerprints, jaccard, langid, mixture, toxicity, urls
+from gridpanel.llm import bpe, dedup, fingerprints, html_text, jaccard, langid, mixture, private_data, toxicity, urls
 from gridpanel.llm.langid import held_out
 from gridpanel.llm.registry import ORACLES, QUERIES, query, table
 
@@ -69,6 +69,15 @@ def op5(spark, sf_dir):
     return told.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query("op6_private_data")
+def op6(spark, sf_dir):
+    found = private_data.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("base", lambda x: x["kind"])
+    count = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in private_data.KINDS]
+    base = F.sha2(private_data.listed(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *count, base, private_data.listed(F.col("spans")).alias("spans"))
+
+
 @query(
     "op7_source_mixture",
     r"""
@@ -101,6 +110,12 @@ def op7(spark, sf_dir):
     return planned.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op8_html_text")
+def op8(spark, sf_dir):
+    told = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return told.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query(
     "op9_url_filter",
     r"""

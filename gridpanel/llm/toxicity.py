@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridpanel.llm.arrowtext import filled, slices
+from gridpanel.llm.bpe import gather
 
 #: Labelled rows of each kind that are fitted on at most, and the longest text among them in bytes.
-SAMPLE_ROWS = 1500
+SAMPLE_ROWS = 1000
 SAMPLE_TEXT_BYTES = 60_000
 WINDOW, STRIDE = 32, 24
 HIDDEN, EMBEDDED, ATTENTION = 8, 4, 4
@@ -79,15 +80,15 @@ def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(grams).astype(np.int64), np.concatenate(owners), (whole % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def hits_of(documents: list[set[int]], toxic: np.ndarray) -> np.ndarray:
-    """Texts of either kind that each bucket occurs in."""
+def hits_of(documents: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Texts of either kind that each bucket occurs in; a text's buckets are distinct."""
     hits = np.zeros((2, BUCKETS))
     for found, kind in zip(documents, toxic):
-        hits[int(kind), list(found)] += 1
+        hits[int(kind), found] += 1
     return hits
 
 
-def leanings(documents: list[set[int]], toxic: np.ndarray) -> np.ndarray:
+def leanings(documents: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Per bucket the log-ratio of its document shares in both kinds; what is rare or unsure stays 0."""
     hits = hits_of(documents, toxic)
     n = np.bincount(toxic.astype(int), minlength=2)
@@ -372,9 +373,14 @@ def fit(texts: list[str], toxic: list[int], share: float) -> Network:
     every = sorted({w for c in cut for w in c})
     grams, owner, own = gram_buckets(every)
     number = {w: i for i, w in enumerate(every)}
-    of_word = np.split(grams[np.argsort(owner, kind="stable")], np.cumsum(np.bincount(owner, minlength=len(every)))[:-1]) if every else []
-    gram_sets = [set(np.concatenate([of_word[number[w]] for w in set(c)]).tolist()) if c else set() for c in cut]
-    word_sets = [{int(own[number[w]]) for w in c} for c in cut]
+    order = np.argsort(owner, kind="stable")
+    grams, counts = grams[order].astype(np.int32), np.bincount(owner, minlength=len(every))
+    starts = np.cumsum(counts) - counts
+    gram_sets, word_sets = [], []
+    for c in cut:
+        n = np.array([number[w] for w in set(c)], np.int64)
+        gram_sets.append(np.unique(gather(grams, starts[n], counts[n])))
+        word_sets.append(np.unique(own[n]))
     often = [hits_of(sets, kind).sum(0) >= KNOWN_TEXTS for sets in (gram_sets, word_sets)]
     net = Network(leanings(gram_sets, kind), leanings(word_sets, kind), share, *often)
     if len(np.unique(kind)) < 2 or not every:
