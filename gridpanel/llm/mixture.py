@@ -119,12 +119,13 @@ def _time(share: Column, slope: Column) -> Column:
     return F.when(slope == 0, share).otherwise(curved)
 
 
-def curriculum(docs: DataFrame, **options) -> DataFrame:
+def curriculum(docs: DataFrame, source: str = "source", text: str = "text", **options) -> DataFrame:
     """The documents as they train: one row per copy, in order of training time.
 
     A source's last copy counts if at least half of its words are taken. The columns are
     those of ``docs``.
     """
-    copies = schedule(docs, **options).withColumn("_copy", F.explode("starts"))
+    packed = docs.select("doc_id", F.col(source).alias("_from"), F.col(text).alias("_words"), F.struct(*docs.columns).alias("_row"))
+    copies = schedule(packed, "_from", "_words", **options).withColumn("_copy", F.explode("starts"))
     copies = copies.where(2 * F.col("_copy.words") >= F.col("size"))
-    return copies.orderBy("_copy.time", F.md5(F.col("doc_id").cast("string")), "doc_id").select(*docs.columns)
+    return copies.orderBy("_copy.time", F.md5(F.col("doc_id").cast("string")), "doc_id").select("_row.*")

@@ -444,8 +444,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = SA
     return fit([r["text"] for r in picked], [r["toxic"] for r in picked], share)
 
 
-def score(df: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """Add ``score`` (0 to 1) and ``n_windows``."""
+def score(df: DataFrame, net: Network, text: str = "text", out: str = "score") -> DataFrame:
+    """Add the score (0 to 1) of each text."""
     shared = df.sparkSession.sparkContext.broadcast(net)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,8 +454,8 @@ def score(df: DataFrame, net: Network, text: str = "text") -> DataFrame:
             for part in slices(batch, text, 1 << 20):
                 texts = filled(part.column(text)).to_pylist()
                 values = scorer(texts) if scorer else np.full(len(texts), shared.value.share)
-                kept = {n: part.column(i) for i, n in enumerate(part.schema.names) if n != "score"}
-                yield pa.RecordBatch.from_pydict(kept | {"score": pa.array(values, pa.float64())})
+                kept = {n: part.column(i) for i, n in enumerate(part.schema.names) if n != out}
+                yield pa.RecordBatch.from_pydict(kept | {out: pa.array(values, pa.float64())})
 
-    fields = [f for f in df.schema.fields if f.name != "score"]
-    return df.mapInArrow(read, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
+    fields = [f for f in df.schema.fields if f.name != out]
+    return df.mapInArrow(read, T.StructType([*fields, T.StructField(out, T.DoubleType())]))
