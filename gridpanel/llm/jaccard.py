@@ -40,7 +40,7 @@ COUNTERS, SHARED_BITS = 1 << 19, 1 << 25
 #: Parts that the suffix filter splits a set into.
 PARTS = 32
 #: Rounds of one comparison per member before all pairs of different components are compared.
-ROUNDS = 3
+ROUNDS = 2
 
 _CODES = byte_codes(fold_case=True)
 _PLACE = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
@@ -211,7 +211,9 @@ def _candidates(left: DataFrame, right: DataFrame) -> DataFrame:
         & (F.lit(DEN) * F.least("n", "m") >= F.lit(NUM) * F.greatest("n", "m"))
         & (most >= need)
     )
-    return pairs.where(passed).select(F.least("id", "with").alias("a"), F.greatest("id", "with").alias("b")).distinct()
+    first = F.col("id") < F.col("with")
+    pair = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("a", "id", "with"), ("b", "with", "id"), ("a_comp", "comp", "other"), ("b_comp", "other", "comp"))]
+    return pairs.where(passed).select(*pair).distinct()
 
 
 def _verified(pairs: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
@@ -223,11 +225,10 @@ def _verified(pairs: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
     total = F.col("a_n") + F.col("b_n")
     enough = lambda overlap: F.lit(DEN) * overlap >= F.lit(NUM) * (total - overlap)
     most = F.aggregate(F.zip_with("a_parts", "b_parts", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    likely = sized.where(enough(most)).select("a", "b", "a_n", "b_n")
-    likely = broadcast_if_small(materialize(likely), 50_000)
+    likely = sized.where(enough(most)).select(*pairs.columns, "a_n", "b_n")
     both = likely.join(side(sets, "a", "set"), "a").join(side(sets, "b", "set"), "b")
     overlap = F.size(F.array_intersect("a_set", "b_set")).cast("long")
-    return both.where(enough(overlap)).select("a", "b")
+    return both.where(enough(overlap)).select(*pairs.columns)
 
 
 def components(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -250,11 +251,10 @@ def components(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Dat
     facts = materialize(facts.select("id", "n", "parts").dropDuplicates(["id"]))
     group = group.select("h", "id", "n", "pos").withColumn("comp", F.col("id"))
     links = tried = None
+    labels = classes.select("id", F.col("id").alias("component"))
     for turn in range(rounds + 1):
         open_ = group.groupBy("h").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("h")
         group = materialize(group.join(open_, "h", "left_semi"))
-        if group.isEmpty():
-            break
         other = group.select("h", F.col("id").alias("with"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("other"))
         if turn < rounds:
             rank = F.xxhash64("with") if turn == 0 else F.xxhash64("with", "h", F.lit(turn))
@@ -267,19 +267,20 @@ def components(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Dat
         pairs = materialize(pairs)
         if pairs.isEmpty():
             continue
-        tried = pairs if tried is None else materialize(tried.union(pairs))
+        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
         new = materialize(_verified(pairs, facts, sets))
-        links = new if links is None else materialize(links.union(new))
-        labels = connected_components(links)
-        at = labels.select(F.col("node").alias("id"), "component")
-        group = group.join(at, "id", "left").select("h", "id", "n", "pos", F.coalesce("component", "id").alias("comp"))
+        links = new.select("a", "b") if links is None else links.union(new.select("a", "b"))
+        # components of components: only what this round joins is looked at
+        joined = connected_components(new.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
+        to = joined.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+        labels = materialize(labels.join(to, "component", "left").select("id", F.coalesce("_to", "component").alias("component")))
+        group = group.join(to.withColumnRenamed("component", "comp"), "comp", "left").select("h", "id", "n", "pos", F.coalesce("_to", "comp").alias("comp"))
+    of_class = classes.join(labels, "id").withColumnRenamed("component", "component_id")
     if links is None:
-        of_class = classes.select("sig_a", "sig_b", "id", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+        of_class = of_class.withColumn("n_links", F.lit(0).cast("long"))
     else:
         ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-        of_class = classes.join(at, "id", "left").join(ends, "id", "left").select(
-            "sig_a", "sig_b", "id", F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
-        )
+        of_class = of_class.join(ends, "id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
     told = members.join(of_class, ["sig_a", "sig_b"], "left")
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     told = told.select(
