@@ -147,12 +147,14 @@ def rerun_check(spark, sf):
 
 
 @query("x6_schema_difference", """
-SELECT 'extra_column' AS gate, 'p_brand' AS key, 'string' AS detail UNION ALL SELECT 'extra_column', 'p_name', 'string'
-UNION ALL SELECT 'extra_column', 'p_type', 'string' UNION ALL SELECT 'missing_column', 'p_weight', 'double'
-UNION ALL SELECT 'column_type', 'p_size', 'int instead of bigint'""")
+SELECT 'extra_column' AS gate, 'p_brand' AS key, 'string' AS detail, COUNT(p_brand) AS rows FROM part
+UNION ALL SELECT 'extra_column', 'p_name', 'string', COUNT(p_name) FROM part
+UNION ALL SELECT 'extra_column', 'p_type', 'string', COUNT(p_type) FROM part UNION ALL SELECT 'missing_column', 'p_weight', 'double', 0
+UNION ALL SELECT 'column_type', 'p_size', 'int instead of bigint', COUNT(p_size) FROM part""")
 def schema_difference(spark, sf):
     part = Views(spark, sf).table("part")
-    return CM.schema_gate(part, [("p_partkey", "bigint"), ("p_size", "bigint"), ("p_retailprice", "double"), ("p_weight", "double")])
+    wanted = [("p_partkey", "bigint"), ("p_size", "bigint"), ("p_retailprice", "double"), ("p_weight", "double")]
+    return CM.with_filled_rows(CM.schema_gate(part, wanted), part)
 
 
 @query("x7_duplicates", """SELECT l_orderkey, l_partkey, COUNT(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1""")

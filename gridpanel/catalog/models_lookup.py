@@ -256,7 +256,7 @@ def recurrence_stream(spark, sf):
 
 
 @query("t3_label_arrival", """
-SELECT cell_id, observation_year + 1 AS forecast_year, score_a AS score, target FROM pred WHERE target > 0""", "pred")
+SELECT cell_id, observation_year + 1 AS forecast_year, score_a AS score, target FROM pred WHERE observation_year + 1 IN (SELECT year FROM burn)""", "pred burn")
 def label_arrival(spark, sf):
     """Outcomes stream in after the scores were published."""
     v = Views(spark, sf)

@@ -142,10 +142,14 @@ def public_fields(spark, sf):
 
 
 @query("p20_forbid_fields", """
-SELECT 'forbidden_field' AS gate, 'score_status' AS key, 'listed' AS detail UNION ALL SELECT 'forbidden_field', 'model_id', 'token'
-UNION ALL SELECT 'forbidden_field', 'forecast_year', 'token' UNION ALL SELECT 'forbidden_field', 'prediction_input_year', 'token'""")
+SELECT 'forbidden_field' AS gate, key, detail, (SELECT COUNT(*) FROM pred WHERE observation_year = (SELECT MAX(year) FROM lyrs)) AS rows
+FROM (VALUES ('score_status', 'listed'), ('model_id', 'token'), ('forecast_year', 'token'), ('prediction_input_year', 'token')) AS v(key, detail)""", "pred")
 def forbid_fields(spark, sf):
-    return GT.forbidden_fields(published_scores(Views(spark, sf)), GT.PREDICTIVE_NAMES, ["predict", "forecast", "model"])
+    """Fields that must not be published, with the number of rows that hold a value there."""
+    from gridpanel.operators.compare import with_filled_rows
+
+    scores = published_scores(Views(spark, sf))
+    return with_filled_rows(GT.forbidden_fields(scores, GT.PREDICTIVE_NAMES, ["predict", "forecast", "model"]), scores)
 
 
 @query("q1_gate_panel", """
@@ -165,11 +169,14 @@ def gate_panel(spark, sf):
 
 @query("q2_gate_model_frame", """
 SELECT 'undeclared_year' AS gate, MIN(cell_id) AS key, CONCAT(COUNT(*), ' rows') AS detail FROM panel WHERE observation_year > 1999
+UNION ALL SELECT 'above_n_items', MIN(cell_id), CONCAT(COUNT(*), ' rows') FROM panel WHERE n_items > 10 HAVING COUNT(*) > 0
+UNION ALL SELECT 'null_disc', MIN(cell_id), CONCAT(COUNT(*), ' rows') FROM panel WHERE disc IS NULL HAVING COUNT(*) > 0
+UNION ALL SELECT 'null_tax', MIN(cell_id), CONCAT(COUNT(*), ' rows') FROM panel WHERE tax IS NULL HAVING COUNT(*) > 0
+UNION ALL SELECT 'above_tax', MIN(cell_id), CONCAT(COUNT(*), ' rows') FROM panel WHERE tax > 0.05 HAVING COUNT(*) > 0
 UNION ALL SELECT 'year_set', CAST(MAX(year) AS VARCHAR), 'extra' FROM lyrs""", "panel")
 def gate_model_frame(spark, sf):
     v = Views(spark, sf)
-    out = GT.gate_model_frame(contract_panel(v), CONTRACT, DESIGN, [y for y in v.labelled_years() if y <= 1999])
-    return out.where(F.col("gate").isin("undeclared_year", "year_set"))
+    return GT.gate_model_frame(contract_panel(v), CONTRACT, DESIGN, [y for y in v.labelled_years() if y <= 1999])
 
 
 @query("q3_gate_scoring", """

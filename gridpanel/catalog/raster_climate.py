@@ -94,10 +94,10 @@ def stable_mask(spark, sf):
 
 @query("a35_climate_contract", """
 WITH l AS (SELECT lat_idx, lon_idx, year, month, 't2m_k' AS variable, t2m_k AS v FROM clim UNION ALL SELECT lat_idx, lon_idx, year, month, 'tp_m', tp_m FROM clim),
-f AS (SELECT year, variable, COUNT(DISTINCT month) AS months, COUNT(DISTINCT lat_idx) AS lat_count, COUNT(DISTINCT lon_idx) AS lon_count,
+f AS (SELECT year, variable, COUNT(DISTINCT month) AS months, list_sort(list(DISTINCT month)) = [6, 7, 8, 9] AS right_months, COUNT(DISTINCT lat_idx) AS lat_count, COUNT(DISTINCT lon_idx) AS lon_count,
   COUNT(*) FILTER (WHERE v IS NULL) AS nulls, COUNT(*) AS rows FROM l GROUP BY year, variable),
 s AS (SELECT year, MAX(nulls) = MIN(nulls) AS same_nulls FROM f GROUP BY year)
-SELECT f.*, s.same_nulls, months = 4 AND same_nulls AND rows = months * lat_count * lon_count AS ready FROM f JOIN s ON s.year = f.year""", "clim")
+SELECT f.*, s.same_nulls, right_months AND same_nulls AND rows = months * lat_count * lon_count AS ready FROM f JOIN s ON s.year = f.year""", "clim")
 def climate_contract(spark, sf):
     return C.climate_contract(Views(spark, sf).clim(), VARS)
 
@@ -183,9 +183,9 @@ def mosaic(spark, sf):
 
 
 @query("j10_range_overlap", """
-WITH t AS (SELECT DISTINCT CAST(FLOOR(c_acctbal / 250) AS INT) % 40 + 10 AS lat, CAST(c_nationkey AS INT) AS lon FROM customer WHERE c_acctbal >= 0),
+WITH t AS (SELECT DISTINCT CAST(FLOOR(c_acctbal / 250) AS INT) % 40 + 10 AS lat, CAST(c_nationkey AS INT) AS lon FROM customer),
 e AS (SELECT s_suppkey, s_nationkey::DOUBLE AS xmin, s_nationkey + 1.5::DOUBLE AS xmax, 20.0::DOUBLE AS ymin, 20.0 + s_suppkey % 7::DOUBLE AS ymax FROM supplier)
-SELECT CONCAT('N', LPAD(CAST(lat AS VARCHAR), 2, '0'), '_00_E', LPAD(CAST(lon AS VARCHAR), 3, '0'), '_00') AS tile_id, s_suppkey
+SELECT CONCAT(CASE WHEN lat < 0 THEN 'S' ELSE 'N' END, LPAD(CAST(ABS(lat) AS VARCHAR), 2, '0'), '_00_E', LPAD(CAST(lon AS VARCHAR), 3, '0'), '_00') AS tile_id, s_suppkey
 FROM t JOIN e ON lon + 1 > xmin AND lon < xmax AND lat + 1 > ymin AND lat < ymax""")
 def range_overlap(spark, sf):
     """One-degree tiles that openly overlap an extent; touching is not overlap."""
@@ -193,8 +193,9 @@ def range_overlap(spark, sf):
 
     v = Views(spark, sf)
     lat = (F.floor(F.col("c_acctbal") / 250).cast("int") % 40) + 10
-    tiles = v.table("customer").where("c_acctbal >= 0").select(
-        F.format_string("N%02d_00_E%03d_00", lat, F.col("c_nationkey")).alias("tile_id")
+    side = F.when(lat < 0, "S").otherwise("N")
+    tiles = v.table("customer").select(
+        F.format_string("%s%02d_00_E%03d_00", side, F.abs(lat), F.col("c_nationkey")).alias("tile_id")
     ).distinct()
     extents = v.table("supplier").select(
         "s_suppkey", F.col("s_nationkey").cast("double").alias("xmin"), (F.col("s_nationkey") + 1.5).alias("xmax"),

@@ -97,11 +97,15 @@ def canonical_order(spark, sf):
 
 
 @query("w11_ordering_gate", """
-SELECT CAST(0 AS BIGINT) AS violations, COUNT(*) AS rows FROM pred""", "pred")
+SELECT CAST(0 AS BIGINT) AS violations, COUNT(*) AS rows, CASE WHEN COUNT(*) > 2 THEN 1 ELSE 0 END::BIGINT AS turned FROM pred""", "pred")
 def ordering_gate(spark, sf):
+    """No violation in stored order; the later half put first breaks the order once, between two partitions."""
     stored = P.canonical_order(Views(spark, sf).pred().withColumn("key", F.concat_ws("_", "observation_year", "cell_id")), ["key"])
     bad = P.order_violations(stored, "key").agg(F.count(F.lit(1)).alias("n")).scalar()
-    return stored.agg(F.count(F.lit(1)).alias("rows")).select(bad.alias("violations"), "rows")
+    years = stored.select(F.min("observation_year"), F.max("observation_year")).first()
+    late = lambda wanted: stored.where((F.col("observation_year") == years[1]) == F.lit(wanted)).coalesce(1)
+    turned = P.order_violations(late(True).union(late(False)), "key").agg(F.count(F.lit(1)).alias("n")).scalar()
+    return stored.agg(F.count(F.lit(1)).alias("rows")).select(bad.alias("violations"), "rows", turned.alias("turned"))
 
 
 @query("a9_year_metrics", """

@@ -77,12 +77,12 @@ def split_archive(spark, sf):
     return TB.split_archive_by_year(layer, "Ano", 1997).select("poly_id", "year")
 
 
-@query("p28_boundary_select", """SELECT n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'EUROPE'""")
+@query("p28_boundary_select", """SELECT r_name, n_name, (SELECT COUNT(*) FROM nation) AS units FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_name = (SELECT MIN(n_name) FROM nation)""")
 def boundary_select(spark, sf):
     v = Views(spark, sf)
     rows = v.table("nation").join(v.table("region"), F.col("r_regionkey") == F.col("n_regionkey"))
-    chosen, units = TB.boundary_select(rows, "r_name", "EUROPE", "n_name")
-    return chosen.join(units.select("n_name"), "n_name", "left_semi").select("n_name", "r_name")
+    chosen, units = TB.boundary_select(rows, "n_name", rows.agg(F.min("n_name")).first()[0], "n_name")
+    return chosen.select("r_name", "n_name", units.agg(F.count(F.lit(1)).alias("units")).scalar().alias("units"))
 
 
 @query("h2_tile_explode", """SELECT poly_id, tx.range AS tx, ty.range AS ty FROM rect
@@ -241,10 +241,14 @@ DAMAGED_SQL = """d AS (SELECT poly_id, year, poly_id % 10 AS kind, CAST((xmax -
 @query("g3_repair_polygons", f"""
 WITH {DAMAGED_SQL}
 SELECT poly_id, CASE WHEN kind = 0 THEN 'repaired' WHEN kind = 3 THEN 'rejected' ELSE 'accepted' END AS status, kind = 0 AS invalid,
-  ROUND(CASE WHEN kind = 0 THEN a / 2 WHEN kind = 3 THEN 0 ELSE a END, 3) AS area_after FROM d""", "rect")
+  ROUND(CASE WHEN kind = 0 THEN a / 2 WHEN kind = 3 THEN 0 ELSE a END, 3) AS area_after,
+  ROUND(CASE WHEN kind = 0 THEN a / 2 WHEN kind = 3 THEN 0 ELSE a END, 3) AS ring_area FROM d""", "rect")
 def repair_polygons(spark, sf):
+    """The rings that come back must measure what the repair says."""
     out = SP.repair_polygons(_damaged(Views(spark, sf)), ["poly_id"])
-    return out.select("poly_id", "status", "invalid", F.round("area_after", 3).alias("area_after"))
+    measured = F.coalesce(F.sum(GE.polygon_area(F.col("rings"))), F.lit(0.0))
+    whole = out.groupBy("poly_id", "status", "invalid", "area_after").agg(measured.alias("ring_area"))
+    return whole.select("poly_id", "status", "invalid", F.round("area_after", 3).alias("area_after"), F.round("ring_area", 3).alias("ring_area"))
 
 
 @query("a31_repair_log", f"""

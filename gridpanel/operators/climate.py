@@ -54,10 +54,14 @@ def stable_mask(climate: DataFrame, variables: Sequence[str]) -> DataFrame:
 
 
 def climate_contract(climate: DataFrame, variables: Sequence[str], months: Sequence[int] = (6, 7, 8, 9)) -> DataFrame:
-    """Shape, months and null counts per year and variable; null counts must agree across variables."""
+    """Shape, months and null counts per year and variable; null counts must agree across variables.
+
+    A year is ready only with exactly the wanted months, each of them on the whole grid.
+    """
     long = climate.unpivot(["lat_idx", "lon_idx", "year", "month"], list(variables), "variable", "value")
     facts = long.groupBy("year", "variable").agg(
         F.count_distinct("month").alias("months"),
+        (F.array_sort(F.collect_set("month")) == F.lit(sorted(int(m) for m in months)).cast("array<int>")).alias("right_months"),
         F.count_distinct("lat_idx").alias("lat_count"),
         F.count_distinct("lon_idx").alias("lon_count"),
         F.count_if(F.col("value").isNull()).alias("nulls"),
@@ -65,7 +69,7 @@ def climate_contract(climate: DataFrame, variables: Sequence[str], months: Seque
     )
     yearly = facts.groupBy("year").agg((F.max("nulls") == F.min("nulls")).alias("same_nulls"))
     return facts.join(yearly, "year").withColumn(
-        "ready", (F.col("months") == len(months)) & F.col("same_nulls")
+        "ready", F.col("right_months") & F.col("same_nulls")
         & (F.col("rows") == F.col("months") * F.col("lat_count") * F.col("lon_count"))
     )
 

@@ -36,6 +36,13 @@ def schema_difference(df: DataFrame, expected: Sequence[str]) -> dict[str, list[
     }
 
 
+def with_filled_rows(violations: DataFrame, df: DataFrame) -> DataFrame:
+    """Add ``rows``, how many rows of ``df`` have a value in the column a violation names."""
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    long = counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").alias("rows")) for c in df.columns])))
+    return violations.join(long, "key", "left").select(*violations.columns, F.coalesce("rows", F.lit(0).cast("bigint")).alias("rows"))
+
+
 def schema_gate(df: DataFrame, expected: Sequence[tuple[str, str]]) -> DataFrame:
     """Missing, extra and retyped columns as violation rows."""
     have, want = dict(df.dtypes), dict(expected)

@@ -159,21 +159,28 @@ def fill_from_mapping(
 ) -> DataFrame:
     """Own source value where valid, otherwise all variables of the mapped source together.
 
-    ``cell_years`` carry ``cell_id, sid``; ``climate`` is one row per ``(sid, by…)``.
+    ``cell_years`` carry ``cell_id, sid``; ``climate`` is one row per ``(sid, by…)``. Only masked
+    rows with a mapping meet the second source, so no row is dealt by a null key. A source
+    masked in some of the variables only is an error, and so is a mapped source without values.
     """
     own = cell_years.join(climate, ["sid", *by], "left")
+    nulls = sum((F.col(v).isNull().cast("int") for v in variables), F.lit(0))
+    partial = F.when((nulls > 0) & (nulls < len(variables)), F.raise_error(F.concat(F.lit("source masked in part: "), F.col("sid").cast("string"))))
+    masked = F.coalesce(partial.cast("boolean"), nulls > 0)
     mapped = mapping.select("cell_id", "fallback_sid")
     second = climate.select(
         F.col("sid").alias("fallback_sid"), *by, *[F.col(v).alias(f"_f_{v}") for v in variables]
     )
-    both = own.join(mapped, "cell_id", "left").join(second, ["fallback_sid", *by], "left")
-    masked = F.greatest(*[F.col(v).isNull().cast("int") for v in variables], F.lit(0)) == 1
-    method = F.when(~masked, "containing_source").when(F.col("fallback_sid").isNotNull(), "nearest_valid_source")
-    method = method.otherwise("unassigned")
-    filled = {v: F.when(masked, F.col(f"_f_{v}")).otherwise(F.col(v)) for v in variables}
-    return both.withColumns({**filled, "assignment_method": method}).drop(
-        "fallback_sid", *[f"_f_{v}" for v in variables]
-    )
+    columns = own.columns
+    whole = own.where(~masked).withColumn("assignment_method", F.lit("containing_source"))
+    open_ = own.where(masked).join(mapped, "cell_id", "left")
+    alone = open_.where("fallback_sid IS NULL").select(*columns, F.lit("unassigned").alias("assignment_method"))
+    met = open_.where("fallback_sid IS NOT NULL").join(second, ["fallback_sid", *by], "left")
+    filled = {
+        v: F.coalesce(F.col(f"_f_{v}"), F.raise_error(F.lit("mapped source has no value")).cast("double")) for v in variables
+    }
+    met = met.withColumns(filled).select(*columns, F.lit("nearest_valid_source").alias("assignment_method"))
+    return whole.unionByName(alone).unionByName(met)
 
 
 def local_consistency(

@@ -172,7 +172,16 @@ def canonical_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def order_violations(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rows whose key is not greater than the previous stored key of the same partition."""
-    stored = df.withColumn("_pid", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id())
+    """Rows whose key is not greater than the key stored before it, also across partitions.
+
+    Within a partition the rows are compared in stored order; of every partition the first
+    row is compared with the last row of the partitions before it.
+    """
+    stored = materialize(df.withColumn("_pid", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id()))
     before = F.lag(key).over(W.partitionBy("_pid", *by).orderBy("_pos"))
-    return stored.withColumn("_prev", before).where(F.col("_prev") >= F.col(key)).drop("_pid", "_pos", "_prev")
+    inside = stored.withColumn("_prev", before).where(F.col("_prev") >= F.col(key))
+    # one row per partition and group
+    ends = stored.groupBy("_pid", *by).agg(F.min("_pos").alias("_pos"), F.max_by(key, "_pos").alias("_last"))
+    ends = ends.withColumn("_prev", F.lag("_last").over(W.partitionBy(*by).orderBy("_pid"))).select("_pos", "_prev")
+    across = stored.join(ends, "_pos").where(F.col("_prev") >= F.col(key))
+    return inside.select(*df.columns).unionByName(across.select(*df.columns))

@@ -613,9 +613,12 @@ def _trapezoid(t) -> list:
 def repair_polygons(polys: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Clean rings, resolve self-crossing by even-odd fill and log what happened.
 
-    Adds ``status`` (accepted / repaired / rejected), ``invalid`` and the area before
-    and after. Rings lose repeated points and nulls, are closed and oriented; rows
-    left without area keep their log line with null rings.
+    Adds ``status`` (accepted / repaired / rejected), ``invalid``, ``raw_area`` and
+    ``area_after``, the areas of the whole polygon before and after, and ``part``. A
+    self-crossing polygon comes back as one row per part, each a plain outer ring that
+    every reader of polygons takes; all others are the single part 0. Rings lose repeated
+    points and nulls, are closed and oriented; polygons left without area keep their log
+    line with null rings.
     """
     clean_ring = lambda r: F.filter(
         r, lambda p, i: p.isNotNull() & ((i == 0) | ~p.eqNullSafe(F.element_at(r, i)))
@@ -626,38 +629,39 @@ def repair_polygons(polys: DataFrame, keys: Sequence[str]) -> DataFrame:
     cleaned = polys.withColumn("raw_area", F.coalesce(F.when(F.size("rings") > 0, polygon_area(F.col("rings"))), F.lit(0.0)))
     cleaned = cleaned.withColumn("rings", rings)
     flat = spread(_flat(cleaned))
-    extra = [T.StructField("invalid", T.BooleanType()), T.StructField("area_after", T.DoubleType())]
+    extra = [T.StructField("invalid", T.BooleanType()), T.StructField("area_after", T.DoubleType()), T.StructField("part", T.IntegerType())]
     schema = T.StructType([*flat.schema.fields, *extra])
 
     def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            invalid, after = [], []
+            origin, invalid, after, part = [], [], [], []
             xs_out, ys_out, lens_out = [], [], []
-            for xs, ys, lens in zip(batch["xs"], batch["ys"], batch["lens"]):
+            for row, (xs, ys, lens) in enumerate(zip(batch["xs"], batch["ys"], batch["lens"])):
                 bad = len(lens) > 0 and _crosses(_ring_edges(xs, ys, lens))
                 if bad:
                     e = _ring_edges(xs, ys, lens)
                     box = (min(xs), min(ys), max(xs), max(ys))
                     traps = [_trapezoid(t) for t in dissolve(np.zeros(len(e), dtype=int), *e.T, box)]
-                    xs = np.concatenate([t[0] for t in traps]) if traps else np.array([])
-                    ys = np.concatenate([t[1] for t in traps]) if traps else np.array([])
-                    lens = [4] * len(traps)
-                    area = sum(abs(ring_area(np.array(t[0]), np.array(t[1]))) for t in traps)
+                    parts = [(np.array(t[0], dtype=float), np.array(t[1], dtype=float), t[2]) for t in traps] or [(np.array([]), np.array([]), [])]
+                    area = float(sum(abs(ring_area(x, y)) for x, y, n in parts if len(n)))
                 else:
                     xs, ys, area = _oriented(np.asarray(xs, dtype=float), np.asarray(ys, dtype=float), lens)
-                invalid.append(bad)
-                after.append(area)
-                xs_out.append(xs)
-                ys_out.append(ys)
-                lens_out.append(list(lens))
-            batch = batch.copy()
+                    parts = [(xs, ys, lens)]
+                for i, (px, py, n) in enumerate(parts):
+                    origin.append(row)
+                    invalid.append(bad)
+                    after.append(area)
+                    part.append(i)
+                    xs_out.append(px)
+                    ys_out.append(py)
+                    lens_out.append(list(n))
+            batch = batch.iloc[origin].reset_index(drop=True)
             batch["xs"], batch["ys"], batch["lens"] = xs_out, ys_out, lens_out
-            batch["invalid"], batch["area_after"] = invalid, after
+            batch["invalid"], batch["area_after"], batch["part"] = invalid, after, np.array(part, dtype="int32")
             yield batch
 
     fixed = _unflat(flat.mapInPandas(fix, schema))
     status = F.when(F.col("area_after") <= 0, "rejected").when(F.col("invalid"), "repaired").otherwise("accepted")
-    # a self-crossing ring's holes are already resolved into separate parts
     return fixed.withColumn("status", status).withColumn("rings", F.when(F.col("status") != "rejected", F.col("rings")))
 
 
@@ -698,7 +702,7 @@ def repair_log(repaired: DataFrame, by: Sequence[str]) -> DataFrame:
     change = F.abs(F.col("area_after") - F.col("raw_area")) / F.col("raw_area") * 100
     change = F.when(F.col("raw_area") == 0, F.lit(float("inf"))).otherwise(change)
     kept = F.col("status") != "rejected"
-    return repaired.groupBy(*by).agg(
+    return repaired.where("part = 0").groupBy(*by).agg(
         F.count(F.lit(1)).alias("input_count"),
         F.count_if("invalid").alias("invalid_count"),
         F.count_if(fixed).alias("repaired_count"),

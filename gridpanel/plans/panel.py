@@ -15,7 +15,7 @@ from gridpanel.operators import raster as RA
 from gridpanel.operators import recurrence as R
 from gridpanel.operators import spatial as SP
 from gridpanel.operators.compare import frame_differences
-from gridpanel.sinks.publish import fits_existing, publish
+from gridpanel.sinks.publish import exists, fits_existing, publish, verify_published
 
 
 def assemble(keyed: DataFrame, components: Sequence[tuple[DataFrame, Sequence[str], bool]]) -> DataFrame:
@@ -111,10 +111,18 @@ def copied_unchanged(extended: DataFrame, existing: DataFrame, years: Sequence[i
 
 
 def component_tables(components: Mapping[str, DataFrame], folder: str, lineage: Mapping[str, Mapping] | None = None) -> dict[str, dict]:
-    """Publish every component once; one that exists with the right columns is reused."""
+    """Publish every component once; one that exists with the right columns and content is reused.
+
+    A folder without manifest, or one that no longer agrees with it, is an error.
+    """
     status = {}
     for name, df in components.items():
         path = f"{folder}/{name}"
+        have = exists(df.sparkSession, path), exists(df.sparkSession, f"{path}.manifest.json")
+        if any(have) and not all(have):
+            raise FileExistsError(f"half-written artefact needs inspection: {path}")
+        if all(have) and not verify_published(df.sparkSession, path).isEmpty():
+            raise ValueError(f"artefact does not agree with its manifest: {path}")
         if fits_existing(df.sparkSession, path, df.columns):
             status[name] = {"status": "reused"}
         else:

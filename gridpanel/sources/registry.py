@@ -23,34 +23,33 @@ def checked_registry(raw: DataFrame) -> DataFrame:
     return raw.where(F.when(whole, True).otherwise(F.raise_error(F.lit("registry row lacks path, kind or checksum"))))
 
 
-def file_inventory(spark: SparkSession, glob: str, whole_file_limit: int = 1 << 30) -> DataFrame:
-    """Path, size and upper-case sha256 of every file.
+def file_inventory(spark: SparkSession, glob: str) -> DataFrame:
+    """Path, size and upper-case sha256 of every file; its bytes are streamed inside tasks, whatever its size.
 
-    Files above ``whole_file_limit`` bytes are hashed in chunks inside tasks, because a
-    binary row cannot hold more than 2 GB; they must be visible to the executors by path.
+    ``pyarrow`` opens the file by its address, so the store must be one that it knows.
     """
-    files = spark.read.format("binaryFile").load(glob)
-    small = files.where(F.col("length") <= whole_file_limit).select(
-        "path", "length", F.upper(F.sha2("content", 256)).alias("sha256")
-    )
-    large = files.where(F.col("length") > whole_file_limit).select("path", "length")
+    files = spark.read.format("binaryFile").load(glob).select("path", "length")
 
     def hash_chunks(batches):
         import hashlib
 
+        from pyarrow import fs
+
         for batch in batches:
             digests = []
             for path in batch["path"]:
                 digest = hashlib.sha256()
-                with open(path.removeprefix("file:"), "rb") as handle:
+                address = "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
+                store, name = fs.FileSystem.from_uri(address)
+                with store.open_input_stream(name) as handle:
                     while chunk := handle.read(1 << 24):
                         digest.update(chunk)
                 digests.append(digest.hexdigest().upper())
             batch["sha256"] = digests
             yield batch
 
-    big = large.repartition("path").mapInPandas(hash_chunks, "path string, length bigint, sha256 string")
-    return small.unionByName(big).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    hashed = files.repartition("path").mapInPandas(hash_chunks, "path string, length bigint, sha256 string")
+    return hashed.withColumn("name", F.element_at(F.split("path", "/"), -1))
 
 
 def verify_inventory(expected: DataFrame, actual: DataFrame, key: str = "name", group: str = "kind") -> DataFrame:

@@ -75,11 +75,22 @@ def read_polygons(spark: SparkSession, path: str, attributes: Sequence[str]) ->
 
 
 def split_archive_by_year(layer: DataFrame, column: str, year: int | None = None) -> DataFrame:
-    """Multi-year layer kept long with an integer ``year``, or one year of it."""
-    long = layer.withColumn("year", F.col(column).try_cast("int")).where(F.col("year").isNotNull())
+    """Multi-year layer kept long with an integer ``year``, or one year of it; a year that is none is an error."""
+    parsed = F.col(column).try_cast("int")
+    said = F.concat(F.lit("no year: "), F.coalesce(F.col(column).cast("string"), F.lit("null")))
+    long = layer.withColumn("year", F.when(parsed.isNull(), F.raise_error(said)).otherwise(parsed))
     return long if year is None else long.where(F.col("year") == year)
 
 
 def boundary_select(regions: DataFrame, level: str, wanted: str, unit: str) -> tuple[DataFrame, DataFrame]:
-    """The one boundary row of the wanted area, and one row per unit."""
-    return regions.where(F.col(level) == wanted), regions.dropDuplicates([unit])
+    """The one boundary row of the wanted area, and the regions with each unit once.
+
+    No or several boundary rows, and a unit without name or with several rows, are errors.
+    """
+    boundary = regions.where(F.col(level) == wanted)
+    if boundary.limit(2).count() != 1:
+        raise ValueError(f"not exactly one boundary row has {level} = {wanted}")
+    repeated = regions.groupBy(unit).agg(F.count(F.lit(1)).alias("rows")).where((F.col("rows") > 1) | F.col(unit).isNull()).head(5)
+    if repeated:
+        raise ValueError(f"units without name or with several rows: {[r[unit] for r in repeated]}")
+    return boundary, regions

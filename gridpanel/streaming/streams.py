@@ -30,7 +30,13 @@ def _append_once(out: str):
 def lookup_stream(requests: DataFrame, cells: DataFrame, size: float, out: str, checkpoint: str, key: str = "event_id", square: bool = False) -> StreamingQuery:
     """Answer a stream of requests against static scores; every batch is the batch lookup."""
     write = _append_once(out)
-    return _available(requests, checkpoint, lambda df, i: write(lookup_job(df, cells, size, key, square), i))
+
+    def batch(df: DataFrame, i: int) -> None:
+        df.persist()  # the lookup reads its requests several times
+        write(lookup_job(df, cells, size, key, square), i)
+        df.unpersist()
+
+    return _available(requests, checkpoint, batch)
 
 
 def recurrence_stream(events: DataFrame, key: str, event_id: str, ts: str = "ts", window: str = "1 day", delay: str = "2 days") -> DataFrame:
@@ -60,11 +66,23 @@ def write_stream(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 
 
 def label_arrival(outcomes: DataFrame, scores: DataFrame, out: str, checkpoint: str, keys: Sequence[str] = ("cell_id", "forecast_year")) -> StreamingQuery:
-    """Evaluate published scores as outcome rows arrive: ``(keys…, score, target)`` per arrived outcome."""
-    write = _append_once(out)
+    """Evaluate published scores as outcomes arrive: ``(keys…, score, target)`` for every score of an arrived year.
+
+    The last key is the year. Scores without an outcome in an arrived year have the target 0.
+    Arrived rows are kept beside the checkpoint, so a year that arrives in parts is evaluated
+    anew with all of its parts.
+    """
+    year, landed = keys[-1], f"{checkpoint}-arrived"
+    log = _append_once(landed)
 
     def batch(df: DataFrame, i: int) -> None:
-        write(scores.join(df, list(keys)).withColumnRenamed("share", "target"), i)
+        df.persist()
+        log(df, i)
+        years = df.select(year).distinct()
+        known = df.sparkSession.read.parquet(landed).select(*keys, F.col("share").alias("target"))
+        told = scores.join(years, year, "left_semi").join(known, list(keys), "left").withColumn("target", F.coalesce("target", F.lit(0.0)))
+        told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(year).parquet(out)
+        df.unpersist()
 
     return _available(outcomes, checkpoint, batch)
 
