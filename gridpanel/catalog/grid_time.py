@@ -224,9 +224,9 @@ def band_intervals(spark, sf):
 
 @query("p16_recurrence_band", """
 SELECT cell_id, observation_year, CASE WHEN n_items <= 2 THEN 'lower' WHEN n_items <= 5 THEN 'moderate' ELSE 'higher' END AS band,
-  CASE WHEN n_items <= 2 THEN '0-2 recorded fire years in the 2 km context during 1995-2001; lower does not mean safe.'
-       WHEN n_items <= 5 THEN '3-5 recorded fire years in the 2 km context during 1995-2001.'
-       ELSE '6-10 recorded fire years in the 2 km context during 1995-2001.' END AS note FROM panel""", "panel")
+  CASE WHEN n_items <= 2 THEN 'Between 1995 and 2001, 0 to 2 years with a fire within 2 km; a low count is no proof of safety'
+       WHEN n_items <= 5 THEN 'Between 1995 and 2001, 3 to 5 years with a fire within 2 km'
+       ELSE 'Between 1995 and 2001, 6 to 10 years with a fire within 2 km' END AS note FROM panel""", "panel")
 def recurrence_band(spark, sf):
     band = S.recurrence_band(F.col("n_items"), F.lit(2), F.lit(5))
     return Views(spark, sf).panel().withColumn("band", band).select(

@@ -169,12 +169,17 @@ def select_model(spark, sf):
 
 @query("b7_diagnostics", """
 SELECT 'regression' AS "table", CONCAT(model, '|', scope) AS key, COUNT(*) AS n, ROUND(AVG(ABS(score - target)), 6) AS value FROM scoped GROUP BY 2
-UNION ALL SELECT 'residuals', CAST(observation_year AS VARCHAR), COUNT(*), ROUND(quantile_cont(score_a - target, 0.5), 6) FROM pred GROUP BY 2""", "scoped pred")
+UNION ALL SELECT 'residuals', CAST(observation_year AS VARCHAR), COUNT(*), ROUND(quantile_cont(score_a - target, 0.5), 6) FROM pred GROUP BY 2
+UNION ALL SELECT 'density', CONCAT(LEAST(FLOOR(target * 55), 54)::INT, '|', LEAST(FLOOR(score_a * 55), 54)::INT), COUNT(*), ROUND(LOG10(COUNT(*)), 6) FROM pred GROUP BY 2
+UNION ALL SELECT 'bins', CAST(bin AS VARCHAR), COUNT(*), ROUND(AVG(target), 6) FROM (
+  SELECT target, GREATEST(1, (SELECT COUNT(*) FROM (SELECT DISTINCT UNNEST(quantile_cont(score_a, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS e FROM pred) q WHERE q.e < p.score_a)) AS bin FROM pred p) b GROUP BY bin""", "scoped pred")
 def diagnostics(spark, sf):
     tables = J.diagnostics(Views(spark, sf).pred(), "observation_year", "target", ["score_a", "score_b"])
     regression = tables["regression"].select(F.lit("regression").alias("table"), F.concat_ws("|", "model", "scope").alias("key"), F.col("rows").alias("n"), F.col("mae_all").alias("value"))
     residuals = tables["residuals"].select(F.lit("residuals").alias("table"), F.col("observation_year").cast("string").alias("key"), "n", F.col("median").alias("value"))
-    return rounded(CM.union_parts([regression, residuals]))
+    density = tables["density"].select(F.lit("density").alias("table"), F.concat_ws("|", "bx", "by").alias("key"), "n", F.col("log10_n").alias("value"))
+    bins = tables["bins"].select(F.lit("bins").alias("table"), F.col("bin").cast("string").alias("key"), F.col("cell_count").alias("n"), F.col("mean_observed").alias("value"))
+    return rounded(CM.union_parts([regression, residuals, density, bins]))
 
 
 @query("b8_web_export", """SELECT cell_id, true AS feature, true AS inside FROM cell""", "cell")

@@ -239,6 +239,47 @@ def gate_grid(spark, sf):
     return GT.gate_grid(Views(spark, sf).cell(), 1, 3000)
 
 
+@query("q10_gate_reference", """
+SELECT 'row_count' AS gate, 'table' AS key, CONCAT(COUNT(*), ' instead of 3') AS detail FROM rect
+UNION ALL SELECT 'empty', MIN(CAST(poly_id AS VARCHAR)), CONCAT(COUNT(*), ' rows') FROM rect WHERE poly_id % 7 = 0
+UNION ALL SELECT 'open_ring', MIN(CAST(poly_id AS VARCHAR)), CONCAT(COUNT(*), ' rows') FROM rect WHERE poly_id % 7 <> 0 AND poly_id % 11 = 0""", "rect")
+def gate_reference(spark, sf):
+    """Regions with a wrong count, lost rings and rings that are not closed."""
+    k = F.col("poly_id")
+    opened = F.transform("rings", lambda r: F.slice(r, F.lit(1), F.size(r) - 1))
+    rings = F.when(k % 7 != 0, F.when(k % 11 == 0, opened).otherwise(F.col("rings")))
+    return GT.gate_reference(Views(spark, sf).polygons().select(k.alias("region_id"), rings.alias("rings")), 3)
+
+
+@query("h4_gate_runner", """
+SELECT 'high_score' AS gate, MIN(cell_id) AS key, CONCAT(COUNT(*), ' rows') AS detail FROM pred WHERE score_a > 0.9 HAVING COUNT(*) > 0
+UNION ALL SELECT 'both_zero', MIN(cell_id), CONCAT(COUNT(*), ' rows') FROM pred WHERE score_a = 0 AND score_b = 0 HAVING COUNT(*) > 0""", "pred")
+def gate_runner(spark, sf):
+    """Two broken rules and two clean ones in one scan; a null counts as clean."""
+    rules = {
+        "high_score": F.col("score_a") > 0.9, "both_zero": (F.col("score_a") == 0) & (F.col("score_b") == 0),
+        "negative": F.col("target") < 0, "unknown": F.lit(None).cast("boolean"),
+    }
+    return GT.run_gates(Views(spark, sf).pred(), rules, "cell_id")
+
+
+@query("q5_gate_screening", """
+SELECT 'forbidden_field' AS gate, 'predicted_share' AS key, 'token' AS detail
+UNION ALL SELECT 'band', MIN(cell_id), CONCAT(COUNT(*), ' rows') FROM cell WHERE ix > 0 AND iy % 5 = 0 HAVING COUNT(*) > 0
+UNION ALL SELECT 'coverage', MIN(cell_id), CONCAT(COUNT(*), ' rows') FROM cell WHERE ix = 3 HAVING COUNT(*) > 0
+UNION ALL SELECT 'unmatched_code', MIN(cell_id), CONCAT(COUNT(*), ' rows') FROM cell WHERE ix = 4 HAVING COUNT(*) > 0
+UNION ALL SELECT 'key_set', cell_id, 'missing' FROM cell WHERE ix = 0""", "cell")
+def gate_screening(spark, sf):
+    """A table with a predictive field, unknown bands, shares above one, unmatched codes and missing cells."""
+    cells = Views(spark, sf).cell()
+    table = cells.where("ix > 0").select(
+        "cell_id", F.when(F.col("iy") % 5 == 0, "extreme").otherwise("lower").alias("historical_exposure_band"),
+        F.when(F.col("ix") == 3, 1.5).otherwise(0.5).alias("coverage_share"), F.lit(0.5).alias("modal_share"),
+        F.when(F.col("ix") == 4, "unmatched").otherwise("low").alias("hazard_class"), F.lit(2).alias("modal_code"), F.lit(0.0).alias("predicted_share"),
+    )
+    return GT.gate_screening(table, cells.select("cell_id"))
+
+
 @query("q11_gate_predictions", """SELECT 'held_out_row' AS gate, MIN(cell_id) AS key, CONCAT(COUNT(*), ' rows') AS detail FROM pred WHERE observation_year = 1999""", "pred")
 def gate_predictions(spark, sf):
     pred = Views(spark, sf).pred().select("cell_id", "observation_year", (F.col("observation_year") + 1).alias("outcome_year"), "target", "score_a")

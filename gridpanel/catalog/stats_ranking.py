@@ -374,3 +374,16 @@ def coverage_counts(spark, sf):
         "status": orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")),
     }
     return D.coverage_counts(parts, "n", orders.agg(F.count(F.lit(1))).scalar())
+
+
+@query("h5_tidy_metrics", """
+SELECT observation_year, 'maximum' AS metric, MAX(score_a) AS value FROM pred GROUP BY 1 UNION ALL SELECT observation_year, 'minimum', MIN(score_a) FROM pred GROUP BY 1
+UNION ALL SELECT observation_year, 'rows', CAST(COUNT(*) AS DOUBLE) FROM pred GROUP BY 1""", "pred")
+def tidy_metrics(spark, sf):
+    """Wide metrics to tidy rows, to columns and to rows again."""
+    wide = Views(spark, sf).pred().groupBy("observation_year").agg(
+        F.min("score_a").alias("minimum"), F.max("score_a").alias("maximum"), F.count(F.lit(1)).alias("rows")
+    )
+    names = ["minimum", "maximum", "rows"]
+    tidy = M.metrics_to_rows(wide, ["observation_year"], names)
+    return M.metrics_to_rows(M.metrics_to_columns(tidy, ["observation_year"], names), ["observation_year"], names)

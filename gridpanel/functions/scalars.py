@@ -47,6 +47,7 @@ def code_group(code: Column, groups: Mapping[str, Sequence[str]]) -> Column:
     return result
 
 
+# Limits and labels of the three published percentile bands.
 def band3(p: Column, low: float = 0.50, high: float = 0.80) -> Column:
     """Code and label of the three right-closed percentile bands."""
     return (
@@ -69,14 +70,17 @@ def recurrence_band(n: Column, low: Column, mid: Column) -> Column:
     return F.when(n <= low, "lower").when(n <= mid, "moderate").otherwise("higher")
 
 
-def recurrence_note(band: Column, low: Column, mid: Column, first: int, last: int, length: int = 10) -> Column:
-    """Human sentence for a band; the lowest one says that lower does not mean safe."""
-    tail = f" recorded fire years in the 2 km context during {first}-{last}"
-    text = lambda a, b: F.concat(a.cast("string"), F.lit("-"), b.cast("string"), F.lit(tail))
+def recurrence_note(
+    band: Column, low: Column, mid: Column, first: int, last: int, length: int = 10, noun: str = "years with a fire", distance: str = "2 km"
+) -> Column:
+    """What a band stands for, in words; the lowest one warns against reading it as no risk."""
+    text = lambda a, b: F.concat(
+        F.lit(f"Between {first} and {last}, "), a.cast("string"), F.lit(" to "), b.cast("string"), F.lit(f" {noun} within {distance}")
+    )
     return (
-        F.when(band == "lower", F.concat(text(F.lit(0), low), F.lit("; lower does not mean safe.")))
-        .when(band == "moderate", F.concat(text(low + 1, mid), F.lit(".")))
-        .otherwise(F.concat(text(mid + 1, F.lit(length)), F.lit(".")))
+        F.when(band == "lower", F.concat(text(F.lit(0), low), F.lit("; a low count is no proof of safety")))
+        .when(band == "moderate", text(low + 1, mid))
+        .otherwise(text(mid + 1, F.lit(length)))
     )
 
 
@@ -102,6 +106,7 @@ def broad_level(class_name: Column) -> Column:
     return mapped(class_name, BROAD_LEVELS)
 
 
+# Fixed values of the two functions below: the published class names.
 def land_class(area: Column, full: float = FULL_CELL_AREA_M2) -> Column:
     return F.when(area < full, "partial_land_coastal").otherwise("full_land_coastal")
 

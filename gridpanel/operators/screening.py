@@ -28,8 +28,14 @@ def recurrence_thresholds(df: DataFrame, count: str, maximum: int = 10) -> DataF
 
 
 def screening_core(recurrence: DataFrame, land_cover: DataFrame, slope: DataFrame, area: DataFrame, key: str = "cell_id") -> DataFrame:
-    """Descriptive components joined one to one; a key missing anywhere drops out and the gate reports it."""
-    return recurrence.join(land_cover, key).join(slope, key).join(area, key)
+    """Descriptive components of every key of ``area``; a key that a component lacks is an error."""
+    joined, parts = area, (recurrence, land_cover, slope)
+    for i, part in enumerate(parts):
+        joined = joined.join(part.withColumn(f"_has{i}", F.lit(True)), key, "left")
+    lacking = F.array_compact(F.array(*[F.when(F.col(f"_has{i}").isNull(), F.lit(n)) for i, n in enumerate(("recurrence", "land cover", "slope"))]))
+    said = F.concat(F.col(key).cast("string"), F.lit(" lacks "), F.array_join(lacking, ", "))
+    whole = F.when(F.size(lacking) > 0, F.raise_error(said).cast("boolean")).otherwise(F.lit(True))
+    return joined.where(whole).drop(*[f"_has{i}" for i in range(len(parts))])
 
 
 def assemble_screening(

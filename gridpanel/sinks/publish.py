@@ -179,9 +179,11 @@ def metadata_row(scores: DataFrame, version: str, extra: Mapping[str, str] | Non
     return facts.withColumns(columns)
 
 
-def write_report_tables(tables: Mapping[str, DataFrame], path: str) -> None:
-    """Aggregated summaries as one headed CSV each (summaries are a few rows)."""
+def write_report_tables(tables: Mapping[str, DataFrame], path: str, max_rows: int = 100_000) -> None:
+    """Aggregated summaries as one headed CSV each; a table above ``max_rows`` is no summary and an error."""
     for name, df in tables.items():
+        if df.limit(max_rows + 1).count() > max_rows:
+            raise ValueError(f"{name} has more than {max_rows} rows; publish it as a table instead")
         df.coalesce(1).write.mode("error").option("header", True).csv(f"{path}/{name}")
 
 
