@@ -14,7 +14,7 @@ for all shingles, then one drawn per shingle. What then still lies in different
 group is compared pair by pair, so no link between components is lost.
 
 Null and empty texts, and texts without words, have no shingles and link with nothing; fewer than five words
-are one shingle. Rows with one ``doc_id`` are one node; rows without are returned unlinked, with
+are one shingle. Rows with one ``doc_id`` are one node, whatever their texts; rows without are returned unlinked, with
 a null component. Empty tables give no rows. Extra columns are ignored, except by
 :func:`one_per_component`, which passes them on.
 """
@@ -152,8 +152,8 @@ def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple((mix(h + np.uint64(s)) & np.uint64(SHARED_BITS - 1)).astype(np.int64) for s in (1, 2))
 
 
-def shared_shingles(found: DataFrame) -> DataFrame:
-    """``h, sig_a, sig_b, n, pos`` of the prefix shingles that different sets share."""
+def shared_shingles(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """``h, id, n, pos`` of prefix shingles that different sets share, and of a few others."""
     spark = found.sparkSession
     rows = found.where("n > 0 AND doc_id IS NOT NULL")
     meeting = (
@@ -179,14 +179,15 @@ def shared_shingles(found: DataFrame) -> DataFrame:
             for bit in _bits(h.view(np.uint64)):
                 keep &= (table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
             row = pa.array(who[keep])
-            yield pa.RecordBatch.from_pydict({"h": pa.array(h[keep]), "sig_a": batch.column("sig_a").take(row), "sig_b": batch.column("sig_b").take(row), "n": batch.column("n").take(row), "pos": pa.array(pos[keep], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h[keep]), "id": batch.column("doc_id").take(row), "n": batch.column("n").take(row).cast(pa.int32()), "pos": pa.array(pos[keep], pa.int32())})
 
-    thinned = rows.select("sig_a", "sig_b", "n", "prefix").mapInArrow(thin, "h long, sig_a long, sig_b long, n long, pos long")
-    return thinned.distinct().join(meeting, "h", "left_semi")
+    thinned = rows.select("doc_id", "n", "prefix").mapInArrow(thin, "h long, id long, n int, pos int")
+    # of equal sets only the one that stands for their class
+    return thinned.join(classes.select("id"), "id", "left_semi").select("h", "id", "n", "pos")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, set`` of the classes whose representative documents are ``ids`` (``id, sig_a, sig_b``)."""
+    """``id, sig_a, set`` of the documents ``ids`` (``id, sig_a``); a repeated id comes as often as it has that set."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -197,8 +198,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"id": part.column("id"), "sig_a": part.column("sig_a"), "own": pa.array(sig), "set": _lists(h.view(np.int64), n, pa.int64())})
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(broadcast_if_small(ids, 2_000_000), "id").select("id", "sig_a", "text")
-    # of several rows with one doc_id, the one whose set stands for the class
-    return wanted.mapInArrow(read, "id long, sig_a long, own long, set array<long>").where("own = sig_a").select("id", "set").dropDuplicates(["id"])
+    return wanted.mapInArrow(read, "id long, sig_a long, own long, set array<long>").where("own = sig_a").select("id", "sig_a", "set")
 
 
 def _candidates(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -216,19 +216,34 @@ def _candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.where(passed).select(*pair).distinct()
 
 
-def _verified(pairs: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs that link: first bounded by the sizes of their parts, then compared as whole sets."""
     def side(table: DataFrame, name: str, *cols: str) -> DataFrame:
         return table.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
 
-    sized = pairs.join(side(facts, "a", "n", "parts"), "a").join(side(facts, "b", "n", "parts"), "b")
+    def ends(table: DataFrame, *more: str) -> DataFrame:
+        both = F.array(*[F.struct(F.col(e).alias("id"), *[F.col(f"{e}_{m}").alias(m) for m in more]) for e in ("a", "b")])
+        return table.select(F.inline(both)).distinct()
+
+    facts = found.where("n > 0").select(F.col("doc_id").alias("id"), "n", "parts", "sig_a").join(broadcast_if_small(materialize(ends(pairs)), 2_000_000), "id", "left_semi")
+    sized = pairs.join(side(facts, "a", "n", "parts", "sig_a"), "a").join(side(facts, "b", "n", "parts", "sig_a"), "b")
     total = F.col("a_n") + F.col("b_n")
     enough = lambda overlap: F.lit(DEN) * overlap >= F.lit(NUM) * (total - overlap)
     most = F.aggregate(F.zip_with("a_parts", "b_parts", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    likely = sized.where(enough(most)).select(*pairs.columns, "a_n", "b_n")
-    both = likely.join(side(sets, "a", "set"), "a").join(side(sets, "b", "set"), "b")
+    likely = materialize(sized.where(enough(most)).drop("a_parts", "b_parts"))
+    sets = sets_of(docs, ends(likely, "sig_a"))
+    likely = broadcast_if_small(likely, 200_000)
+    both = likely.join(side(sets, "a", "sig_a", "set"), ["a", "a_sig_a"]).join(side(sets, "b", "sig_a", "set"), ["b", "b_sig_a"])
     overlap = F.size(F.array_intersect("a_set", "b_set")).cast("long")
-    return both.where(enough(overlap)).select(*pairs.columns)
+    return both.where(enough(overlap)).select(*pairs.columns).distinct()
+
+
+def _relabelled(labels: DataFrame, group: DataFrame, joins: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables with components drawn together along ``joins`` (``a, b``)."""
+    to = connected_components(joins).select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    labels = materialize(labels.join(to, "component", "left").select("id", F.coalesce("_to", "component").alias("component")))
+    group = group.join(to.withColumnRenamed("component", "comp"), "comp", "left").select("h", "id", "n", "pos", F.coalesce("_to", "comp").alias("comp"))
+    return labels, group
 
 
 def components(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -242,40 +257,37 @@ def components(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Dat
     members = found.select("doc_id", "n", "sig_a", "sig_b")
     classes = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("id"))
     classes = materialize(classes)
-    group = materialize(shared_shingles(found).join(classes, ["sig_a", "sig_b"]).select("h", "id", "n", "pos", "sig_a", "sig_b"))
-    ids = materialize(group.select("id", "sig_a", "sig_b").distinct())
-    sets = written(sets_of(docs, ids), "jaccard-sets")
-    facts = found.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "n", "parts", "sig_a", "sig_b").join(
-        broadcast_if_small(ids, 2_000_000), ["id", "sig_a", "sig_b"], "left_semi"
-    )
-    facts = materialize(facts.select("id", "n", "parts").dropDuplicates(["id"]))
-    group = group.select("h", "id", "n", "pos").withColumn("comp", F.col("id"))
+    group = written(shared_shingles(found, classes), "jaccard-shared").withColumn("comp", F.col("id"))
     links = tried = None
     labels = classes.select("id", F.col("id").alias("component"))
+    # a doc_id with several texts joins their classes
+    held = members.where("n > 0 AND doc_id IS NOT NULL").join(classes, ["sig_a", "sig_b"]).select("doc_id", "id")
+    spread = held.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
+    tied = materialize(held.join(spread, "doc_id").where("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b")).distinct())
+    if not tied.isEmpty():
+        labels, group = _relabelled(labels, group, tied)
     for turn in range(rounds + 1):
-        open_ = group.groupBy("h").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("h")
-        group = materialize(group.join(open_, "h", "left_semi"))
-        other = group.select("h", F.col("id").alias("with"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("other"))
+        rank = F.xxhash64("id") if turn == 0 else F.xxhash64("id", "h", F.lit(turn))
+        one = F.min(F.struct(rank.alias("rank"), F.col("id").alias("with"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("other")))
+        # groups that lie in more than one component, and one member of each
+        open_ = group.groupBy("h").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), one.alias("_o")).where("_lo <> _hi")
         if turn < rounds:
-            rank = F.xxhash64("with") if turn == 0 else F.xxhash64("with", "h", F.lit(turn))
-            other = other.groupBy("h").agg(F.min(F.struct(rank.alias("rank"), "with", "m", "at", "other")).alias("_o")).select("h", "_o.with", "_o.m", "_o.at", "_o.other")
+            other = open_.select("h", "_o.with", "_o.m", "_o.at", "_o.other")
             pairs = _candidates(group, other)
         else:
-            pairs = _candidates(group, other)
+            group = materialize(group.join(open_.select("h"), "h", "left_semi"))
+            pairs = _candidates(group, group.select("h", F.col("id").alias("with"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("other")))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
         if pairs.isEmpty():
             continue
         tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-        new = materialize(_verified(pairs, facts, sets))
+        new = materialize(_verified(pairs, found, docs))
         links = new.select("a", "b") if links is None else links.union(new.select("a", "b"))
         # components of components: only what this round joins is looked at
-        joined = connected_components(new.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
-        to = joined.select(F.col("node").alias("component"), F.col("component").alias("_to"))
-        labels = materialize(labels.join(to, "component", "left").select("id", F.coalesce("_to", "component").alias("component")))
-        group = group.join(to.withColumnRenamed("component", "comp"), "comp", "left").select("h", "id", "n", "pos", F.coalesce("_to", "comp").alias("comp"))
-    of_class = classes.join(labels, "id").withColumnRenamed("component", "component_id")
+        labels, group = _relabelled(labels, group, new.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
+    of_class = classes.join(labels.distinct(), "id").withColumnRenamed("component", "component_id")
     if links is None:
         of_class = of_class.withColumn("n_links", F.lit(0).cast("long"))
     else:

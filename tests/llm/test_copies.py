@@ -119,6 +119,13 @@ def test_near_copies(spark):
     assert jaccard.components(df.limit(0)).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    ship_package(spark)
+    rows = [(1, "a b c", 0, ""), (9, "a b c", 0, ""), (9, "d e f", 0, ""), (9, "d e f g", 0, ""), (12, "d e f g", 0, ""), (13, "x", 0, "")]
+    told = [(r["doc_id"], r["component_id"]) for r in jaccard.components(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(told) == [(1, 1), (9, 1), (9, 1), (9, 1), (12, 1), (13, 13)]
+
+
 def test_near_copies_of_the_table(spark):
     rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
     want = classes(rows)
