@@ -88,18 +88,19 @@ def _split_hot_tiles(sides: Sequence[DataFrame], size: float, per_tile: int) ->
 
 
 def spatial_join(
-    left: DataFrame, right: DataFrame, size: float, per_tile: int = 200_000, touching: bool = True
+    left: DataFrame, right: DataFrame, size: float, per_tile: int = 200_000, touching: bool = True, on: Sequence[str] = (),
 ) -> DataFrame:
     """Pairs whose boxes meet, each once; right columns get the prefix ``r_``.
 
     A pair is kept only in the tile that holds the lower-left corner of the box both
-    share. ``touching=False`` asks for open overlap.
+    share. ``touching=False`` asks for open overlap. Columns in ``on`` must be equal; they
+    are join keys beside the tile, so rows that differ there never meet.
     """
-    renamed = right.select(*[F.col(c) if c in BOX else F.col(c).alias(f"r_{c}") for c in right.columns])
+    renamed = right.select(*[F.col(c) if c in BOX else F.col(c).alias(f"r_{c}") for c in right.columns], *on)
     a, b = _split_hot_tiles([left, renamed], size, per_tile)
     b = b.select(*[F.col(c).alias(f"r_{c}") if c in BOX else F.col(c) for c in b.columns])
     # copies of one box cannot be split by tiles; their key is salted instead
-    pairs = salted_join(a, b, ["tx", "ty", "_g", "sx", "sy"])
+    pairs = salted_join(a, b, ["tx", "ty", "_g", "sx", "sy", *on])
     cx, cy = F.greatest("xmin", "r_xmin"), F.greatest("ymin", "r_ymin")
     if touching:
         meets = (cx <= F.least("xmax", "r_xmax")) & (cy <= F.least("ymax", "r_ymax"))
