@@ -201,15 +201,13 @@ def model_inputs_join(spark, sf):
 
 
 LOOKUP_SQL = f"""
-WITH {SC_SQL}, st AS (SELECT r.event_id, r.x, r.y, CASE WHEN buffers_km <> '1,3,5' THEN 422 WHEN s.cell_id IS NULL THEN 404 ELSE 200 END AS status,
+WITH {SC_SQL}, {disc_sql("(3.0::DOUBLE)")},
+st AS (SELECT r.event_id, r.x, r.y, CASE WHEN buffers_km <> '1,3,5' THEN 422 WHEN s.cell_id IS NULL THEN 404 ELSE 200 END AS status,
   CASE WHEN buffers_km = '1,3,5' THEN s.cell_id END AS cell_id, s.rank_pct FROM req r
   LEFT JOIN sc s ON s.ix = FLOOR(r.x / 1000) AND s.iy = FLOOR(r.y / 1000)),
-ctx AS (SELECT st.event_id, SUM(w * estimate) / SUM(w) AS m, COUNT(*) AS n FROM (SELECT st.event_id, s.estimate,
-    GREATEST(LEAST(st.x + 3000, s.ix * 1000 + 1000) - GREATEST(st.x - 3000, s.ix * 1000), 0) * GREATEST(LEAST(st.y + 3000, s.iy * 1000 + 1000) - GREATEST(st.y - 3000, s.iy * 1000), 0) AS w
-  FROM st JOIN sc s ON s.ix BETWEEN FLOOR((st.x - 3000) / 1000) AND FLOOR((st.x + 3000) / 1000) AND s.iy BETWEEN FLOOR((st.y - 3000) / 1000) AND FLOOR((st.y + 3000) / 1000)
-  WHERE st.status = 200) st WHERE w > 0 GROUP BY st.event_id)
+ctx AS (SELECT px, py, SUM(w * estimate) / SUM(w) AS m, COUNT(*) AS n FROM wg WHERE w > 1e-3 GROUP BY px, py)
 SELECT st.event_id, CAST(st.status AS INT) AS status, st.cell_id, CASE WHEN st.status = 200 THEN CASE WHEN st.rank_pct <= 0.5 THEN 'lower' WHEN st.rank_pct <= 0.8 THEN 'intermediate'
-  ELSE 'higher' END END AS band, ROUND(ctx.m, 6) AS mean_3km, ctx.n AS cells_3km FROM st LEFT JOIN ctx ON ctx.event_id = st.event_id"""
+  ELSE 'higher' END END AS band, ROUND(ctx.m, 6) AS mean_3km, ctx.n AS cells_3km FROM st LEFT JOIN ctx ON st.status = 200 AND ctx.px = st.x AND ctx.py = st.y"""
 
 
 def _flat_lookup(rows):
@@ -221,9 +219,9 @@ def _flat_lookup(rows):
 
 @query("j16_lookup_job", LOOKUP_SQL, "req cell")
 def lookup_job(spark, sf):
-    """Full lookup with square contexts; requests outside the grid get 404, bad radii 422."""
+    """Full lookup; requests outside the grid get 404, bad radii 422."""
     v = Views(spark, sf)
-    return _flat_lookup(L.lookup_job(v.req(), scored_cells(v), 1000, square=True))
+    return _flat_lookup(L.lookup_job(v.req(), scored_cells(v), 1000))
 
 
 @query("t1_lookup_stream", LOOKUP_SQL, "req cell")
@@ -237,7 +235,7 @@ def lookup_stream(spark, sf):
         F.when(e % 50 == 0, "1,1").when(e % 51 == 0, "a").otherwise("1,3,5").alias("buffers_km"),
     )
     out = scratch_path(spark, "lookup")
-    ST.lookup_stream(requests, scored_cells(v), 1000, out, scratch_path(spark, "lookup-state"), square=True)
+    ST.lookup_stream(requests, scored_cells(v), 1000, out, scratch_path(spark, "lookup-state"))
     return _flat_lookup(spark.read.parquet(out))
 
 

@@ -16,6 +16,8 @@ from gridpanel.operators.skew import salted_join
 from gridpanel.session import spread
 
 SEGMENTS = 64
+#: Radius of the circle inside the 64-gon, as a share of the outer radius.
+INSCRIBED = math.cos(math.pi / SEGMENTS) * (1 - 1e-12)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -77,11 +79,18 @@ def context_summary(
     if square:
         w = F.greatest(F.least(F.col("x") + r, x1) - F.greatest(F.col("x") - r, x0), F.lit(0.0))
         h = F.greatest(F.least(F.col("y") + r, y1) - F.greatest(F.col("y") - r, y0), F.lit(0.0))
-        weight = w * h
+        weighted = squares.withColumn("w", w * h)
     else:
-        weight = _disc_rect_area(F.col("x"), F.col("y"), r, x0, y0, x1, y1)
+        # squares within the inscribed circle count whole, those beyond the outer one not at all; the rest reach the kernel
+        far = lambda p, a, b: F.greatest(F.abs(F.col(p) - a), F.abs(F.col(p) - b))
+        near = lambda p, a, b: F.greatest(a - F.col(p), F.col(p) - b, F.lit(0.0))
+        squared = lambda side: side("x", x0, x1) * side("x", x0, x1) + side("y", y0, y1) * side("y", y0, y1)
+        whole = squared(far) <= r * r * INSCRIBED**2
+        rim = squares.where(~whole & (squared(near) < r * r))
+        kernel = _disc_rect_area(F.col("x"), F.col("y"), r, x0, y0, x1, y1)
+        weighted = squares.where(whole).withColumn("w", F.lit(float(size * size))).unionByName(rim.withColumn("w", kernel))
     # contact without area leaves rounding dust, far below a square millimetre per square metre
-    weighted = squares.withColumn("w", weight).where(F.col("w") > 1e-9 * size * size)
+    weighted = weighted.where(F.col("w") > 1e-9 * size * size)
     values = cells.select(
         F.col("ix").cast("bigint").alias("ix"), F.col("iy").cast("bigint").alias("iy"), "cell_id", "estimate", "rank_pct", "history"
     )
