@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from gridpanel.session import materialize
 
+#: Sides are never gathered on the driver: the many small broadcasts of a loop would fill its memory.
+JOIN = "merge"
+
 
 def _up(table: DataFrame, parents: DataFrame) -> DataFrame:
     """Replace every ``parent`` of ``table`` by its own parent, if it has one."""
-    above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("_up"))
+    above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("_up")).hint(JOIN)
     return table.join(above, "parent", "left").select("node", F.coalesce("_up", "parent").alias("parent"))
 
 
@@ -18,7 +21,7 @@ def _jumped(parents: DataFrame) -> DataFrame:
     """Point every ``node`` at the end of its chain of parents; one pass shortens a chain to a fourth."""
     while True:
         twice = _up(parents, parents)
-        above = twice.select(F.col("node").alias("parent"), F.col("parent").alias("_up"))
+        above = twice.select(F.col("node").alias("parent"), F.col("parent").alias("_up")).hint(JOIN)
         moved = materialize(
             twice.join(above, "parent", "left").select("node", F.coalesce("_up", "parent").alias("parent"), F.col("_up").isNotNull().alias("_moved"))
         )
@@ -40,11 +43,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     open_ = every.where("a <> b")
     while not open_.isEmpty():
         parents = _jumped(materialize(open_.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent"))))
-        root = parents.select(F.col("node").alias("component"), F.col("parent").alias("_root"))
+        root = parents.select(F.col("node").alias("component"), F.col("parent").alias("_root")).hint(JOIN)
         labels = materialize(labels.join(root, "component", "left").select("node", F.coalesce("_root", "component").alias("component")))
         ends = open_
         for end in ("a", "b"):
-            to = parents.select(F.col("node").alias(end), F.col("parent").alias(f"_{end}"))
+            to = parents.select(F.col("node").alias(end), F.col("parent").alias(f"_{end}")).hint(JOIN)
             ends = ends.join(to, end, "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
         open_ = materialize(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     return labels

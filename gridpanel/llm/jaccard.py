@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpanel.llm.arrowtext import WORD_BYTE, RangeHash, byte_codes, filled, flat, mix, runs, slices
-from gridpanel.llm.components import connected_components
+from gridpanel.llm.components import JOIN, connected_components
 from gridpanel.session import broadcast_if_small, materialize, written
 
 WORDS = 5
@@ -203,7 +203,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` that share a prefix shingle and pass the length and positional filters."""
-    pairs = left.join(right, "h")
+    pairs = left.join(right.hint(JOIN), "h")
     need = F.ceil(F.lit(NUM) * (F.col("n") + F.col("m")) / F.lit(NUM + DEN))
     most = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))  # this shingle and all behind it
     passed = (
@@ -226,7 +226,7 @@ def _verified(pairs: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
         return table.select(F.inline(both)).distinct()
 
     facts = found.where("n > 0").select(F.col("doc_id").alias("id"), "n", "parts", "sig_a").join(broadcast_if_small(materialize(ends(pairs)), 2_000_000), "id", "left_semi")
-    sized = pairs.join(side(facts, "a", "n", "parts", "sig_a"), "a").join(side(facts, "b", "n", "parts", "sig_a"), "b")
+    sized = pairs.join(side(facts, "a", "n", "parts", "sig_a").hint(JOIN), "a").join(side(facts, "b", "n", "parts", "sig_a").hint(JOIN), "b")
     total = F.col("a_n") + F.col("b_n")
     enough = lambda overlap: F.lit(DEN) * overlap >= F.lit(NUM) * (total - overlap)
     most = F.aggregate(F.zip_with("a_parts", "b_parts", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
@@ -240,9 +240,9 @@ def _verified(pairs: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _relabelled(labels: DataFrame, group: DataFrame, joins: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables with components drawn together along ``joins`` (``a, b``)."""
-    to = connected_components(joins).select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    to = connected_components(joins).select(F.col("node").alias("component"), F.col("component").alias("_to")).hint(JOIN)
     labels = materialize(labels.join(to, "component", "left").select("id", F.coalesce("_to", "component").alias("component")))
-    group = group.join(to.withColumnRenamed("component", "comp"), "comp", "left").select("h", "id", "n", "pos", F.coalesce("_to", "comp").alias("comp"))
+    group = group.join(to.withColumnRenamed("component", "comp").hint(JOIN), "comp", "left").select("h", "id", "n", "pos", F.coalesce("_to", "comp").alias("comp"))
     return labels, group
 
 
@@ -278,7 +278,7 @@ def components(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Dat
             group = materialize(group.join(open_.select("h"), "h", "left_semi"))
             pairs = _candidates(group, group.select("h", F.col("id").alias("with"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("other")))
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = pairs.join(tried.hint(JOIN), ["a", "b"], "left_anti")
         pairs = materialize(pairs)
         if pairs.isEmpty():
             continue

@@ -58,9 +58,9 @@ def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     marked = [f"<{w}>".encode("utf-32-le") for w in words]
     lengths = np.array([len(m) // 4 for m in marked], np.int64)
     data = np.frombuffer(b"".join(marked), "<u4").astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), lengths)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
     starts = np.cumsum(lengths) - lengths
-    left = np.repeat(lengths, lengths) - (np.arange(len(data)) - np.repeat(starts, lengths))
+    left = (np.repeat(lengths + starts, lengths) - np.arange(len(data))).astype(np.int32)
     h = np.zeros(len(data), np.uint64)
     grams, owners = [], []
     whole = np.zeros(len(words), np.uint64)
@@ -71,13 +71,13 @@ def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h[at] = (h[at] ^ data[at + n - 1]) * np.uint64(0x100000001B3)
         h[at] ^= h[at] >> np.uint64(31)
         if n in GRAMS:
-            grams.append(h[at] % np.uint64(BUCKETS))
+            grams.append((h[at] % np.uint64(BUCKETS)).astype(np.int32))
             owners.append(owner[at])
         ended = np.flatnonzero(lengths == n)
         whole[ended] = h[starts[ended]]
     if not grams:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(grams).astype(np.int64), np.concatenate(owners), (whole % np.uint64(BUCKETS)).astype(np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
+    return np.concatenate(grams), np.concatenate(owners), (whole % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def hits_of(documents: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
@@ -369,20 +369,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], toxic: list[int], share: float) -> Network:
     """Fit on labelled texts; ``share`` is the part of toxic rows among all labelled rows."""
     kind = np.array(toxic, int)
-    cut = [words_of(t) for t in texts]
-    every = sorted({w for c in cut for w in c})
+    number: dict[str, int] = {}
+    cut = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
+    every = list(number)
     grams, owner, own = gram_buckets(every)
-    number = {w: i for i, w in enumerate(every)}
     order = np.argsort(owner, kind="stable")
-    grams, counts = grams[order].astype(np.int32), np.bincount(owner, minlength=len(every))
+    grams, counts = grams[order], np.bincount(owner, minlength=len(every))
+    del order, owner
     starts = np.cumsum(counts) - counts
     gram_sets, word_sets = [], []
     for c in cut:
-        n = np.array([number[w] for w in set(c)], np.int64)
+        n = np.unique(c).astype(np.int64)
         gram_sets.append(np.unique(gather(grams, starts[n], counts[n])))
         word_sets.append(np.unique(own[n]))
     often = [hits_of(sets, kind).sum(0) >= KNOWN_TEXTS for sets in (gram_sets, word_sets)]
     net = Network(leanings(gram_sets, kind), leanings(word_sets, kind), share, *often)
+    del grams
     if len(np.unique(kind)) < 2 or not every:
         return net
     net.start()
@@ -395,13 +397,15 @@ def fit(texts: list[str], toxic: list[int], share: float) -> Network:
     # from every text the windows that lean most, and one other
     leans = []
     for part in nets:
-        x, _ = part.inputs(every)
-        leans.append(np.maximum(x[:, 0], x[:, 2]))
+        tops = []
+        for begin in range(0, len(every), 20_000):
+            x, _ = part.inputs(every[begin : begin + 20_000])
+            tops.append(np.maximum(x[:, 0], x[:, 2]))
+        leans.append(np.concatenate(tops))
     rng = np.random.default_rng(3)
     windows, labels, of = [], [], []
-    for c, k, f in zip(cut, kind, folds):
+    for n, k, f in zip(cut, kind, folds):
         lean = leans[f]
-        n = np.array([number[w] for w in c], np.int64)
         starts = windows_of(len(n))
         if not starts:
             continue
