@@ -17,37 +17,31 @@ def _up(table: DataFrame, parents: DataFrame) -> DataFrame:
     return table.join(above, "parent", "left").select("node", F.coalesce("_up", "parent").alias("parent"))
 
 
-def _jumped(parents: DataFrame) -> DataFrame:
-    """Point every ``node`` at the end of its chain of parents; one pass shortens a chain to a fourth."""
-    while True:
-        twice = _up(parents, parents)
-        above = twice.select(F.col("node").alias("parent"), F.col("parent").alias("_up")).hint(JOIN)
-        moved = materialize(
-            twice.join(above, "parent", "left").select("node", F.coalesce("_up", "parent").alias("parent"), F.col("_up").isNotNull().alias("_moved"))
-        )
-        parents = moved.select("node", "parent")
-        if moved.where("_moved").isEmpty():
-            return parents
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for all nodes of ``edges`` ``(a, b)``; a component is its smallest node.
 
     Each round hooks every root with an edge to a smaller root under the smallest of these,
-    shortens the chains, and draws the edges anew between the roots that remain, so the edge
-    table shrinks. No group is collected: hubs meet in partial aggregates. Loops and repeated
-    edges do no harm; edges with a null end are ignored.
+    shortens the chains to a fourth, and draws the edges anew between the roots that remain, so
+    the edge table shrinks. What a chain still has above its shortened end stays as an edge. No
+    group is collected: hubs meet in partial aggregates. Loops and repeated edges do no harm;
+    edges with a null end are ignored.
     """
     every = materialize(edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     labels = every.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
-    open_ = every.where("a <> b")
+    open_, turn = every.where("a <> b"), 0
     while not open_.isEmpty():
-        parents = _jumped(materialize(open_.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent"))))
+        first = materialize(open_.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")))
+        parents = materialize(_up(_up(first, first), _up(first, first)))
         root = parents.select(F.col("node").alias("component"), F.col("parent").alias("_root")).hint(JOIN)
-        labels = materialize(labels.join(root, "component", "left").select("node", F.coalesce("_root", "component").alias("component")))
+        labels = labels.join(root, "component", "left").select("node", F.coalesce("_root", "component").alias("component"))
         ends = open_
         for end in ("a", "b"):
             to = parents.select(F.col("node").alias(end), F.col("parent").alias(f"_{end}")).hint(JOIN)
             ends = ends.join(to, end, "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
+        above = parents.select(F.col("parent").alias("node")).distinct().join(parents.hint(JOIN), "node").select(F.col("node").alias("a"), F.col("parent").alias("b"))
+        ends = ends.select("a", "b").unionByName(above)
         open_ = materialize(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    return labels
+        turn += 1
+        if turn % 4 == 0:
+            labels = materialize(labels)
+    return materialize(labels)

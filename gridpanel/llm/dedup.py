@@ -17,7 +17,6 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridpanel.llm.arrowtext import mix
@@ -172,15 +171,16 @@ def duplicate_groups(
     clash = materialize(
         bytes_.groupBy("digest").agg(F.count(F.lit(1)).alias("_variants")).where("_variants > 1").select("digest")
     )
-    told = rows.select("doc_id", "digest").join(groups, "digest")
+    # equal doc_ids with equal texts are counted, so that no window has to hold the rows of one digest together
+    told = rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("_rows")).join(groups, "digest")
     if not clash.isEmpty():  # equal digests of unequal bytes: those rows are grouped by their bytes
         apart = bytes_.join(clash, "digest", "left_semi")
-        again = suspects.join(clash, "digest", "left_semi").join(apart, ["digest", "_text"]).select(*told.columns)
+        again = suspects.join(clash, "digest", "left_semi").join(apart, ["digest", "_text"])
+        again = again.groupBy("doc_id", "digest", "keep_id", "group_size", "_text").agg(F.count(F.lit(1)).alias("_rows")).select(*told.columns)
         told = told.join(clash, "digest", "left_anti").unionByName(again)
-    # equal doc_ids with equal texts: one of them is kept
-    turn = F.row_number().over(W.partitionBy("digest", "doc_id", "keep_id").orderBy("group_size"))
+    # of equal doc_ids with equal texts one is kept
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_turn") == 1)
-    return told.withColumn("_turn", turn).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
+    return told.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), "_rows"))).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
 
 
 def split_snapshot(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from gridpanel.llm.arrowtext import WORD_BYTE, RangeHash, byte_codes, filled, flat, mix, runs, slices
 from gridpanel.llm.components import JOIN, connected_components
-from gridpanel.session import broadcast_if_small, materialize, written
+from gridpanel.session import materialize, written
 
 WORDS = 5
 #: Similarity as a fraction: documents link from 80 of 100 on.
@@ -186,7 +186,7 @@ def shared_shingles(found: DataFrame, classes: DataFrame) -> DataFrame:
     return thinned.join(classes.select("id"), "id", "left_semi").select("h", "id", "n", "pos")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
     """``id, sig_a, set`` of the documents ``ids`` (``id, sig_a``); a repeated id comes as often as it has that set."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +197,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 sig = (sums[ends[1:]] - sums[ends[:-1]]).view(np.int64)
                 yield pa.RecordBatch.from_pydict({"id": part.column("id"), "sig_a": part.column("sig_a"), "own": pa.array(sig), "set": _lists(h.view(np.int64), n, pa.int64())})
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(broadcast_if_small(ids, 2_000_000), "id").select("id", "sig_a", "text")
+    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if small else ids, "id").select("id", "sig_a", "text")
     return wanted.mapInArrow(read, "id long, sig_a long, own long, set array<long>").where("own = sig_a").select("id", "sig_a", "set")
 
 
@@ -216,8 +216,12 @@ def _candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.where(passed).select(*pair).distinct()
 
 
-def _verified(pairs: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs that link: first bounded by the sizes of their parts, then compared as whole sets."""
+def _verified(pairs: DataFrame, count: int, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs that link: first bounded by the sizes of their parts, then compared as whole sets.
+
+    ``count``, the number of pairs, bounds what is broadcast; more pairs are joined by a shuffle.
+    """
+    small = count <= 1_000_000
     def side(table: DataFrame, name: str, *cols: str) -> DataFrame:
         return table.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
 
@@ -225,15 +229,15 @@ def _verified(pairs: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
         both = F.array(*[F.struct(F.col(e).alias("id"), *[F.col(f"{e}_{m}").alias(m) for m in more]) for e in ("a", "b")])
         return table.select(F.inline(both)).distinct()
 
-    facts = found.where("n > 0").select(F.col("doc_id").alias("id"), "n", "parts", "sig_a").join(broadcast_if_small(materialize(ends(pairs)), 2_000_000), "id", "left_semi")
+    facts = found.where("n > 0").select(F.col("doc_id").alias("id"), "n", "parts", "sig_a")
+    facts = facts.join(F.broadcast(ends(pairs)) if small else ends(pairs), "id", "left_semi")
     sized = pairs.join(side(facts, "a", "n", "parts", "sig_a").hint(JOIN), "a").join(side(facts, "b", "n", "parts", "sig_a").hint(JOIN), "b")
     total = F.col("a_n") + F.col("b_n")
     enough = lambda overlap: F.lit(DEN) * overlap >= F.lit(NUM) * (total - overlap)
     most = F.aggregate(F.zip_with("a_parts", "b_parts", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
     likely = materialize(sized.where(enough(most)).drop("a_parts", "b_parts"))
-    sets = sets_of(docs, ends(likely, "sig_a"))
-    likely = broadcast_if_small(likely, 200_000)
-    both = likely.join(side(sets, "a", "sig_a", "set"), ["a", "a_sig_a"]).join(side(sets, "b", "sig_a", "set"), ["b", "b_sig_a"])
+    sets = sets_of(docs, ends(likely, "sig_a"), small)
+    both = (F.broadcast(likely) if count <= 200_000 else likely).join(side(sets, "a", "sig_a", "set"), ["a", "a_sig_a"]).join(side(sets, "b", "sig_a", "set"), ["b", "b_sig_a"])
     overlap = F.size(F.array_intersect("a_set", "b_set")).cast("long")
     return both.where(enough(overlap)).select(*pairs.columns).distinct()
 
@@ -241,7 +245,7 @@ def _verified(pairs: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
 def _relabelled(labels: DataFrame, group: DataFrame, joins: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables with components drawn together along ``joins`` (``a, b``)."""
     to = connected_components(joins).select(F.col("node").alias("component"), F.col("component").alias("_to")).hint(JOIN)
-    labels = materialize(labels.join(to, "component", "left").select("id", F.coalesce("_to", "component").alias("component")))
+    labels = labels.join(to, "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
     group = group.join(to.withColumnRenamed("component", "comp").hint(JOIN), "comp", "left").select("h", "id", "n", "pos", F.coalesce("_to", "comp").alias("comp"))
     return labels, group
 
@@ -280,10 +284,13 @@ def components(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Dat
         if tried is not None:
             pairs = pairs.join(tried.hint(JOIN), ["a", "b"], "left_anti")
         pairs = materialize(pairs)
-        if pairs.isEmpty():
+        count = pairs.count()
+        if not count:
             continue
         tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-        new = materialize(_verified(pairs, found, docs))
+        new = materialize(_verified(pairs, count, found, docs))
+        if new.isEmpty():
+            continue
         links = new.select("a", "b") if links is None else links.union(new.select("a", "b"))
         # components of components: only what this round joins is looked at
         labels, group = _relabelled(labels, group, new.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
