@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpanel.llm.arrowtext import WORD_BYTE, RangeHash, byte_codes, filled, flat, mix, runs, slices
-from gridpanel.llm.components import JOIN, connected_components
-from gridpanel.session import materialize, written
+from gridpanel.llm.components import JOIN, connected_components, kept
+from gridpanel.session import written
 
 WORDS = 5
 #: Similarity as a fraction: documents link from 80 of 100 on.
@@ -137,10 +137,10 @@ def index(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 place = np.arange(len(h)) - ends[who]
                 prefix = n - (NUM * n + DEN - 1) // DEN + 1
                 prefix[n == 0] = 0
-                kept = h[order][place < prefix[who]].view(np.int64)
+                first = h[order][place < prefix[who]].view(np.int64)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "sig_a": pa.array(sums[0]), "sig_b": pa.array(sums[1]),
-                    "prefix": _lists(kept, prefix, pa.int64()),
+                    "prefix": _lists(first, prefix, pa.int64()),
                     "parts": _lists(np.minimum(size, 1 << 30), np.full(rows, PARTS), pa.int32()),
                 })
 
@@ -159,7 +159,7 @@ def shared_shingles(found: DataFrame, classes: DataFrame) -> DataFrame:
     meeting = (
         rows.select("sig_a", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("sig_a").alias("lo"), F.max("sig_a").alias("hi")).where("lo <> hi").select("h")
     )
-    meeting = materialize(meeting)
+    meeting = kept(meeting)
 
     def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
         for bit in _bits(batch.column(0).to_numpy().view(np.uint64)):
@@ -235,7 +235,7 @@ def _verified(pairs: DataFrame, count: int, found: DataFrame, docs: DataFrame) -
     total = F.col("a_n") + F.col("b_n")
     enough = lambda overlap: F.lit(DEN) * overlap >= F.lit(NUM) * (total - overlap)
     most = F.aggregate(F.zip_with("a_parts", "b_parts", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    likely = materialize(sized.where(enough(most)).drop("a_parts", "b_parts"))
+    likely = kept(sized.where(enough(most)).drop("a_parts", "b_parts"))
     sets = sets_of(docs, ends(likely, "sig_a"), small)
     both = (F.broadcast(likely) if count <= 200_000 else likely).join(side(sets, "a", "sig_a", "set"), ["a", "a_sig_a"]).join(side(sets, "b", "sig_a", "set"), ["b", "b_sig_a"])
     overlap = F.size(F.array_intersect("a_set", "b_set")).cast("long")
@@ -260,14 +260,14 @@ def components(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Dat
     found = written(index(docs, shingle_counts(docs)), "jaccard-index")
     members = found.select("doc_id", "n", "sig_a", "sig_b")
     classes = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("id"))
-    classes = materialize(classes)
+    classes = kept(classes)
     group = written(shared_shingles(found, classes), "jaccard-shared").withColumn("comp", F.col("id"))
     links = tried = None
     labels = classes.select("id", F.col("id").alias("component"))
     # a doc_id with several texts joins their classes
     held = members.where("n > 0 AND doc_id IS NOT NULL").join(classes, ["sig_a", "sig_b"]).select("doc_id", "id")
     spread = held.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-    tied = materialize(held.join(spread, "doc_id").where("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b")).distinct())
+    tied = kept(held.join(spread, "doc_id").where("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b")).distinct())
     if not tied.isEmpty():
         labels, group = _relabelled(labels, group, tied)
     for turn in range(rounds + 1):
@@ -279,16 +279,16 @@ def components(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Dat
             other = open_.select("h", "_o.with", "_o.m", "_o.at", "_o.other")
             pairs = _candidates(group, other)
         else:
-            group = materialize(group.join(open_.select("h"), "h", "left_semi"))
+            group = kept(group.join(open_.select("h"), "h", "left_semi"))
             pairs = _candidates(group, group.select("h", F.col("id").alias("with"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("other")))
         if tried is not None:
             pairs = pairs.join(tried.hint(JOIN), ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
+        pairs = kept(pairs)
         count = pairs.count()
         if not count:
             continue
         tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-        new = materialize(_verified(pairs, count, found, docs))
+        new = kept(_verified(pairs, count, found, docs))
         if new.isEmpty():
             continue
         links = new.select("a", "b") if links is None else links.union(new.select("a", "b"))
@@ -314,5 +314,5 @@ def components(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Dat
 def one_per_component(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that have an earlier near copy: the smallest id of each component stays."""
     told = components(docs, text)
-    gone = materialize(told.groupBy("doc_id").agg(F.min("component_id").alias("_c")).where("_c < doc_id").select("doc_id"))
+    gone = kept(told.groupBy("doc_id").agg(F.min("component_id").alias("_c")).where("_c < doc_id").select("doc_id"))
     return docs.join(gone, "doc_id", "left_anti")
