@@ -8,10 +8,14 @@ bounds from their lengths, from the positions of the shared shingle, and from th
 parts into which fixed pivots split both sets. Each surviving pair is verified once, on the
 whole sets.
 
-Large groups of near copies would meet in all pairs. Only links between components matter, so
-the first rounds compare the members of a shingle's group with one of them each, first the same
-for all shingles, then one drawn per shingle. What then still lies in different components of a
-group is compared pair by pair, so no link between components is lost.
+All links between classes are counted: every pair of a shingle's group is a candidate, large
+groups are dealt in blocks so that no task holds a whole one, and a pair is verified once
+however many shingles it shares.
+
+:func:`one_per_component` needs components only. There the first rounds compare the members of a
+shingle's group with one of them each, first the same for all shingles, then one drawn per
+shingle. What then still lies in different components of a group is compared pair by pair, so
+no link between components is lost, but links within them are not looked for.
 
 Null and empty texts, and texts without words, have no shingles and link with nothing; fewer than five words
 are one shingle. Rows with one ``doc_id`` are one node, whatever their texts; rows without are returned unlinked, with
@@ -25,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridpanel.llm.arrowtext import WORD_BYTE, RangeHash, byte_codes, filled, flat, mix, runs, slices
@@ -41,6 +45,8 @@ COUNTERS, SHARED_BITS = 1 << 19, 1 << 25
 PARTS = 32
 #: Rounds of one comparison per member before all pairs of different components are compared.
 ROUNDS = 2
+#: Members of a shingle's group that one block holds of either side of its pairs.
+BLOCK_ROWS = 500
 
 _CODES = byte_codes(fold_case=True)
 _PLACE = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
@@ -153,7 +159,7 @@ def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_shingles(found: DataFrame, classes: DataFrame) -> DataFrame:
-    """``h, id, n, pos`` of prefix shingles that different sets share, and of a few others."""
+    """``h, sig, id, n, pos`` of prefix shingles that different sets share, and of a few others."""
     spark = found.sparkSession
     rows = found.where("n > 0 AND doc_id IS NOT NULL")
     meeting = (
@@ -179,11 +185,11 @@ def shared_shingles(found: DataFrame, classes: DataFrame) -> DataFrame:
             for bit in _bits(h.view(np.uint64)):
                 keep &= (table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
             row = pa.array(who[keep])
-            yield pa.RecordBatch.from_pydict({"h": pa.array(h[keep]), "id": batch.column("doc_id").take(row), "n": batch.column("n").take(row).cast(pa.int32()), "pos": pa.array(pos[keep], pa.int32())})
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h[keep]), "sig": batch.column("sig_a").take(row), "id": batch.column("doc_id").take(row), "n": batch.column("n").take(row).cast(pa.int32()), "pos": pa.array(pos[keep], pa.int32())})
 
-    thinned = rows.select("doc_id", "n", "prefix").mapInArrow(thin, "h long, id long, n int, pos int")
+    thinned = rows.select("doc_id", "sig_a", "n", "prefix").mapInArrow(thin, "h long, sig long, id long, n int, pos int")
     # of equal sets only the one that stands for their class
-    return thinned.join(classes.select("id"), "id", "left_semi").select("h", "id", "n", "pos")
+    return thinned.join(classes.select(F.col("sig_a").alias("sig"), "id"), ["id", "sig"], "left_semi").select("h", "sig", "id", "n", "pos")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
@@ -201,43 +207,64 @@ def sets_of(docs: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
     return wanted.mapInArrow(read, "id long, sig_a long, own long, set array<long>").where("own = sig_a").select("id", "sig_a", "set")
 
 
-def _candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` that share a prefix shingle and pass the length and positional filters."""
-    pairs = left.join(right.hint(JOIN), "h")
-    need = F.ceil(F.lit(NUM) * (F.col("n") + F.col("m")) / F.lit(NUM + DEN))
-    most = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))  # this shingle and all behind it
-    passed = (
-        (F.col("comp") != F.col("other"))
-        & (F.lit(DEN) * F.least("n", "m") >= F.lit(NUM) * F.greatest("n", "m"))
-        & (most >= need)
-    )
-    first = F.col("id") < F.col("with")
-    pair = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("a", "id", "with"), ("b", "with", "id"), ("a_comp", "comp", "other"), ("b_comp", "other", "comp"))]
-    return pairs.where(passed).select(*pair).distinct()
+def _near(n: str, m: str, pos: str, at: str) -> Column:
+    """The length and positional filters."""
+    need = F.ceil(F.lit(NUM) * (F.col(n) + F.col(m)) / F.lit(NUM + DEN))
+    most = F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at))  # this shingle and all behind it
+    return (F.lit(DEN) * F.least(n, m) >= F.lit(NUM) * F.greatest(n, m)) & (most >= need)
+
+
+def _across(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of different components that share a prefix shingle and pass the filters."""
+    passed = left.join(right.hint(JOIN), "h").where((F.col("comp") != F.col("other")) & _near("n", "m", "pos", "at"))
+    first = F.col("sig") < F.col("with")
+    ends = (("a", "sig", "with"), ("b", "with", "sig"), ("a_id", "id", "with_id"), ("b_id", "with_id", "id"), ("a_comp", "comp", "other"), ("b_comp", "other", "comp"))
+    return passed.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in ends]).distinct()
+
+
+def _every_pair(group: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """All pairs of different sets that share a prefix shingle and pass the filters.
+
+    A group is dealt into blocks of about ``block_rows`` and joined block by block.
+    """
+    sized = group.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_of")).where("_of > 1")
+    dealt = group.join(sized.hint(JOIN), "h", "left").withColumn("_of", F.coalesce("_of", F.lit(1)))
+    dealt = dealt.withColumn("_own", F.pmod(F.xxhash64("sig"), F.col("_of")).cast("int"))
+    left = dealt.select("h", F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_of") - 1)).alias("_j"), "sig", "id", "n", "pos")
+    right = dealt.select(
+        "h", F.explode(F.sequence(F.lit(0), "_own")).alias("_i"), F.col("_own").alias("_j"),
+        F.col("sig").alias("with"), F.col("id").alias("with_id"), F.col("n").alias("m"), F.col("pos").alias("at"),
+    )
+    once = (F.col("_i") < F.col("_j")) & (F.col("sig") != F.col("with")) | (F.col("_i") == F.col("_j")) & (F.col("sig") < F.col("with"))
+    passed = left.join(right.hint(JOIN), ["h", "_i", "_j"]).where(once & _near("n", "m", "pos", "at"))
+    first = F.col("sig") < F.col("with")
+    ends = (("a", "sig", "with"), ("b", "with", "sig"), ("a_id", "id", "with_id"), ("b_id", "with_id", "id"))
+    return passed.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in ends]).distinct()
 
 
 def _verified(pairs: DataFrame, count: int, found: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs that link: first bounded by the sizes of their parts, then compared as whole sets.
 
-    ``count``, the number of pairs, bounds what is broadcast; more pairs are joined by a shuffle.
+    ``a`` and ``b`` are signatures, ``a_id`` and ``b_id`` documents that have these sets. ``count``, the
+    number of pairs, bounds what is broadcast; more pairs are joined by a shuffle.
     """
     small = count <= 1_000_000
     def side(table: DataFrame, name: str, *cols: str) -> DataFrame:
-        return table.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
+        return table.select(F.col("sig_a").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
 
-    def ends(table: DataFrame, *more: str) -> DataFrame:
-        both = F.array(*[F.struct(F.col(e).alias("id"), *[F.col(f"{e}_{m}").alias(m) for m in more]) for e in ("a", "b")])
+    def ends(table: DataFrame) -> DataFrame:
+        both = F.array(*[F.struct(F.col(f"{e}_id").alias("id"), F.col(e).alias("sig_a")) for e in ("a", "b")])
         return table.select(F.inline(both)).distinct()
 
     facts = found.where("n > 0").select(F.col("doc_id").alias("id"), "n", "parts", "sig_a")
-    facts = facts.join(F.broadcast(ends(pairs)) if small else ends(pairs), "id", "left_semi")
-    sized = pairs.join(side(facts, "a", "n", "parts", "sig_a").hint(JOIN), "a").join(side(facts, "b", "n", "parts", "sig_a").hint(JOIN), "b")
+    facts = facts.join(F.broadcast(ends(pairs)) if small else ends(pairs), ["id", "sig_a"], "left_semi")
+    sized = pairs.join(side(facts, "a", "n", "parts").hint(JOIN), "a").join(side(facts, "b", "n", "parts").hint(JOIN), "b")
     total = F.col("a_n") + F.col("b_n")
     enough = lambda overlap: F.lit(DEN) * overlap >= F.lit(NUM) * (total - overlap)
     most = F.aggregate(F.zip_with("a_parts", "b_parts", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    likely = kept(sized.where(enough(most)).drop("a_parts", "b_parts"))
-    sets = sets_of(docs, ends(likely, "sig_a"), small)
-    both = (F.broadcast(likely) if count <= 200_000 else likely).join(side(sets, "a", "sig_a", "set"), ["a", "a_sig_a"]).join(side(sets, "b", "sig_a", "set"), ["b", "b_sig_a"])
+    likely = kept(sized.where(enough(most)).drop("a_parts", "b_parts").distinct())
+    sets = sets_of(docs, ends(likely), small)
+    both = (F.broadcast(likely) if count <= 200_000 else likely).join(side(sets, "a", "set"), "a").join(side(sets, "b", "set"), "b")
     overlap = F.size(F.array_intersect("a_set", "b_set")).cast("long")
     return both.where(enough(overlap)).select(*pairs.columns).distinct()
 
@@ -246,15 +273,16 @@ def _relabelled(labels: DataFrame, group: DataFrame, joins: DataFrame) -> tuple[
     """Both tables with components drawn together along ``joins`` (``a, b``)."""
     to = connected_components(joins).select(F.col("node").alias("component"), F.col("component").alias("_to")).hint(JOIN)
     labels = labels.join(to, "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
-    group = group.join(to.withColumnRenamed("component", "comp").hint(JOIN), "comp", "left").select("h", "id", "n", "pos", F.coalesce("_to", "comp").alias("comp"))
+    group = group.join(to.withColumnRenamed("component", "comp").hint(JOIN), "comp", "left").select("h", "sig", "id", "n", "pos", F.coalesce("_to", "comp").alias("comp"))
     return labels, group
 
 
-def components(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def components(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, every_link: bool = True) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, n_links``.
 
-    ``n_links`` counts the verified links of the document's class; links within a component
-    that was already connected are not looked for.
+    ``n_links`` counts the other sets, held by rows with a ``doc_id``, that the row's set links
+    with; documents of equal sets count as one. Without ``every_link`` components are found by
+    ``rounds`` of one comparison per member, links within them are not looked for, and ``n_links`` is left out.
     """
     docs = docs.select("doc_id", F.col(text).alias("text"))
     found = written(index(docs, shingle_counts(docs)), "jaccard-index")
@@ -262,25 +290,29 @@ def components(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Dat
     classes = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("id"))
     classes = kept(classes)
     group = written(shared_shingles(found, classes), "jaccard-shared").withColumn("comp", F.col("id"))
-    links = tried = None
+    tried = None
     labels = classes.select("id", F.col("id").alias("component"))
     # a doc_id with several texts joins their classes
     held = members.where("n > 0 AND doc_id IS NOT NULL").join(classes, ["sig_a", "sig_b"]).select("doc_id", "id")
     spread = held.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
     tied = kept(held.join(spread, "doc_id").where("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b")).distinct())
-    if not tied.isEmpty():
+    if every_link:
+        pairs = kept(_every_pair(group))
+        links = kept(_verified(pairs, pairs.count(), found, docs))
+        labels, group = _relabelled(labels, group, links.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).unionByName(tied))
+    elif not tied.isEmpty():
         labels, group = _relabelled(labels, group, tied)
-    for turn in range(rounds + 1):
+    for turn in range(0 if every_link else rounds + 1):
         rank = F.xxhash64("id") if turn == 0 else F.xxhash64("id", "h", F.lit(turn))
-        one = F.min(F.struct(rank.alias("rank"), F.col("id").alias("with"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("other")))
+        one = F.min(F.struct(rank.alias("rank"), F.col("sig").alias("with"), F.col("id").alias("with_id"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("other")))
         # groups that lie in more than one component, and one member of each
         open_ = group.groupBy("h").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), one.alias("_o")).where("_lo <> _hi")
         if turn < rounds:
-            other = open_.select("h", "_o.with", "_o.m", "_o.at", "_o.other")
-            pairs = _candidates(group, other)
+            other = open_.select("h", "_o.with", "_o.with_id", "_o.m", "_o.at", "_o.other")
+            pairs = _across(group, other)
         else:
             group = kept(group.join(open_.select("h"), "h", "left_semi"))
-            pairs = _candidates(group, group.select("h", F.col("id").alias("with"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("other")))
+            pairs = _across(group, group.select("h", F.col("sig").alias("with"), F.col("id").alias("with_id"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("other")))
         if tried is not None:
             pairs = pairs.join(tried.hint(JOIN), ["a", "b"], "left_anti")
         pairs = kept(pairs)
@@ -291,15 +323,14 @@ def components(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Dat
         new = kept(_verified(pairs, count, found, docs))
         if new.isEmpty():
             continue
-        links = new.select("a", "b") if links is None else links.union(new.select("a", "b"))
         # components of components: only what this round joins is looked at
         labels, group = _relabelled(labels, group, new.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
     of_class = classes.join(labels.distinct(), "id").withColumnRenamed("component", "component_id")
-    if links is None:
-        of_class = of_class.withColumn("n_links", F.lit(0).cast("long"))
+    if every_link:
+        ends = links.select(F.explode(F.array("a", "b")).alias("sig_a")).groupBy("sig_a").agg(F.count(F.lit(1)).alias("n_links"))
+        of_class = of_class.join(ends, "sig_a", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
     else:
-        ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-        of_class = of_class.join(ends, "id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+        of_class = of_class.withColumn("n_links", F.lit(0).cast("long"))
     told = members.join(of_class, ["sig_a", "sig_b"], "left")
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     told = told.select(
@@ -308,11 +339,11 @@ def components(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Dat
         F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(linked, F.col("n_links")).otherwise(F.lit(0).cast("long")).alias("n_links"),
     )
-    return told
+    return told if every_link else told.drop("n_links")
 
 
 def one_per_component(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that have an earlier near copy: the smallest id of each component stays."""
-    told = components(docs, text)
+    told = components(docs, text, every_link=False)
     gone = kept(told.groupBy("doc_id").agg(F.min("component_id").alias("_c")).where("_c < doc_id").select("doc_id"))
     return docs.join(gone, "doc_id", "left_anti")

@@ -126,6 +126,55 @@ def test_one_id_with_several_texts(spark):
     assert sorted(told) == [(1, 1), (9, 1), (9, 1), (9, 1), (12, 1), (13, 13)]
 
 
+def link_counts(rows):
+    """Per text of a row with an id the number of other sets it links with."""
+    sets = {shingle_set(t) for i, t, *_ in rows if i is not None} - {frozenset()}
+    return {x: sum(y != x and 100 * len(x & y) >= 80 * len(x | y) for y in sets) for x in sets}
+
+
+def test_every_link_is_counted(spark, monkeypatch):
+    ship_package(spark)
+    base = [f"w{i}" for i in range(60)]
+    mutual = [(k, " ".join([*base[:59], f"end{k}"]), 0, "") for k in range(400, 412)]  # twelve texts that all link with each other
+    several = [(500, " ".join(base[:40]), 0, ""), (500, " ".join(base[:39]), 0, ""), (501, " ".join(base[:38]), 0, ""), (None, " ".join(base[:37]), 0, "")]
+    rows = near_copies() + mutual + several
+    want = link_counts(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert min(want[shingle_set(t)] for _, t, *_ in mutual) == 11
+
+    def check():
+        told = jaccard.components(df).collect()
+        got = {}
+        for r in told:
+            got.setdefault((r["doc_id"], r["n_shingles"]), []).append(r["n_links"])
+        expected = {}
+        for i, t, *_ in rows:
+            expected.setdefault((i, len(shingle_set(t))), []).append(0 if i is None else want.get(shingle_set(t), 0))
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in expected.items()}
+
+    check()
+    monkeypatch.setattr(jaccard._every_pair, "__defaults__", (3,))  # groups that take several blocks
+    check()
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_components_without_every_link(spark, rounds):
+    ship_package(spark)
+    rows = near_copies()
+    told = jaccard.components(spark.createDataFrame(rows, SCHEMA), rounds=rounds, every_link=False)
+    assert "n_links" not in told.columns
+    want = classes(rows)
+    assert all(r["component_id"] == want[r["doc_id"]] for r in told.collect() if r["doc_id"] is not None)
+
+
+def test_links_of_the_table(spark):
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    want = link_counts(rows)
+    text = dict(rows)
+    for r in QUERIES["op4_ngram_jaccard"](spark, SF).collect():
+        assert r["n_links"] == want.get(shingle_set(text[r["doc_id"]]), 0), r
+
+
 def test_near_copies_of_the_table(spark):
     rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
     want = classes(rows)
