@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridpanel.catalog.grid_time import DESIGN
-from gridpanel.catalog.models_lookup import FEATURES, KEY, TRIAL
+from gridpanel.catalog.models_lookup import FEATURES, KEY
 from gridpanel.catalog.publish_gates import contract_panel, published_scores
 from gridpanel.catalog.registry import query
 from gridpanel.catalog.stats_ranking import rounded
@@ -151,7 +151,7 @@ def annual_cycle(spark, sf):
     extra = contract_panel(v).drop("n_items", "disc", "tax", "price", "target", "cell_year_id")
     panel = v.panel().select(*KEY, *FEATURES, "target").join(extra, KEY)
     labelled, matrix = panel.where(F.col("observation_year") < years[-1]), panel.where(F.col("observation_year") == years[-1]).drop("target")
-    estimator = MD.HurdleModel(FEATURES, "target", TRIAL, key=KEY)
+    estimator = MD.HurdleModel(FEATURES, "target", key=KEY)
     _, scores, violations = J.annual_cycle(labelled, matrix, estimator, years[:-1], years[-1] + 1, v.cell().select("cell_id"), CYCLE, DESIGN, "trial")
     bad = violations.agg(F.count(F.lit(1))).scalar()
     ranked = F.count_if((F.col("rank_pct") > 0) & (F.col("rank_pct") <= 1))
@@ -163,8 +163,7 @@ def select_model(spark, sf):
     """Candidates fitted on a fixed number of rows per training year, scored on the validation years."""
     v = Views(spark, sf)
     years = v.labelled_years()
-    two = {n: MD.CANDIDATES[n] for n in ("current_frozen", "smaller_regularized_trees")}
-    return J.select_model(v.panel(), FEATURES, "target", KEY, "observation_year", [y for y in years if y <= 1997], [1998, 1999], 1500, 0.02, two)
+    return J.select_model(v.panel(), FEATURES, "target", KEY, "observation_year", [y for y in years if y <= 1997], [1998, 1999], 1500, 1.0)
 
 
 @query("b7_diagnostics", """

@@ -18,8 +18,6 @@ from gridpanel.streaming import streams as ST
 
 FEATURES = ["n_items", "size", "price", "events"]
 KEY = ["cell_id", "observation_year"]
-# few boosting rounds: the procedure is the contract, not the fit
-TRIAL = MD.scaled_settings(MD.DEFAULTS, 0.03)
 
 
 def _splits(v):
@@ -41,14 +39,14 @@ def baseline_estimator(spark, sf):
 def hurdle_model(spark, sf):
     """Two-part scores of the validation rows."""
     train, validation, _ = _splits(Views(spark, sf))
-    model = MD.HurdleModel(FEATURES, "target", TRIAL, key=KEY).fit(train)
+    model = MD.HurdleModel(FEATURES, "target", key=KEY).fit(train)
     return model.transform(validation).select(*KEY, "target", "hurdle")
 
 
 @query("m4_compare_candidates")
 def compare_candidates(spark, sf):
     train, validation, _ = _splits(Views(spark, sf))
-    long = MD.compare_candidates(train, validation, FEATURES, "target", KEY, "observation_year", scale=0.02)
+    long = MD.compare_candidates(train, validation, FEATURES, "target", KEY, "observation_year")
     scoped = M.with_scopes(long, "observation_year")
     regression = M.regression_metrics(long, "observation_year")
     return M.candidate_summary(regression, M.tie_aware_ranking(scoped, 0.2, ["model", "scope"]))
@@ -59,7 +57,7 @@ def refit(spark, sf):
     """Fixed specification refitted on every labelled year but the last, scored on the last."""
     v = Views(spark, sf)
     years = v.labelled_years()
-    model = MD.refit(v.panel(), MD.HurdleModel(FEATURES, "target", TRIAL, key=KEY), years[:-1])
+    model = MD.refit(v.panel(), MD.HurdleModel(FEATURES, "target", key=KEY), years[:-1])
     return model.transform(v.panel().where(F.col("observation_year") == years[-1])).select(*KEY, "hurdle")
 
 
@@ -71,7 +69,7 @@ def save_load_identical(spark, sf):
 
     v = Views(spark, sf)
     train, validation, _ = _splits(v)
-    model = MD.HurdleModel(FEATURES, "target", TRIAL, key=KEY).fit(train)
+    model = MD.HurdleModel(FEATURES, "target", key=KEY).fit(train)
     path = scratch_path(spark, "model")
     model.save(path, {"train_years": [y for y in v.labelled_years() if y <= 1997], "seed": MD.SEED})
     loaded, _ = MD.HurdleModelFitted.load(spark, path)
@@ -85,7 +83,7 @@ def save_load_identical(spark, sf):
 def score(spark, sf):
     v = Views(spark, sf)
     train, _, last = _splits(v)
-    model = MD.HurdleModel(FEATURES, "target", TRIAL, key=KEY).fit(train)
+    model = MD.HurdleModel(FEATURES, "target", key=KEY).fit(train)
     matrix = last.withColumn("assignment_method", F.lit("containing_source"))
     return MD.score(model, matrix, v.labelled_years()[-1] + 1, "trial")
 
@@ -97,7 +95,7 @@ def frozen_test(spark, sf):
     train, _, held_out = _splits(v)
     years = [y for y in v.labelled_years() if y <= 1997]
     path = scratch_path(spark, "model")
-    MD.HurdleModel(FEATURES, "target", TRIAL, key=KEY).fit(train).save(path, {"train_years": years})
+    MD.HurdleModel(FEATURES, "target", key=KEY).fit(train).save(path, {"train_years": years})
     model, meta = MD.HurdleModelFitted.load(spark, path)
     scored = MD.frozen_test(model, meta, held_out, FEATURES, years)
     long = M.melt_models(scored, ["cell_id", "observation_year", "target"], ["hurdle"])
