@@ -28,7 +28,7 @@ from gridpanel.llm.arrowtext import filled, slices
 from gridpanel.llm.bpe import gather
 
 #: Labelled rows of each kind that are fitted on at most, and the longest text among them in bytes.
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 1500
 SAMPLE_TEXT_BYTES = 60_000
 WINDOW, STRIDE = 32, 24
 HIDDEN, EMBEDDED, ATTENTION = 8, 4, 4
@@ -439,10 +439,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = SA
     ``max_bytes``, are not fitted on.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    fitting = docs.where(F.octet_length(text) <= max_bytes).select("doc_id")
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = n.get(1, 0) / max(sum(n.values()), 1)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    drawn = known.where("toxic = 1").orderBy(*order).limit(rows).union(known.where("toxic = 0").orderBy(*order).limit(rows))
+    # texts too long to fit on are left out before the draw, so that they take no other's place
+    short = known.join(fitting, "doc_id", "left_semi")
+    drawn = short.where("toxic = 1").orderBy(*order).limit(rows).union(short.where("toxic = 0").orderBy(*order).limit(rows))
     found = docs.select("doc_id", F.col(text).alias("text")).where(F.octet_length("text") <= max_bytes).join(F.broadcast(drawn), "doc_id")
     picked = found.orderBy(*order, F.xxhash64("text")).limit(2 * rows).select("text", "toxic").collect()
     return fit([r["text"] for r in picked], [r["toxic"] for r in picked], share)

@@ -140,3 +140,25 @@ def test_toxicity_odd_rows(spark, net):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     bare = toxicity.train(df, labels)
     assert {r["score"] for r in toxicity.score(df, bare).collect()} == {0.0}
+
+
+def test_every_language_has_its_part_of_the_sample(spark):
+    rows = [(f"{k} " + "x" * 900, "en") for k in range(400)] + [(f"{k} court", "fr") for k in range(40)] + [(f"{k} kurz", "de") for k in range(40)]
+    picked = langid.sample(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", 600, 90_000)
+    held = {x: sum(len(t.encode()) for t, y in picked if y == x) for x in ("en", "fr", "de")}
+    assert sum(y == "fr" for _, y in picked) == 40 and sum(y == "de" for _, y in picked) == 40
+    assert 29_000 <= held["en"] <= 30_000
+    assert langid.sample(spark.createDataFrame([], "text string, lang string"), "text", "lang", 600, 90_000) == []
+
+
+def test_long_texts_take_no_place_in_the_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "long " * 30 if k % 2 else f"short {k}") for k in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 40)) for k in range(80)], "doc_id long, toxic int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, share: seen.update(texts=texts, toxic=toxic, share=share))
+    toxicity.train(docs, labels, rows=15, max_bytes=100)
+    assert len(seen["texts"]) == 30 and sum(seen["toxic"]) == 15 and seen["share"] == 0.5
+
+
+def test_bounds_of_the_samples():
+    assert langid.SAMPLE_ROWS >= 600 and langid.SAMPLE_BYTES >= 16 << 20 and toxicity.SAMPLE_ROWS >= 1500
