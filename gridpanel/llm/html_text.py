@@ -5,8 +5,9 @@ below it, also those inside links, and from them a density: characters per tag,
 of them are link text. The node whose children's densities sum to the most is the content, with
 those around it that add text and hardly links. The smallest density on its path up to the body
 is the threshold; of the content's subtree those blocks are left out that fall below it and hold
-mostly links. Navigation, forms, scripts and what is named as advert, notice, sidebar or comments
-never counts as content.
+mostly links. Navigation and scripts never count as content; nor do forms and what is named as advert,
+notice, sidebar or comments, unless they hold most of the body's text outside links and of the article elements: then
+they wrap the article.
 
 Text is joined block by block: character references are decoded, white space within a block
 becomes one space, and blocks stand on lines of their own. Null and empty pages, and pages
@@ -36,7 +37,7 @@ BLOCKS = frozenset(
     "header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 DROPPED = frozenset(
-    "script style noscript template head title iframe object embed applet canvas svg math nav footer aside form button select textarea input "
+    "script style noscript template head title iframe object embed applet canvas svg math nav footer aside button select textarea input "
     "dialog menu audio video map noembed noframes".split()
 )
 #: What an opening tag ends if it is open, up to the nearest of the tags that hold it.
@@ -71,10 +72,10 @@ _PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "dropped", "doubtful", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.tag, self.parent, self.dropped, self.doubtful = tag, parent, dropped, False
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -87,7 +88,14 @@ def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
         return False
     if _HIDDEN.search(attributes):
         return True
-    if tag in ("body", "html", "article", "main"):
+    return False
+
+
+def _doubtful(tag: str, attributes: str) -> bool:
+    """Whether an element is a form or named as something else than the article."""
+    if tag == "form":
+        return True
+    if tag in ("body", "html", "article", "main") or "=" not in attributes:
         return False
     return any(w.lower() in NOT_CONTENT for m in _NAMES.finditer(attributes) for w in _PARTS.findall(m[1] or m[2] or m[3] or ""))
 
@@ -154,6 +162,7 @@ def parse(page: str) -> Node:
                 found = found.parent
             node = close(found)
         child = Node(tag, node, node.dropped or _unwanted(tag, attributes, articles > 0))
+        child.doubtful = not child.dropped and _doubtful(tag, attributes)
         node.children.append(child)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
@@ -180,10 +189,34 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
+def _settle(order: list[Node], body: Node) -> None:
+    """Drop doubtful nodes with all below them, except those with most of the body's characters outside links.
+
+    On pages whose article is marked as such, they must hold most of its characters too: next to a short
+    article an advert may have more.
+    """
+    plain: dict[int, int] = {}
+    for n in reversed(order):
+        if n.dropped or n.tag == "a":
+            plain[id(n)] = 0
+        else:
+            plain[id(n)] = sum(len(c.strip()) if isinstance(c, str) else plain[id(c)] for c in n.children)
+    few = {id(n) for n in order if n.doubtful and 2 * plain[id(n)] <= plain[id(body)]}
+    marked: dict[int, int] = {}
+    for n in reversed(order):
+        inner = sum(marked[id(c)] for c in n.children if isinstance(c, Node))
+        marked[id(n)] = 0 if n.dropped or id(n) in few else plain[id(n)] if n.tag in ("article", "main") else inner
+    for n in order:
+        wraps = id(n) not in few and 2 * marked[id(n)] >= marked[id(body)]
+        if n.parent is not None and n.parent.dropped or n.doubtful and not wraps:
+            n.dropped = True
+
+
 def measure(root: Node) -> Node:
     """Fill in counts, densities and sums of densities; return the body, or the root without one."""
     order = _order(root)
     body = next((n for n in order if n.tag == "body"), root)
+    _settle(order, body)
     for n in reversed(order):
         if n.dropped:
             continue

@@ -168,3 +168,12 @@ def test_decisions_reach_aliases(spark):
     more = spark.createDataFrame([("http://e.net/", "http://www.x.com/de/")], "from_url string, to_url string")
     assert {r["verdict"] for r in urls.judge(df, RULES, more).where("page_id = 8").collect()} == {"block"}
     assert urls.judge(df.limit(0), RULES).count() == 0
+
+
+@pytest.mark.parametrize("wrapper", ['div class="layout has-sidebar"', 'div id="page" class="no-comments"', 'div class="social-policy"', 'div class="legal notice"', "form"])
+def test_names_and_forms_around_the_article_do_not_drop_it(wrapper):
+    article = "".join(f"<p>Paragraph {k} of the article tells something about its subject at length.</p>" for k in range(4))
+    ad = '<div class="ad"><p>Buy this now</p></div><form><p>Your mail</p></form>'
+    page = f"<body><div><a href=x>home</a></div><{wrapper}>{article}{ad}</{wrapper.split()[0]}></body>"
+    told = html_text.text_of(page)
+    assert told.count("tells something") == 4 and "Buy" not in told and "Your mail" not in told
