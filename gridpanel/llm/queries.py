@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridpanel.llm import bpe, dedup, fingerprints, html_text, jaccard, langid, mixture, private_data, toxicity, urls
+from gridpanel.llm import bpe, conversation_sql, dedup, fingerprints, html_text, jaccard, langid, mixture, private_data, repair, toxicity, urls
 from gridpanel.llm.langid import held_out
 from gridpanel.llm.registry import ORACLES, QUERIES, query, table
 
@@ -148,3 +148,8 @@ def op10(spark, sf_dir):
     return both.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
     )
+
+
+@query("op13_conversation_repair", conversation_sql.REPAIR)
+def op13(spark, sf_dir):
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
