@@ -73,3 +73,28 @@ SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
        coalesce(repaired_sha256, sha256('')) AS repaired_sha256
 FROM best b LEFT JOIN facts x ON x.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN fixed y ON y.conv_id IS NOT DISTINCT FROM b.conv_id
 """
+
+
+TRIE = rf"""
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, max(pos) AS own, {crc32_sql("conv_id::VARCHAR")} % 6 AS h FROM o GROUP BY conv_id),
+p AS (SELECT c.*, least(c.h, coalesce(b.own, 0)) AS b FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 100),
+r AS (
+  SELECT p.conv_id, o.pos AS depth, role, text FROM p JOIN o ON o.conv_id = p.conv_id - p.conv_id % 100 AND o.pos <= p.b
+  UNION ALL SELECT p.conv_id, p.b + o.pos - p.h, role, text FROM p JOIN o ON o.conv_id = p.conv_id AND o.pos > p.h),
+q AS (SELECT p.conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY depth) FILTER (depth IS NOT NULL), []) AS seq FROM p LEFT JOIN r ON r.conv_id = p.conv_id GROUP BY p.conv_id),
+x AS (SELECT conv_id, len(seq) AS size, seq, unnest(range(0, len(seq) + 1)) AS depth FROM q),
+k AS (SELECT conv_id, size, depth, seq[1:depth] AS key, CASE WHEN depth > 0 THEN length(seq[depth].text) ELSE 0 END AS n FROM x),
+g AS (
+  SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(n) AS saves,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256 FROM k GROUP BY key, depth),
+u AS (SELECT key[1:depth - 1] AS key, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY 1),
+w AS (SELECT g.*, coalesce(n_children, 0) AS n_children, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf FROM g LEFT JOIN u ON u.key = g.key),
+a AS (SELECT key, leaf, saves, unnest(range(0, depth + 1)) AS top FROM w),
+s AS (SELECT key[1:top] AS key, sum(leaf) AS n_leaves, sum(saves) AS saved_tokens FROM a GROUP BY 1)
+SELECT w.conv_id, w.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, w.n_convs::BIGINT AS n_convs, w.n_children::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
+FROM w JOIN s ON s.key = w.key LEFT JOIN g up ON w.depth > 0 AND up.key = w.key[1:w.depth - 1]
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridpanel.llm import bpe, conversation_sql, dedup, fingerprints, html_text, jaccard, langid, mixture, private_data, repair, toxicity, urls
+from gridpanel.llm import bpe, conversation_sql, dedup, fingerprints, html_text, jaccard, langid, mixture, private_data, repair, toxicity, trie, urls, warc
 from gridpanel.llm.langid import held_out
 from gridpanel.llm.registry import ORACLES, QUERIES, query, table
 
@@ -150,6 +150,30 @@ def op10(spark, sf_dir):
     )
 
 
+@query("op11_prefix_trie", conversation_sql.TRIE)
+def op11(spark, sf_dir):
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query(
+    "op12_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+    d AS (
+      SELECT page_id, html, list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform(range(4), lambda j:
+               substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * i::INT + 1, 5))::INT >> (15 - 5 * j::INT)) & 31) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS digest
+      FROM p),
+    f AS (SELECT html, min(page_id) AS first FROM d GROUP BY html)
+    SELECT page_id, strlen(d.html)::BIGINT AS payload_bytes, digest AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM d JOIN f ON f.html = d.html
+    """,
+)
+def op12(spark, sf_dir):
+    told = warc.through_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return told.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op13_conversation_repair", conversation_sql.REPAIR)
 def op13(spark, sf_dir):
     return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
