@@ -37,6 +37,8 @@ from gridpanel.session import ensure_checkpoint_dir, written
 
 #: Bytes of records after which a new archive begins.
 ARCHIVE_BYTES = 64 << 20
+#: Revisits (some 200 bytes each) that are sent to every task.
+BROADCAST_REVISITS = 100_000
 #: Bytes unpacked, or handed to Spark, at once.
 PIECE = 1 << 20
 BATCH = 4 << 20
@@ -191,7 +193,8 @@ _OUT = pa.schema([("archive", pa.string()), ("seq", pa.int64()), ("value", pa.bi
 def _save(rows: DataFrame, folder: str, separator: str) -> str:
     """One gzip file per archive, its records in order, each followed by ``separator``."""
     placed = rows.sortWithinPartitions("archive", "seq").select("archive", F.col("value").cast("string").alias("value"))
-    placed.write.partitionBy("archive").option("lineSep", separator).option("compression", "gzip").text(folder)
+    made = placed.write.partitionBy("archive").option("lineSep", separator).option("compression", "gzip")
+    made.option("zlib.compress.level", "BEST_SPEED").text(folder)
     return folder
 
 
@@ -293,7 +296,9 @@ def converted(path: str, content: bytes, repeats: dict[int, dict[str, str]]) ->
 
 def convert(spark: SparkSession, arc_folder: str, warc_folder: str) -> str:
     """Write one WARC file for every ARC file of a folder."""
-    decided = revisits(written(arc_index(spark, arc_folder), "warc-index"))
+    decided = written(revisits(written(arc_index(spark, arc_folder), "warc-index")), "warc-revisits")
+    if (decided.agg(F.sum(F.size("revisits"))).first()[0] or 0) <= BROADCAST_REVISITS:
+        decided = F.broadcast(decided)  # else whole archives are dealt by path
 
     def warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Rows(_OUT)
