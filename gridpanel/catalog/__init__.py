@@ -11,6 +11,7 @@ def _load() -> None:
         models_lookup,
         publish_gates,
         raster_climate,
+        reprojection,
         scans,
         stats_ranking,
         vector,
