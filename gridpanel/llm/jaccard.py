@@ -1,21 +1,21 @@
 """N-gram Jaccard self-join with rare-first prefix, length, positional and suffix filters.
 
 A document's set holds its distinct shingles of five words as 64-bit hashes; documents with equal
-sets form one class, so copies are never expanded. A fixed-size table of shingle counts orders
-the shingles of every set from rare to frequent. Two sets of enough overlap share a shingle
+sets form one class, so copies are never expanded. A table of shingle counts, sized by the
+texts, orders the shingles of every set from rare to frequent. Two sets of enough overlap share a shingle
 among the first ones of both, so classes meet on these prefix shingles only. Pairs must pass
 bounds from their lengths, from the positions of the shared shingle, and from the sizes of the
 parts into which fixed pivots split both sets. Each surviving pair is verified once, on the
 whole sets.
 
-All links between classes are counted: every pair of a shingle's group is a candidate, large
-groups are dealt in blocks so that no task holds a whole one, and a pair is verified once
-however many shingles it shares.
+Components need no link within them: the first rounds compare the members of a shingle's group
+with one of them each, first the same for all shingles, then one drawn per shingle. What then
+still lies in different components of a group is compared pair by pair, within bands of equal
+length, so no link between components is lost.
 
-:func:`one_per_component` needs components only. There the first rounds compare the members of a
-shingle's group with one of them each, first the same for all shingles, then one drawn per
-shingle. What then still lies in different components of a group is compared pair by pair, so
-no link between components is lost, but links within them are not looked for.
+With ``every_link`` all links between classes are counted: every pair of a shingle's group is a
+candidate, large groups are dealt in blocks so that no task holds a whole one, and a pair is
+verified once however many shingles it shares.
 
 Null and empty texts, and texts without words, have no shingles and link with nothing; fewer than five words
 are one shingle. Rows with one ``doc_id`` are one node, whatever their texts; rows without are returned unlinked, with
@@ -39,8 +39,10 @@ from gridpanel.session import written
 WORDS = 5
 #: Similarity as a fraction: documents link from 80 of 100 on.
 NUM, DEN = 80, 100
-#: Counters of the shingle table and bits of the table of shared shingles; both sizes are fixed.
-COUNTERS, SHARED_BITS = 1 << 19, 1 << 25
+#: Text per counter of the shingle table, and the least and most counters (of two bytes) it has.
+BYTES_PER_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 64, 1 << 16, 1 << 25
+#: Bits of the table of shared shingles.
+SHARED_BITS = 1 << 25
 #: Parts that the suffix filter splits a set into.
 PARTS = 32
 #: Rounds of one comparison per member before all pairs of different components are compared.
@@ -105,14 +107,26 @@ def fixed_table(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None
     return np.concatenate([found.get(i, np.zeros(len(c), dtype)) for i, c in enumerate(np.array_split(np.zeros(size, dtype), pieces))])
 
 
+def counters_for(text_bytes: int) -> int:
+    """Counters for texts of so many bytes: about ten shingles each, up to ``MOST_COUNTERS``."""
+    return min(max(1 << (text_bytes // BYTES_PER_COUNTER).bit_length(), LEAST_COUNTERS), MOST_COUNTERS)
+
+
 def shingle_counts(docs: DataFrame) -> np.ndarray:
-    """How many documents have a shingle of each hash class."""
+    """How many documents have a shingle of each hash class, up to 65,535."""
+    width = counters_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    most = np.iinfo(np.uint16).max
+
     def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
         for part in slices(batch, "text"):
             h, _ = shingles(*flat(filled(part.column("text"))))
-            table += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(table.dtype)
+            at, n = np.unique((h & np.uint64(width - 1)).astype(np.int64), return_counts=True)
+            table[at] = np.minimum(table[at] + n, most)
 
-    return fixed_table(docs.select("text"), fill, COUNTERS, "uint32", np.add)
+    def add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.minimum(a.astype(np.uint32) + b, most).astype(np.uint16)
+
+    return fixed_table(docs.select("text"), fill, width, "uint16", add)
 
 
 def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -137,7 +151,7 @@ def index(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     sums.append((running[ends[1:]] - running[ends[:-1]]).view(np.int64))
                 size = np.bincount(who * PARTS + (h >> np.uint64(59)).astype(np.int64), minlength=rows * PARTS)
                 # one order for all sets: the count of a shingle's class, then its hash
-                rare = (counts[(h & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32))
+                rare = (counts[(h & np.uint64(len(counts) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32))
                 order = np.argsort(rare, kind="stable")
                 order = order[np.argsort(who[order].astype(np.int16 if rows < 1 << 15 else np.int64), kind="stable")]
                 place = np.arange(len(h)) - ends[who]
@@ -216,12 +230,30 @@ def _near(n: str, m: str, pos: str, at: str) -> Column:
 
 def _across(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of different components that share a prefix shingle and pass the filters."""
-    passed = left.join(right.hint(JOIN), "h").where((F.col("comp") != F.col("other")) & _near("n", "m", "pos", "at"))
+    return _ordered(left.join(right.hint(JOIN), "h").where((F.col("comp") != F.col("other")) & _near("n", "m", "pos", "at")))
+
+
+def _ordered(passed: DataFrame) -> DataFrame:
+    """Pairs by signature, each once however many shingles it shares."""
     first = F.col("sig") < F.col("with")
     ends = (("a", "sig", "with"), ("b", "with", "sig"), ("a_id", "id", "with_id"), ("b_id", "with_id", "id"), ("a_comp", "comp", "other"), ("b_comp", "other", "comp"))
     return passed.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in ends]).distinct()
 
 
+def _pairs_across(group: DataFrame) -> DataFrame:
+    """All pairs of different components that share a prefix shingle and pass the filters, each once.
+
+    Sets that can link have lengths of one band or of two neighbouring ones, so members meet by
+    shingle and band, the shorter one first.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM + 1e-4))).cast("int")
+    left = group.select("h", F.explode(F.array(band, band + 1)).alias("band"), "sig", "id", "n", "pos", "comp")
+    right = group.select("h", band.alias("band"), F.col("sig").alias("with"), F.col("id").alias("with_id"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("other"))
+    shorter = (F.col("n") < F.col("m")) | (F.col("n") == F.col("m")) & (F.col("sig") < F.col("with"))
+    passed = left.join(right.hint(JOIN), ["h", "band"]).where((F.col("comp") != F.col("other")) & shorter & _near("n", "m", "pos", "at"))
+    return _ordered(passed)
+
+
 def _every_pair(group: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All pairs of different sets that share a prefix shingle and pass the filters.
 
@@ -277,12 +309,12 @@ def _relabelled(labels: DataFrame, group: DataFrame, joins: DataFrame) -> tuple[
     return labels, group
 
 
-def components(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, every_link: bool = True) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, n_links``.
+def components(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, every_link: bool = False) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id``.
 
-    ``n_links`` counts the other sets, held by rows with a ``doc_id``, that the row's set links
-    with; documents of equal sets count as one. Without ``every_link`` components are found by
-    ``rounds`` of one comparison per member, links within them are not looked for, and ``n_links`` is left out.
+    ``every_link`` adds ``n_links``: the other sets, held by rows with a ``doc_id``, that the
+    row's set links with; documents of equal sets count as one. Without it ``rounds`` of one comparison
+    per member find most of every component, and links within one are not looked for.
     """
     docs = docs.select("doc_id", F.col(text).alias("text"))
     found = written(index(docs, shingle_counts(docs)), "jaccard-index")
@@ -308,11 +340,10 @@ def components(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, every_
         # groups that lie in more than one component, and one member of each
         open_ = group.groupBy("h").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), one.alias("_o")).where("_lo <> _hi")
         if turn < rounds:
-            other = open_.select("h", "_o.with", "_o.with_id", "_o.m", "_o.at", "_o.other")
-            pairs = _across(group, other)
+            pairs = _across(group, open_.select("h", "_o.with", "_o.with_id", "_o.m", "_o.at", "_o.other"))
         else:
             group = kept(group.join(open_.select("h"), "h", "left_semi"))
-            pairs = _across(group, group.select("h", F.col("sig").alias("with"), F.col("id").alias("with_id"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("other")))
+            pairs = _pairs_across(group)
         if tried is not None:
             pairs = pairs.join(tried.hint(JOIN), ["a", "b"], "left_anti")
         pairs = kept(pairs)
@@ -344,6 +375,6 @@ def components(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, every_
 
 def one_per_component(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that have an earlier near copy: the smallest id of each component stays."""
-    told = components(docs, text, every_link=False)
+    told = components(docs, text)
     gone = kept(told.groupBy("doc_id").agg(F.min("component_id").alias("_c")).where("_c < doc_id").select("doc_id"))
     return docs.join(gone, "doc_id", "left_anti")

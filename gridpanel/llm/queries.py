@@ -52,7 +52,7 @@ def op3(spark, sf_dir):
 @query("op4_ngram_jaccard")
 def op4(spark, sf_dir):
     told = jaccard.components(table(spark, sf_dir, "documents"))
-    return told.select("doc_id", "n_shingles", "component_id", "n_links")
+    return told.select("doc_id", "n_shingles", "component_id")
 
 
 @query(

@@ -143,7 +143,7 @@ def test_every_link_is_counted(spark, monkeypatch):
     assert min(want[shingle_set(t)] for _, t, *_ in mutual) == 11
 
     def check():
-        told = jaccard.components(df).collect()
+        told = jaccard.components(df, every_link=True).collect()
         got = {}
         for r in told:
             got.setdefault((r["doc_id"], r["n_shingles"]), []).append(r["n_links"])
@@ -161,17 +161,33 @@ def test_every_link_is_counted(spark, monkeypatch):
 def test_components_without_every_link(spark, rounds):
     ship_package(spark)
     rows = near_copies()
-    told = jaccard.components(spark.createDataFrame(rows, SCHEMA), rounds=rounds, every_link=False)
+    told = jaccard.components(spark.createDataFrame(rows, SCHEMA), rounds=rounds)
     assert "n_links" not in told.columns
     want = classes(rows)
     assert all(r["component_id"] == want[r["doc_id"]] for r in told.collect() if r["doc_id"] is not None)
 
 
+def test_all_pairs_meet_within_bands_of_length(spark):
+    ship_package(spark)
+    texts = [" ".join(f"w{i}" for i in range(k)) for k in (8, 9, 10, 11, 12, 14, 17, 21, 26, 32, 40, 50, 62, 63)]
+    rows = [(i, t, 0, "") for i, t in enumerate(texts)] + [(90, "w0 w1 w2 w3 w4", 0, ""), (91, "w0 w1", 0, "")]
+    want = classes(rows)
+    told = jaccard.components(spark.createDataFrame(rows, SCHEMA), rounds=0).collect()
+    assert all(r["component_id"] == want[r["doc_id"]] for r in told) and len({r["component_id"] for r in told}) > 3
+
+
+def test_counters_grow_with_the_texts():
+    sizes = [jaccard.counters_for(10**k) for k in range(0, 13)]
+    assert sizes == sorted(sizes) and sizes[0] == jaccard.LEAST_COUNTERS and sizes[-1] == jaccard.MOST_COUNTERS
+    assert all(n & (n - 1) == 0 for n in sizes) and jaccard.counters_for(10**9) * jaccard.BYTES_PER_COUNTER >= 10**9
+
+
 def test_links_of_the_table(spark):
     rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
     want = link_counts(rows)
     text = dict(rows)
-    for r in QUERIES["op4_ngram_jaccard"](spark, SF).collect():
+    ship_package(spark)
+    for r in jaccard.components(spark.read.parquet(f"{SF}/documents.parquet"), every_link=True).collect():
         assert r["n_links"] == want.get(shingle_set(text[r["doc_id"]]), 0), r
 
 
