@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 
 from gridpanel.llm.arrowtext import filled, flat, slices
 
+#: Bytes of text encoded at once; a longer text is encoded alone. The words of a slice cost some hundred times as much.
+SLICE_BYTES = 1 << 19
 #: Words a task remembers before it starts anew.
 STORE_WORDS = 200_000
 _NONE = np.int64(1) << 40
@@ -113,6 +115,20 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[step + np.arange(total)]
 
 
+class Grown:
+    """An array that doubles its room when it is full."""
+
+    def __init__(self, dtype):
+        self.data, self.size = np.zeros(1024, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        need = self.size + len(values)
+        if need > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(max(need, 2 * len(self.data)) - len(self.data), self.data.dtype)])
+        self.data[self.size : need] = values
+        self.size = need
+
+
 class Encoder:
     """Texts to ids. ``pattern`` cuts a text into words that merge on their own."""
 
@@ -125,7 +141,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.starts, self.lengths = Grown(np.int32), Grown(np.int64), Grown(np.int64)
 
     def learn(self, new: list[str]) -> None:
         plain = [w for w in new if w not in self.vocabulary.special]
@@ -133,11 +149,12 @@ class Encoder:
         marks = [w for w in new if w in self.vocabulary.special]
         ids = np.concatenate([ids, [self.vocabulary.special[w] for w in marks]])
         counts = np.concatenate([counts, np.ones(len(marks), np.int64)]).astype(np.int64)
-        begin = len(self.ids) + np.cumsum(counts) - counts
+        begin = self.ids.size + np.cumsum(counts) - counts
         for w in plain + marks:
             self.known[w] = len(self.known)
-        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-        self.starts, self.lengths = np.concatenate([self.starts, begin]), np.concatenate([self.lengths, counts])
+        self.ids.add(ids)
+        self.starts.add(begin)
+        self.lengths.add(counts)
 
     def words(self, text: str) -> list[str]:
         if self.special is None or not self.special.search(text):
@@ -155,10 +172,10 @@ class Encoder:
         if new:
             self.learn(new)
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        sizes = self.lengths[at]
+        sizes = self.lengths.data[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         bounds = np.concatenate([[0], np.cumsum([len(text) for text in cut])]).astype(np.int64)
-        return gather(self.ids, self.starts[at], sizes), np.diff(ends[bounds])
+        return gather(self.ids.data, self.starts.data[at], sizes), np.diff(ends[bounds])
 
 
 def _binary(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -177,6 +194,23 @@ def _with(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(kept | columns)
 
 
+def _encoded(encoder: Encoder, part: pa.RecordBatch, text: str) -> pa.RecordBatch:
+    ids, counts = encoder(filled(part.column(text)).to_pylist())
+    return _with(part, ids=_binary(ids.astype("<u4").view(np.uint8), counts * 4), n_tokens=pa.array(counts, pa.int64()))
+
+
+def _decoded(vocabulary: Vocabulary, part: pa.RecordBatch, ids: str, out: str) -> pa.RecordBatch:
+    data, offsets = flat(filled(part.column(ids)))
+    codes = np.frombuffer(data.tobytes(), "<u4").astype(np.int64)
+    if len(codes) and codes.max() >= vocabulary.size:
+        raise ValueError("an id is not in the vocabulary")
+    sizes = vocabulary.lengths[codes]
+    spelled = gather(vocabulary.bytes, vocabulary.starts[codes], sizes).tobytes()
+    ends = np.concatenate([[0], np.cumsum(sizes)])[offsets // 4]
+    texts = [spelled[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    return _with(part, **{out: pa.array(texts, pa.string())})
+
+
 def bpe_encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """Add ``ids`` (binary: little-endian unsigned 32-bit ids) and ``n_tokens`` (long).
 
@@ -188,13 +222,10 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value, pattern)
         for batch in batches:
-            for part in slices(batch, text):
-                ids, counts = encoder(filled(part.column(text)).to_pylist())
-                packed = _binary(ids.astype("<u4").view(np.uint8), counts * 4)
-                yield _with(part, ids=packed, n_tokens=pa.array(counts, pa.int64()))
+            for part in slices(batch, text, SLICE_BYTES):
+                yield _encoded(encoder, part, text)
 
-    schema = _replaced(df.schema, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()))
-    return df.mapInArrow(encode, schema)
+    return df.mapInArrow(encode, _replaced(df.schema, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())))
 
 
 def bpe_decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -202,22 +233,27 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
         for batch in batches:
-            for part in slices(batch, ids):
-                data, offsets = flat(filled(part.column(ids)))
-                codes = np.frombuffer(data.tobytes(), "<u4").astype(np.int64)
-                if len(codes) and codes.max() >= vocabulary.size:
-                    raise ValueError("an id is not in the vocabulary")
-                sizes = vocabulary.lengths[codes]
-                spelled = gather(vocabulary.bytes, vocabulary.starts[codes], sizes).tobytes()
-                ends = np.concatenate([[0], np.cumsum(sizes)])[offsets // 4]
-                texts = [spelled[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                yield _with(part, **{out: pa.array(texts, pa.string())})
+            for part in slices(batch, ids, SLICE_BYTES):
+                yield _decoded(shared.value, part, ids, out)
 
     return df.mapInArrow(decode, _replaced(df.schema, T.StructField(out, T.StringType())))
 
 
+def bpe_codec(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "decoded") -> DataFrame:
+    """:func:`bpe_encode` and :func:`bpe_decode` of its ids in one pass, so a task has one worker for both."""
+    shared = df.sparkSession.sparkContext.broadcast(Vocabulary(path))
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(shared.value, pattern)
+        for batch in batches:
+            for part in slices(batch, text, SLICE_BYTES):
+                yield _decoded(shared.value, _encoded(encoder, part, text), "ids", out)
+
+    added = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField(out, T.StringType())]
+    return df.mapInArrow(both, _replaced(df.schema, *added))
+
+
 def ranks_of(path: str) -> dict[bytes, int]:
     """Pieces and ids of a vocabulary file with one base64 piece and its number per line."""
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}

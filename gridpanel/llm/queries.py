@@ -143,8 +143,7 @@ WORD_RULE = public_tokenizers.PATTERN
 @query("op10_bpe_codec")
 def op10(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, WORD_RULE)
-    both = bpe.bpe_decode(coded.drop("text"), path)
+    both = bpe.bpe_codec(table(spark, sf_dir, "documents").select("doc_id", "text"), path, WORD_RULE)
     return both.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
     )

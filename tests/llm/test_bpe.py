@@ -30,8 +30,9 @@ def test_columns(spark):
     rows = [(1, None, "x"), (2, "", "y"), (3, "a<|endoftext|>b", "z"), (4, "aaaa" * 20_000 + " Ünï 🎉", None), (4, "aaaa", None), (4, "aaaa", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     told = bpe.bpe_decode(bpe.bpe_encode(df, PATH, WORD_RULE), PATH).collect()
-    assert len(told) == len(rows)
-    for r in told:
+    both = bpe.bpe_codec(df, PATH, WORD_RULE).collect()
+    assert len(told) == len(both) == len(rows)
+    for r in told + both:
         want = LIBRARY.encode(r["text"] or "", add_special_tokens=False).ids
         assert list(struct.unpack(f"<{r['n_tokens']}I", r["ids"])) == want
         assert r["decoded"] == (r["text"] or "")
