@@ -48,8 +48,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed little-endian 32-bit) of every document, and whether they decode to its text."""
     ship_package(spark)
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), path, WORD_RULE)
-    told = bpe.bpe_decode(coded, path)
+    told = bpe.bpe_codec(docs.select("doc_id", "lang", "source", "text"), path, WORD_RULE)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return told.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("round_trip"))
 
