@@ -40,7 +40,9 @@ WORDS = 5
 #: Similarity as a fraction: documents link from 80 of 100 on.
 NUM, DEN = 80, 100
 #: Text per counter of the shingle table, and the least and most counters (of two bytes) it has.
-BYTES_PER_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 64, 1 << 16, 1 << 25
+BYTES_PER_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 256, 1 << 16, 1 << 25
+#: Bytes of text whose shingles are held at once; a longer text is handled alone. Its arrays are some fifty times as large.
+SLICE_BYTES = 1 << 20
 #: Bits of the table of shared shingles.
 SHARED_BITS = 1 << 25
 #: Parts that the suffix filter splits a set into.
@@ -108,17 +110,21 @@ def fixed_table(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None
 
 
 def counters_for(text_bytes: int) -> int:
-    """Counters for texts of so many bytes: about ten shingles each, up to ``MOST_COUNTERS``."""
+    """Counters for texts of so many bytes: about forty shingles each, up to ``MOST_COUNTERS``."""
     return min(max(1 << (text_bytes // BYTES_PER_COUNTER).bit_length(), LEAST_COUNTERS), MOST_COUNTERS)
 
 
 def shingle_counts(docs: DataFrame) -> np.ndarray:
-    """How many documents have a shingle of each hash class, up to 65,535."""
+    """How many documents have a shingle of each hash class, up to 65,535.
+
+    Every task fills a table of its own, so the texts are read in a few tasks per core.
+    """
+    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
     width = counters_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     most = np.iinfo(np.uint16).max
 
     def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE_BYTES):
             h, _ = shingles(*flat(filled(part.column("text"))))
             at, n = np.unique((h & np.uint64(width - 1)).astype(np.int64), return_counts=True)
             table[at] = np.minimum(table[at] + n, most)
@@ -126,7 +132,7 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
     def add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.minimum(a.astype(np.uint32) + b, most).astype(np.uint16)
 
-    return fixed_table(docs.select("text"), fill, width, "uint16", add)
+    return fixed_table(docs.select("text").coalesce(tasks), fill, width, "uint16", add)
 
 
 def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -140,7 +146,7 @@ def index(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 h, n = shingles(*flat(filled(part.column("text"))))
                 rows = len(n)
                 who = np.repeat(np.arange(rows), n)
@@ -210,7 +216,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
     """``id, sig_a, set`` of the documents ``ids`` (``id, sig_a``); a repeated id comes as often as it has that set."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 h, n = shingles(*flat(filled(part.column("text"))))
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x2545F4914F6CDD1D)))])
                 ends = np.concatenate([[0], np.cumsum(n)])
