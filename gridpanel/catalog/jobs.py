@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridpanel.catalog.grid_time import DESIGN
-from gridpanel.catalog.models_lookup import FEATURES, KEY
+from gridpanel.catalog.models_lookup import FEATURES, KEY, SUMMARY_SQL, checked_summary
 from gridpanel.catalog.publish_gates import contract_panel, published_scores
 from gridpanel.catalog.registry import query
 from gridpanel.catalog.stats_ranking import rounded
@@ -158,12 +158,12 @@ def annual_cycle(spark, sf):
     return scores.agg(F.count(F.lit(1)).alias("rows"), ranked.alias("ranked")).select(bad.alias("violations"), "rows", "ranked")
 
 
-@query("b6_select_model")
+@query("b6_select_model", SUMMARY_SQL, "panel")
 def select_model(spark, sf):
     """Candidates fitted on a fixed number of rows per training year, scored on the validation years."""
     v = Views(spark, sf)
     years = v.labelled_years()
-    return J.select_model(v.panel(), FEATURES, "target", KEY, "observation_year", [y for y in years if y <= 1997], [1998, 1999], 1500, 1.0)
+    return checked_summary(J.select_model(v.panel(), FEATURES, "target", KEY, "observation_year", [y for y in years if y <= 1997], [1998, 1999], 1500))
 
 
 @query("b7_diagnostics", """

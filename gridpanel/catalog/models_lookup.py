@@ -13,6 +13,7 @@ from gridpanel.operators import lookup as L
 from gridpanel.operators import metrics as M
 from gridpanel.operators import models as MD
 from gridpanel.operators.gates import enforce, gate_predictions
+from gridpanel.session import materialize
 from gridpanel.sinks.publish import scratch_path
 from gridpanel.streaming import streams as ST
 
@@ -35,37 +36,54 @@ def baseline_estimator(spark, sf):
     return model.transform(v.panel()).select("cell_id", "observation_year", F.round("baseline", 9).alias("baseline"))
 
 
-@query("m2_hurdle_model")
+@query("m2_hurdle_model", """
+SELECT cell_id, observation_year, target, true AS in_range, true AS repeated FROM panel WHERE split = 'validation'""", "panel")
 def hurdle_model(spark, sf):
-    """Two-part scores of the validation rows."""
+    """Validation rows: the two-part score is a share, and a second fit on the same matrix gives the same."""
     train, validation, _ = _splits(Views(spark, sf))
-    model = MD.HurdleModel(FEATURES, "target", key=KEY).fit(train)
-    return model.transform(validation).select(*KEY, "target", "hurdle")
+    matrix = MD.FeatureMatrix(train, FEATURES, "target", KEY)
+    models = MD.fit_hurdles(matrix, {"hurdle": MD.DEFAULTS, "again": MD.DEFAULTS})
+    both = models["again"].transform(models["hurdle"].transform(validation))
+    return both.select(*KEY, "target", F.col("hurdle").between(0, 1).alias("in_range"), (F.col("hurdle") == F.col("again")).alias("repeated"))
+
+
+SUMMARY_SQL = """
+SELECT m.model, COUNT(*) AS rows, COUNT(*) FILTER (WHERE target > 0) AS positives, ROUND(AVG(target), 9) AS mean_observed, true AS errors_fit, true AS capture_fits
+FROM panel CROSS JOIN (VALUES ('current_frozen'), ('smaller_regularized_trees'), ('slower_learning'), ('larger_trees'), ('moderate_complexity')) m(model)
+WHERE split = 'validation' GROUP BY m.model"""
 
 
-@query("m4_compare_candidates")
+def checked_summary(summary):
+    """What of a summary of candidates does not hang on the trees: rows, observed mean, and that errors and shares are possible ones."""
+    errors = F.col("mae_all").between(0, 1) & (F.col("rmse_all") >= F.col("mae_all")) & F.col("min_predicted").between(0, F.col("max_predicted")) & (F.col("max_predicted") <= 1)
+    capture = F.col("mass_capture").between(0, 1)
+    return summary.select("model", "rows", "positives", F.round("mean_observed", 9).alias("mean_observed"), errors.alias("errors_fit"), capture.alias("capture_fits"))
+
+
+@query("m4_compare_candidates", SUMMARY_SQL, "panel")
 def compare_candidates(spark, sf):
     train, validation, _ = _splits(Views(spark, sf))
-    long = MD.compare_candidates(train, validation, FEATURES, "target", KEY, "observation_year")
+    long = materialize(MD.compare_candidates(train, validation, FEATURES, "target", KEY, "observation_year"))
     scoped = M.with_scopes(long, "observation_year")
     regression = M.regression_metrics(long, "observation_year")
-    return M.candidate_summary(regression, M.tie_aware_ranking(scoped, 0.2, ["model", "scope"]))
+    return checked_summary(M.candidate_summary(regression, M.tie_aware_ranking(scoped, 0.2, ["model", "scope"])))
 
 
-@query("m5_refit")
+@query("m5_refit", """
+SELECT cell_id, observation_year, true AS in_range FROM panel WHERE observation_year = (SELECT MAX(year) FROM lyrs)""", "panel lyrs")
 def refit(spark, sf):
     """Fixed specification refitted on every labelled year but the last, scored on the last."""
     v = Views(spark, sf)
     years = v.labelled_years()
     model = MD.refit(v.panel(), MD.HurdleModel(FEATURES, "target", key=KEY), years[:-1])
-    return model.transform(v.panel().where(F.col("observation_year") == years[-1])).select(*KEY, "hurdle")
+    scored = model.transform(v.panel().where(F.col("observation_year") == years[-1]))
+    return scored.select(*KEY, F.col("hurdle").between(0, 1).alias("in_range"))
 
 
 @query("m6_save_load_identical", """
 SELECT CAST(0 AS BIGINT) AS differences, COUNT(*) AS rows FROM panel WHERE split = 'validation'""", "panel")
 def save_load_identical(spark, sf):
     from gridpanel.operators.compare import frame_differences
-    from gridpanel.session import materialize
 
     v = Views(spark, sf)
     train, validation, _ = _splits(v)
@@ -79,16 +97,25 @@ def save_load_identical(spark, sf):
     return a.agg(F.count(F.lit(1)).alias("rows")).select(changed.alias("differences"), "rows")
 
 
-@query("m7_score")
+@query("m7_score", """
+SELECT cell_id, CAST((SELECT MAX(year) + 1 FROM lyrs) AS INT) AS forecast_year, CAST((SELECT MAX(year) FROM lyrs) AS INT) AS prediction_input_year, true AS in_range, true AS ranked,
+  'containing_source' AS assignment_method, 'trial' AS model_id, 'published' AS score_status FROM panel WHERE split = 'final_test'""", "panel lyrs")
 def score(spark, sf):
     v = Views(spark, sf)
     train, _, last = _splits(v)
     model = MD.HurdleModel(FEATURES, "target", key=KEY).fit(train)
     matrix = last.withColumn("assignment_method", F.lit("containing_source"))
-    return MD.score(model, matrix, v.labelled_years()[-1] + 1, "trial")
+    scores = MD.score(model, matrix, v.labelled_years()[-1] + 1, "trial")
+    ranked = (F.col("rank_pct") > 0) & (F.col("rank_pct") <= 1)
+    return scores.select(
+        "cell_id", "forecast_year", "prediction_input_year", F.col("estimate").between(0, 1).alias("in_range"), ranked.alias("ranked"),
+        "assignment_method", "model_id", "score_status",
+    )
 
 
-@query("m8_frozen_test")
+@query("m8_frozen_test", """
+WITH s AS (SELECT 'overall' AS scope, target FROM panel WHERE split = 'final_test' UNION ALL SELECT CAST(observation_year AS VARCHAR), target FROM panel WHERE split = 'final_test')
+SELECT 'hurdle' AS model, scope, COUNT(*) AS rows, COUNT(*) FILTER (WHERE target > 0) AS positives, ROUND(AVG(target), 9) AS mean_observed, true AS errors_fit FROM s GROUP BY scope""", "panel")
 def frozen_test(spark, sf):
     """Stored model on held-out years, never fitted there, with its metrics."""
     v = Views(spark, sf)
@@ -98,8 +125,9 @@ def frozen_test(spark, sf):
     MD.HurdleModel(FEATURES, "target", key=KEY).fit(train).save(path, {"train_years": years})
     model, meta = MD.HurdleModelFitted.load(spark, path)
     scored = MD.frozen_test(model, meta, held_out, FEATURES, years)
-    long = M.melt_models(scored, ["cell_id", "observation_year", "target"], ["hurdle"])
-    return M.regression_metrics(long, "observation_year")
+    told = M.regression_metrics(M.melt_models(scored, ["cell_id", "observation_year", "target"], ["hurdle"]), "observation_year")
+    errors = F.col("mae_all").between(0, 1) & (F.col("rmse_all") >= F.col("mae_all")) & (F.col("max_predicted") <= 1)
+    return told.select("model", "scope", "rows", "positives", F.round("mean_observed", 9).alias("mean_observed"), errors.alias("errors_fit"))
 
 
 @query("m9_reconcile_model_id", "SELECT cell_id, score_a AS estimate, 'second' AS model_id FROM pred WHERE observation_year = (SELECT MAX(year) FROM lyrs)", "pred")

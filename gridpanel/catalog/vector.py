@@ -11,6 +11,7 @@ from gridpanel.operators import grid as G
 from gridpanel.operators import raster as RA
 from gridpanel.operators import screening as SC
 from gridpanel.operators import spatial as SP
+from gridpanel.operators import sweep as SW
 from gridpanel.sources import registry as RG
 from gridpanel.sources import tables as TB
 
@@ -170,8 +171,8 @@ def point_in_polygon(spark, sf):
     key = F.col("c_custkey")
     points = v.table("customer").select("c_custkey", ((key * 250) % 100000).cast("double").alias("x"), ((key * 750) % 20000).cast("double").alias("y"))
     polys = v.polygons().select("poly_id", "rings")
-    covers = SP.points_in_polygons(points, polys, ["c_custkey"], 2000, covers=True).select("c_custkey", "poly_id")
-    inner = SP.points_in_polygons(points, polys, ["c_custkey"], 2000, covers=False).select("c_custkey", "poly_id", F.lit(True).alias("c"))
+    covers = SW.points_in_polygons(points, polys, ["c_custkey"], 2000, covers=True).select("c_custkey", "poly_id")
+    inner = SW.points_in_polygons(points, polys, ["c_custkey"], 2000, covers=False).select("c_custkey", "poly_id", F.lit(True).alias("c"))
     return covers.join(inner, ["c_custkey", "poly_id"], "left").select("c_custkey", "poly_id", F.coalesce("c", F.lit(False)).alias("contains"))
 
 

@@ -35,7 +35,7 @@ def make_grid(
         (F.lit(oy) + F.floor(i / nx) * size).alias("y0"),
     )
     if boundary is not None:
-        from gridpanel.operators.spatial import points_in_polygons
+        from gridpanel.operators.sweep import points_in_polygons
 
         centres = cells.withColumns({"x": F.col("x0") + size / 2, "y": F.col("y0") + size / 2})
         kept = points_in_polygons(centres, boundary, ["ix", "iy"], tile or 20 * size, covers=False)

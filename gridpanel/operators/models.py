@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -46,6 +49,59 @@ CANDIDATES = {
     },
 }
 SEED = 42
+#: Rows of a partition of the feature matrix. A boosting round is a few short jobs, so small data stays in few tasks.
+MATRIX_ROWS = 100_000
+#: Fits that run side by side; each of their jobs takes a few tasks only.
+PARALLEL_FITS = 10
+
+
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable]) -> list:
+    """Results of independent Spark jobs that are started from threads of their own.
+
+    Without a fair scheduler the jobs still share the cores, as none fills them. The first error is raised once all have ended.
+    """
+    run = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(min(PARALLEL_FITS, max(len(jobs), 1))) as pool:
+        waiting = [pool.submit(run(job)) for job in jobs]
+    return [w.result() for w in waiting]
+
+
+class FeatureMatrix:
+    """Assembled features and labels of training rows, laid out once for any number of fits."""
+
+    def __init__(self, dataset: DataFrame, features: Sequence[str], target: str, key: Sequence[str] = (), partitions: int | None = None):
+        self.features, self.target = list(features), target
+        rows = dataset.select(*key, *features, target)
+        positive = F.col(target) > 0
+        counts = rows.agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("z")).first()
+        if counts["p"] < 2 or counts["z"] < 2:
+            raise ValueError("hurdle model needs at least two zero and two positive targets")
+        # a fixed layout makes the sampled split candidates, and so the trees, repeatable
+        n = partitions or math.ceil((counts["p"] + counts["z"]) / MATRIX_ROWS)
+        order = list(key) or [*features, target]
+        laid = rows.repartition(n, *order).sortWithinPartitions(*order)
+        self.assembler = VectorAssembler(inputCols=self.features, outputCol="_features", handleInvalid="error")
+        labelled = laid.withColumn("_label", positive.cast("double"))
+        self.rows = materialize(self.assembler.transform(labelled).select("_features", "_label", target))
+
+    def occurrence(self, settings: Mapping, seed: int):
+        """Fitted probability of a positive target."""
+        return GBTClassifier(featuresCol="_features", labelCol="_label", seed=seed, maxBins=255, **settings).fit(self.rows)
+
+    def share(self, settings: Mapping, seed: int) -> GBTRegressionModel:
+        """Fitted share of the positive targets."""
+        regressor = GBTRegressor(featuresCol="_features", labelCol=self.target, seed=seed, maxBins=255, predictionCol="_share", **settings)
+        return regressor.fit(self.rows.where("_label = 1"))
+
+
+def fit_hurdles(matrix: FeatureMatrix, models: Mapping[str, Mapping[str, Mapping]], seed: int = SEED) -> dict[str, "HurdleModelFitted"]:
+    """Both parts of every model of ``models`` (name to settings), fitted side by side on one matrix, the longest first."""
+    parts = [(name, part) for name in models for part in DEFAULTS]
+    parts.sort(key=lambda p: -models[p[0]][p[1]]["maxIter"])
+    fitted = side_by_side(matrix.rows.sparkSession, [lambda n=n, p=p: getattr(matrix, p)(models[n][p], seed) for n, p in parts])
+    done = dict(zip(parts, fitted))
+    pipeline = {n: PipelineModel([matrix.assembler, done[n, "occurrence"]]) for n in models}
+    return {n: HurdleModelFitted(matrix.features, n, pipeline[n], done[n, "share"]) for n in models}
 
 
 class BaselineByCount(Estimator):
@@ -97,25 +153,8 @@ class HurdleModel(Estimator):
         self.key, self.partitions = list(key), partitions
 
     def _fit(self, dataset: DataFrame) -> "HurdleModelFitted":
-        rows = dataset.select(*self.key, *self.features, self.target)
-        if self.key:
-            # a fixed layout makes the sampled split candidates, and so the trees, repeatable
-            n = self.partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            rows = materialize(rows.repartition(n, *self.key).sortWithinPartitions(*self.key))
-        counts = rows.agg(F.count_if(F.col(self.target) > 0).alias("p"), F.count_if(F.col(self.target) <= 0).alias("z")).first()
-        if counts["p"] < 2 or counts["z"] < 2:
-            raise ValueError("hurdle model needs at least two zero and two positive targets")
-        labelled = rows.withColumn("_label", (F.col(self.target) > 0).cast("double"))
-        assembler = VectorAssembler(inputCols=self.features, outputCol="_features", handleInvalid="error")
-        classifier = GBTClassifier(
-            featuresCol="_features", labelCol="_label", seed=self.seed, maxBins=255, **self.settings["occurrence"]
-        )
-        regressor = GBTRegressor(
-            featuresCol="_features", labelCol=self.target, seed=self.seed, maxBins=255, predictionCol="_share", **self.settings["share"]
-        )
-        occurrence = Pipeline(stages=[assembler, classifier]).fit(labelled)
-        share = regressor.fit(assembler.transform(labelled.where("_label = 1")))
-        return HurdleModelFitted(self.features, self.out, occurrence, share)
+        matrix = FeatureMatrix(dataset, self.features, self.target, self.key, self.partitions)
+        return fit_hurdles(matrix, {self.out: self.settings}, self.seed)[self.out]
 
 
 class HurdleModelFitted(Model):
@@ -148,19 +187,14 @@ def refit(panel: DataFrame, estimator: Estimator, years: Sequence[int], year: st
     return estimator.fit(panel.where(F.col(year).isin([int(y) for y in years])))
 
 
-def scaled_settings(settings: Mapping[str, Mapping], scale: float) -> dict:
-    """Settings with fewer boosting rounds, for trials on small data."""
-    return {part: {**values, "maxIter": max(1, round(values["maxIter"] * scale))} for part, values in settings.items()}
-
-
 def compare_candidates(
     train: DataFrame, validation: DataFrame, features: Sequence[str], target: str, key: Sequence[str], year: str,
-    candidates: Mapping[str, Mapping] = CANDIDATES, scale: float = 1.0,
+    candidates: Mapping[str, Mapping] = CANDIDATES,
 ) -> DataFrame:
     """Scores of every declared configuration on the validation years, one row per model and key."""
     scored = validation
-    for name, settings in candidates.items():
-        model = HurdleModel(features, target, scaled_settings(settings, scale), out=name, key=key).fit(train)
+    whole = {name: {part: {**DEFAULTS[part], **settings.get(part, {})} for part in DEFAULTS} for name, settings in candidates.items()}
+    for model in fit_hurdles(FeatureMatrix(train, features, target, key), whole).values():
         scored = model.transform(scored)
     return melt_models(scored.withColumnRenamed(target, "target"), [*dict.fromkeys([*key, year, "target"])], list(candidates))
 

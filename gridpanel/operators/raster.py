@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridpanel.functions.geometry import ring_edges, tm_inverse
-from gridpanel.operators.spatial import context_offsets, context_planes, with_bbox
+from gridpanel.functions.geometry import tm_inverse
+from gridpanel.operators.spatial import context_offsets, context_planes
+from gridpanel.operators.sweep import scanline_spans
 
 
 def pixel_centres(pix: DataFrame, ox: float, oy: float, res: float) -> DataFrame:
@@ -192,28 +193,11 @@ def mosaic(pixels: DataFrame, order: str = "tile_order", nodata: float | None =
 def rasterize(polys: DataFrame, res: float, label: str, order: str) -> DataFrame:
     """Pixels whose centre lies in a polygon, ``(px, py, label)``; the highest ``order`` wins.
 
-    Each polygon becomes scanlines, each scanline its even-odd spans and each span its
+    The crossings of a polygon with a scanline make its even-odd spans and each span its
     run of pixel columns; a centre on the left edge is inside, on the right edge outside.
     """
-    boxed = with_bbox(polys)
-    first = F.ceil(F.col("ymin") / res - 0.5)
-    last = F.ceil(F.col("ymax") / res - 0.5) - 1
-    lines = boxed.where(last >= first).withColumn("py", F.explode(F.sequence(first, last)))
-    y = (F.col("py") + 0.5) * res
-    edges = F.filter(F.flatten(F.transform("rings", ring_edges)), lambda e: (e["ya"] > y) != (e["yb"] > y))
-    xs = F.array_sort(
-        F.transform(edges, lambda e: e["xa"] + (y - e["ya"]) / (e["yb"] - e["ya"]) * (e["xb"] - e["xa"]))
-    )
-    lines = lines.withColumn("_xs", xs).where(F.size("_xs") > 1)
-    pick = lambda i: F.element_at("_xs", i)
-    spans = F.transform(
-        F.sequence(F.lit(1), F.size("_xs") - 1, F.lit(2)),
-        lambda i: F.struct(
-            F.ceil(pick(i) / res - 0.5).alias("a"), (F.ceil(pick(i + 1) / res - 0.5) - 1).alias("b")
-        ),
-    )
-    runs = lines.withColumn("_s", F.explode(F.filter(spans, lambda s: s["b"] >= s["a"])))
-    cells = runs.withColumn("px", F.explode(F.sequence(F.col("_s.a"), F.col("_s.b"))))
+    spans = scanline_spans(polys, res, list(dict.fromkeys([label, order])))
+    cells = spans.withColumn("px", F.explode(F.sequence("a", "b")))
     return cells.groupBy("px", "py").agg(F.max_by(label, order).alias(label))
 
 

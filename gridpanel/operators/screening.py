@@ -66,7 +66,7 @@ HAZARD_ORDER = ("null", "very_low", "low", "medium", "high", "very_high", "unmat
 
 def area_coverage(cells: DataFrame, regions: DataFrame, status: str, tile: float, key: Sequence[str] = ("cell_id",)) -> DataFrame:
     """Eligible, scored, insufficient and excluded cells per region, by cell centre."""
-    from gridpanel.operators.spatial import points_in_polygons
+    from gridpanel.operators.sweep import points_in_polygons
 
     placed = points_in_polygons(cells, regions, [*key, status], tile, covers=False)
     return placed.groupBy("region_id").agg(

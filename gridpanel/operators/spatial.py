@@ -22,7 +22,6 @@ from gridpanel.functions.geometry import (
     clipped_area,
     inside_even_odd,
     polygon_area,
-    polygon_contains,
     rect_ring,
     ring_edges,
 )
@@ -117,20 +116,6 @@ def spatial_join(
     return kept.drop("tx", "ty", "_g", "sx", "sy")
 
 
-def points_in_polygons(
-    points: DataFrame, polys: DataFrame, keys: Sequence[str], tile: float, covers: bool = True
-) -> DataFrame:
-    """``(keys…, x, y, polygon columns)`` for every point inside a polygon.
-
-    A point is a box without extent, so crowded tiles are split as in any other join.
-    """
-    spots = points.select(*keys, "x", "y").withColumns({"xmin": F.col("x"), "ymin": F.col("y"), "xmax": F.col("x"), "ymax": F.col("y")})
-    pairs = spatial_join(spots, with_bbox(polys), tile)
-    hit = pairs.where(polygon_contains(F.col("x"), F.col("y"), F.col("r_rings"), covers))
-    others = [c for c in polys.columns if c not in ("rings", *BOX)]
-    return hit.select(*keys, "x", "y", *[F.col(f"r_{c}").alias(c) for c in others])
-
-
 # -------------------------------------------------------------- clip kernels
 
 

@@ -91,13 +91,13 @@ def screening(
 
 def select_model(
     panel: DataFrame, features: Sequence[str], target: str, key: Sequence[str], year: str, train: Sequence[int], validation: Sequence[int],
-    per_year: int, scale: float, candidates: Mapping[str, Mapping] = MD.CANDIDATES,
+    per_year: int, candidates: Mapping[str, Mapping] = MD.CANDIDATES,
 ) -> DataFrame:
     """Compare candidates on a yearly sample of the training years, best first."""
     rows = panel.where(F.col(year).isin(list(train)))
     sample = materialize(stratified_sample(rows, year, per_year, key, MD.SEED))
     held = panel.where(F.col(year).isin(list(validation)))
-    long = MD.compare_candidates(sample, held, features, target, key, year, candidates, scale)
+    long = materialize(MD.compare_candidates(sample, held, features, target, key, year, candidates))
     scoped = M.with_scopes(long, year)
     return M.candidate_summary(M.regression_metrics(long, year), M.tie_aware_ranking(scoped, 0.2, ["model", "scope"]))
 

@@ -24,13 +24,13 @@ class Constant:
 def fitted(monkeypatch):
     settings = {}
 
-    def note(self, dataset):
-        settings[self.out] = self.settings
-        if self.out == "hurdle":
+    def note(matrix, models, seed=MD.SEED):
+        settings.update(models)
+        if "hurdle" in models:
             raise Seen
-        return Constant(self.out)
+        return {n: Constant(n) for n in models}
 
-    monkeypatch.setattr(MD.HurdleModel, "_fit", note)
+    monkeypatch.setattr(MD, "fit_hurdles", note)
     return settings
 
 
@@ -38,7 +38,7 @@ def fitted(monkeypatch):
 def test_all_declared_rounds(spark, fitted, name):
     with pytest.raises(Seen):
         all_queries()[name](spark, SF)
-    assert fitted == {"hurdle": MD.DEFAULTS}
+    assert fitted["hurdle"] == MD.DEFAULTS and all(s == MD.DEFAULTS for s in fitted.values())
 
 
 @pytest.mark.parametrize("name", ["m4_compare_candidates", "b6_select_model"])
@@ -46,3 +46,47 @@ def test_all_declared_candidates(spark, fitted, name):
     all_queries()[name](spark, SF)
     assert fitted == {n: {part: {**MD.DEFAULTS[part], **s[part]} for part in s} for n, s in MD.CANDIDATES.items()}
     assert len(fitted) == 5
+
+
+def matrix_rows(spark, n=400):
+    x = F.col("id") % 20
+    share = F.when(x >= 10, (x - 9) / 20.0).otherwise(0.0)
+    return spark.range(n).select("id", x.cast("double").alias("x"), (F.col("id") % 3).cast("double").alias("z"), share.alias("y"))
+
+
+SMALL = {
+    "one": {"occurrence": {"maxIter": 3, "maxDepth": 2, "stepSize": 0.3}, "share": {"maxIter": 4, "maxDepth": 3, "stepSize": 0.3}},
+    "two": {"occurrence": {"maxIter": 5, "maxDepth": 1, "stepSize": 0.1}, "share": {"maxIter": 2, "maxDepth": 2, "stepSize": 0.5}},
+}
+
+
+def test_fits_side_by_side_equal_single_fits(spark):
+    rows = matrix_rows(spark)
+    both = MD.fit_hurdles(MD.FeatureMatrix(rows, ["x", "z"], "y", ["id"]), SMALL)
+    for name, model in both.items():
+        alone = MD.fit_hurdles(MD.FeatureMatrix(rows, ["x", "z"], "y", ["id"]), {name: SMALL[name]})[name]
+        a, b = (sorted((r["id"], r[name]) for r in m.transform(rows).collect()) for m in (model, alone))
+        assert a == b and len({v for _, v in a}) > 2
+        assert all(v == 0 for i, v in a if i % 20 < 5) or max(v for i, v in a if i % 20 < 5) < min(v for i, v in a if i % 20 > 15)
+        assert len(model.occurrence.stages[-1].trees) == SMALL[name]["occurrence"]["maxIter"]
+
+
+def test_compared_candidates_are_long_rows(spark):
+    rows = matrix_rows(spark)
+    told = MD.compare_candidates(rows.withColumn("t", F.lit(1)), rows.withColumn("t", F.lit(2)), ["x", "z"], "y", ["id"], "t", SMALL)
+    assert told.groupBy("model").count().collect() and {(r["model"], r["count"]) for r in told.groupBy("model").count().collect()} == {("one", 400), ("two", 400)}
+
+
+def test_matrix_needs_both_kinds_of_targets(spark):
+    with pytest.raises(ValueError, match="two positive"):
+        MD.FeatureMatrix(matrix_rows(spark).where("y = 0"), ["x"], "y", ["id"])
+
+
+def test_an_error_of_one_job_is_raised(spark):
+    def bad():
+        raise KeyError("no")
+
+    assert MD.side_by_side(spark, [lambda: spark.range(3).count(), lambda: 5]) == [3, 5]
+    assert MD.side_by_side(spark, []) == []
+    with pytest.raises(KeyError):
+        MD.side_by_side(spark, [bad, lambda: 1])

@@ -9,6 +9,7 @@ from gridpanel.functions import geometry as GE
 from gridpanel.operators import nearest as N
 from gridpanel.operators import raster as R
 from gridpanel.operators import spatial as SP
+from gridpanel.operators import sweep as SW
 
 
 def polys(spark, boxes, extra=()):
@@ -71,8 +72,8 @@ def test_spatial_join_hot_tile_finds_each_pair_once(spark):
 def test_contains_and_covers_on_the_boundary(spark):
     layer = polys(spark, [(0, 0, 10, 10)], [[(20, 0), (30, 0), (25, 10)]])
     points = spark.createDataFrame([(1, 10.0, 5.0), (2, 5.0, 5.0), (3, 25.0, 10.0), (4, 25.0, 3.0), (5, 11.0, 1.0)], "p int, x double, y double")
-    covers = {r["p"] for r in SP.points_in_polygons(points, layer, ["p"], 7, covers=True).collect()}
-    inner = {r["p"] for r in SP.points_in_polygons(points, layer, ["p"], 7, covers=False).collect()}
+    covers = {r["p"] for r in SW.points_in_polygons(points, layer, ["p"], 7, covers=True).collect()}
+    inner = {r["p"] for r in SW.points_in_polygons(points, layer, ["p"], 7, covers=False).collect()}
     assert covers == {1, 2, 3, 4} and inner == {2, 4}
 
 
