@@ -13,6 +13,7 @@ def _load() -> None:
         raster_climate,
         reprojection,
         scans,
+        source_facts,
         stats_ranking,
         vector,
     )

@@ -9,7 +9,7 @@ from gridpanel.catalog.models_lookup import FEATURES, KEY, SUMMARY_SQL, checked_
 from gridpanel.catalog.publish_gates import contract_panel, published_scores
 from gridpanel.catalog.registry import query
 from gridpanel.catalog.stats_ranking import rounded
-from gridpanel.catalog.vector import CONTEXT_SQL
+from gridpanel.catalog.vector import CONTEXT_SQL, TOUCH_SQL
 from gridpanel.catalog.views import Views
 from gridpanel.contract import FieldRule, PanelContract
 from gridpanel.operators import compare as CM
@@ -44,9 +44,9 @@ def recurrence_ranking(spark, sf):
 
 
 @query("b1_build_panel", f"""
-WITH {CONTEXT_SQL},
+WITH {CONTEXT_SQL}, {TOUCH_SQL},
 gs AS (SELECT DISTINCT CAST(FLOOR(x / 250) AS INT) AS gx, CAST(FLOOR(y / 250) AS INT) AS gy, year FROM lat),
-hy AS (SELECT DISTINCT c.cell_id, gs.year FROM cell c CROSS JOIN wts w JOIN gs ON gs.gx = c.ix * 4 + w.lx AND gs.gy = c.iy * 4 + w.ly),
+hy AS (SELECT DISTINCT c.cell_id, gs.year FROM cell c CROSS JOIN tch w JOIN gs ON gs.gx = c.ix * 4 + w.lx AND gs.gy = c.iy * 4 + w.ly),
 sh AS (SELECT CAST(FLOOR(gx / 4) AS INT) AS ix, CAST(FLOOR(gy / 4) AS INT) AS iy, year, COUNT(*) / 16.0::DOUBLE AS share FROM gs GROUP BY 1, 2, 3),
 ky AS (SELECT c.*, y.year AS observation_year FROM cell c CROSS JOIN lyrs y WHERE y.year >= (SELECT MIN(year) + 3 FROM yrs)),
 cv AS (SELECT CAST(FLOOR(x / 1000) AS INT) AS ix, CAST(FLOOR(y / 1000) AS INT) AS iy, COUNT(DISTINCT x * 100000 + y) / 16.0::DOUBLE AS s FROM lat WHERE code = '311' GROUP BY 1, 2),

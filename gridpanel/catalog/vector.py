@@ -39,6 +39,13 @@ sq AS (SELECT CAST(x.range - 8 AS INT) AS lx, CAST(y.range - 8 AS INT) AS ly FRO
 wgt AS (SELECT lx, ly, {green_sql("(SELECT * FROM sq CROSS JOIN edg) z", "lx * 250", "ly * 250", "lx * 250 + 250", "ly * 250 + 250")} GROUP BY lx, ly),
 wts AS (SELECT lx, ly, w FROM wgt AS t(lx, ly, w) WHERE w > 1e-6)"""
 
+# the 250 m squares that meet the buffer, if only in a point: no side of either lies between them
+TOUCH_SQL = """
+tsq AS (SELECT CAST(x.range - 10 AS INT) AS lx, CAST(y.range - 10 AS INT) AS ly FROM range(24) x, range(24) y),
+tch AS (SELECT lx, ly FROM tsq WHERE lx * 250 <= 3000 AND lx * 250 + 250 >= -2000 AND ly * 250 <= 3000 AND ly * 250 + 250 >= -2000 AND NOT EXISTS (
+  SELECT 1 FROM edg, range(2) i, range(2) j WHERE true GROUP BY xa, ya, xb, yb
+  HAVING MAX((xb - xa) * ((ly + j.range) * 250 - ya) - (yb - ya) * ((lx + i.range) * 250 - xa)) < -1e-3))"""
+
 
 @query("g1_poly_area", """SELECT poly_id, CAST((xmax - xmin) * (ymax - ymin) AS DOUBLE) AS area FROM rect""", "rect")
 def poly_area(spark, sf):
@@ -145,9 +152,9 @@ def clip_to_context(spark, sf):
 
 
 @query("g10_intersects_within", f"""
-WITH {CONTEXT_SQL},
+WITH {CONTEXT_SQL}, {TOUCH_SQL},
 s AS (SELECT DISTINCT CAST(FLOOR(x / 250) AS INT) AS gx, CAST(FLOOR(y / 250) AS INT) AS gy, year FROM lat)
-SELECT DISTINCT c.cell_id, s.year FROM cell c CROSS JOIN wts w JOIN s ON s.gx = c.ix * 4 + w.lx AND s.gy = c.iy * 4 + w.ly""", "cell lat")
+SELECT DISTINCT c.cell_id, s.year FROM cell c CROSS JOIN tch w JOIN s ON s.gx = c.ix * 4 + w.lx AND s.gy = c.iy * 4 + w.ly""", "cell lat")
 def intersects_within(spark, sf):
     v = Views(spark, sf)
     return SP.intersects_within(v.polygons(), ["year"], v.cell(), 1000, 2000)

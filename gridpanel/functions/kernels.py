@@ -39,6 +39,19 @@ def rect_planes(x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
     return np.array([[1.0, 0.0, -x0], [-1.0, 0.0, x1], [0.0, 1.0, -y0], [0.0, -1.0, y1]])
 
 
+def segments_meet_convex(first: np.ndarray, last: np.ndarray, planes: np.ndarray, hair: float = 1e-7) -> np.ndarray:
+    """Which closed segments share a point with the closed set where all ``planes`` are at least zero."""
+    low, high, out = np.zeros(len(first)), np.ones(len(first)), np.zeros(len(first), bool)
+    for a, b, c in planes:
+        da, db = first @ (a, b) + (c + hair), last @ (a, b) + (c + hair)
+        out |= (da < 0) & (db < 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = da / (da - db)
+        low = np.where((da < 0) & (db >= 0), np.maximum(low, at), low)
+        high = np.where((db < 0) & (da >= 0), np.minimum(high, at), high)
+    return ~out & (low <= high)
+
+
 def ring_area(xs: np.ndarray, ys: np.ndarray) -> float:
     """Signed shoelace area of an open ring, relative to its first point."""
     if len(xs) < 3:

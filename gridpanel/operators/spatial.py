@@ -2,8 +2,9 @@
 
 Candidates come from equi-joins on integer tile or cell keys. Windows the polygon
 edges never enter are settled by Column algebra; only cut windows reach a kernel.
-A window with very many edges is split into quarters until it is small, and since
-areas of disjoint windows add up, no group ever has to fit one task.
+A window with very many edges is split into smaller ones, and what they cut is clipped to
+them, as long as that makes them smaller; batches of what stays crowded are dissolved. Since
+areas of disjoint windows add up, no group ever has to fit one task, and a window above the bound is an error.
 """
 
 from __future__ import annotations
@@ -25,11 +26,14 @@ from gridpanel.functions.geometry import (
     rect_ring,
     ring_edges,
 )
-from gridpanel.functions.kernels import clip_ring, dissolve, edge_chunks, rect_planes, ring_area, slab_areas
+from gridpanel.functions.kernels import clip_ring, dissolve, edge_chunks, rect_planes, ring_area, segments_meet_convex, slab_areas
 from gridpanel.operators.skew import salted_join
+from gridpanel.operators.sweep import met_squares, polygon_edges
 from gridpanel.session import broadcast_if_small, materialize, spread
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
+#: A round that splits or merges must leave less than this share of the edges in crowded windows.
+PROGRESS = 0.9
 RINGS_TYPE = "array<array<struct<x:double,y:double>>>"
 
 
@@ -293,17 +297,23 @@ def window_areas(
     # split crowded windows; edge counts are known before any edge is shipped
     n_edges = F.aggregate("rings", F.lit(0), lambda acc, r: acc + F.size(r) - 1)
     pieces = materialize(pieces)
-    for _ in range(4):
+    worst = math.inf
+    while True:
         crowded = (
             pieces.groupBy(*group, *window).agg(F.sum(n_edges).alias("_n")).where(F.col("_n") > max_edges)
-            .select(*group, *window, F.least(F.lit(16), F.ceil(F.sqrt(F.col("_n") / max_edges)) * 2).cast("int").alias("_parts"))
+            .select(*group, *window, "_n", F.least(F.lit(16), F.ceil(F.sqrt(F.col("_n") / max_edges)) * 2).cast("int").alias("_parts"))
         )
         crowded = materialize(crowded)
-        if crowded.isEmpty():
+        load = crowded.agg(F.sum("_n")).first()[0]
+        if load is None or load > PROGRESS * worst:
             break
-        quiet = pieces.join(crowded, [*group, *window], "left_anti")
-        split = _quarters(pieces.join(crowded, [*group, *window]), F.col("_parts"))
-        pieces = materialize(quiet.unionByName(_window_pieces(split.drop("_parts"), group)))
+        worst = load
+        quiet = pieces.join(crowded.select(*group, *window), [*group, *window], "left_anti")
+        split = _quarters(pieces.join(crowded.drop("_n"), [*group, *window]), F.col("_parts")).drop("_parts")
+        # what is cut by a window keeps only the edges inside it, so the count of a part is its own
+        split = materialize(split)
+        cut = clip_to_rect(split.where("state = 0")).select(*split.columns)
+        pieces = materialize(quiet.unionByName(_window_pieces(cut.unionByName(split.where("state = 1")), group)))
     # without a mask or shapes a covered window needs no kernel
     area = (F.col("wx1") - F.col("wx0")) * (F.col("wy1") - F.col("wy0"))
     plain = None
@@ -320,10 +330,15 @@ def window_areas(
         .select(*group, *window, "role", "poly", e["xa"].alias("xa"), e["ya"].alias("ya"), e["xb"].alias("xb"), e["yb"].alias("yb"))
     )
     side = [*group, *window, "role"]
-    for _ in range(6):
-        counts = edges.groupBy(*side).agg(F.count(F.lit(1)).alias("n"))
-        if counts.where(F.col("n") > 4 * max_edges).isEmpty():
+    worst = math.inf
+    while True:
+        counts = edges.groupBy(*side).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * max_edges)
+        load = counts.agg(F.sum("n")).first()[0]
+        if load is None:
             break
+        if load > PROGRESS * worst:
+            raise ValueError(f"{load} edges share windows that neither splitting nor merging makes smaller; raise max_edges above {max_edges}")
+        worst = load
         edges = materialize(_merge_batches(edges, side, 4 * max_edges))
     names = ["area", *shapes]
     outlines = {n: _shape_edges(points) for n, points in shapes.items()}
@@ -458,9 +473,45 @@ def context_areas(
 def intersects_within(
     layer: DataFrame, keys: Sequence[str], cells: DataFrame, size: float, distance: float, mask: DataFrame | None = None
 ) -> DataFrame:
-    """Cells whose outward buffer shares area with any polygon: ``(cell_id, keys)``."""
-    touched = context_areas(layer, keys, size, distance, mask)
-    return touched.select(*keys, "ix", "iy").join(cells.select("cell_id", "ix", "iy"), ["ix", "iy"]).select("cell_id", *keys)
+    """Cells whose outward buffer meets any polygon, if only in a point: ``(cell_id, keys)``.
+
+    No area is measured: a square that a polygon touches or covers makes a hit for every
+    cell whose buffer holds the square; where the buffer's rim cuts the square, the edges in it are tested against
+    the part inside. With a ``mask`` a hit must share area with the polygons inside the mask.
+    """
+    named = cells.select("cell_id", "ix", "iy")
+    if mask is not None:
+        shared = context_areas(layer, keys, size, distance, mask)
+        return shared.select(*keys, "ix", "iy").join(named, ["ix", "iy"]).select("cell_id", *keys)
+    edges = polygon_edges(layer, keys)
+    touched, inner = met_squares(edges, size)
+    touched = materialize(touched.select(*keys, "pid", "tx", "ty", "xa", "ya", "xb", "yb"))
+    covered = inner.join(edges.select("pid", *keys).distinct(), "pid").select(*keys, "tx", "ty")
+    whole, partial = context_offsets(size, distance)
+
+    def sent(squares: DataFrame, offsets: Sequence[tuple[int, int]]) -> DataFrame:
+        to = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets])
+        rows = squares.select(*keys, "tx", "ty").distinct().withColumn("_o", F.explode(to))
+        return rows.select(*keys, (F.col("tx") - F.col("_o.dx")).alias("ix"), (F.col("ty") - F.col("_o.dy")).alias("iy"))
+
+    met = sent(touched.select(*keys, "tx", "ty").unionByName(covered), whole).unionByName(sent(covered, [p[:2] for p in partial.values()]))
+    rims = []
+    for dx, dy, outline in partial.values():
+        sides = [(-(yb - ya), xb - xa, (yb - ya) * xa - (xb - xa) * ya) for (xa, ya), (xb, yb) in zip(outline, [*outline[1:], outline[0]])]
+        rims.append((dx, dy, np.array([(a / n, b / n, c / n) for a, b, c in sides if (n := math.hypot(a, b)) > 1e-9])))
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            corner = batch[["tx", "ty"]].to_numpy() * float(size)
+            first, last = batch[["xa", "ya"]].to_numpy() - corner, batch[["xb", "yb"]].to_numpy() - corner
+            for dx, dy, planes in rims:
+                hit = batch.loc[segments_meet_convex(first, last, planes), [*keys, "tx", "ty"]]
+                if len(hit):
+                    yield hit.assign(ix=hit["tx"] - dx, iy=hit["ty"] - dy)[[*keys, "ix", "iy"]]
+
+    schema = T.StructType([*[touched.schema[k] for k in keys], T.StructField("ix", T.LongType()), T.StructField("iy", T.LongType())])
+    met = met.unionByName(touched.mapInPandas(reach, schema))
+    return met.distinct().join(named, ["ix", "iy"]).select("cell_id", *keys)
 
 
 # ------------------------------------------------------------ shares and gaps
