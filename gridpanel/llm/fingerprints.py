@@ -39,6 +39,9 @@ HEAD_WORDS = 12
 #: Bytes of text in a range of rows that one task compares.
 RANGE_BYTES = 128 << 20
 
+#: Bytes of a paragraph that a digest counts.
+LONGEST = 0xFFFF
+
 _CODES = byte_codes()
 _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _LOWEST = -(1 << 63)
@@ -58,17 +61,43 @@ def digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     cut = last | (word & np.uint64(7) == 0) | (place < HEAD_WORDS)
     to = np.flatnonzero(cut)
     first = np.concatenate([[0], to[:-1] + 1])
-    begin, end, owner = starts[first], ends[to], owner[to]
+    begin, end, owner = _bounded(starts[first], ends[to], owner[to])
     h = ranged(begin, end)
-    # number the repeats of a paragraph within its text
-    order = np.lexsort((h, owner))
-    same = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (owner[order][1:] == owner[order][:-1])])
-    at = np.arange(len(h))
-    turn = np.empty(len(h), np.int64)
+    length = (end - begin).astype(np.uint64)
+    key = _numbered(h, owner, np.uint64(0xFFFF), length)
+    return key, np.bincount(owner, minlength=texts)
+
+
+def _bounded(begin: np.ndarray, end: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Paragraphs whose length does not fit a digest are cut into pieces that do."""
+    parts = -(-(end - begin) // LONGEST)
+    if (parts <= 1).all():
+        return begin, end, owner
+    piece = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin, end = np.repeat(begin, parts) + piece * LONGEST, np.repeat(end, parts)
+    return begin, np.minimum(begin + LONGEST, end), np.repeat(owner, parts)
+
+
+def _repeats(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which occurrence (from 0) of its key in its text each is."""
+    order = np.lexsort((keys, owner))
+    same = np.concatenate([[False], (keys[order][1:] == keys[order][:-1]) & (owner[order][1:] == owner[order][:-1])])
+    at = np.arange(len(keys))
+    turn = np.empty(len(keys), np.int64)
     turn[order] = at - np.maximum.accumulate(np.where(same, 0, at))
-    key = mix(h + turn.astype(np.uint64) * _STEPS[1])
-    length = np.minimum(end - begin, 0xFFFF).astype(np.uint64)
-    return (key & ~np.uint64(0xFFFF)) | length, np.bincount(owner, minlength=texts)
+    return turn
+
+
+def _numbered(h: np.ndarray, owner: np.ndarray, low: np.uint64, length: np.ndarray) -> np.ndarray:
+    """Digests, the length in their low bits, all different within a text.
+
+    Repeats of a paragraph get a number; digests that still agree move on to the next ones
+    that are free, so equal texts have equal digests whatever collides.
+    """
+    key = (mix(h + _repeats(h, owner).astype(np.uint64) * _STEPS[1]) & ~low) | length
+    while (turn := _repeats(key, owner)).any():
+        key += turn.astype(np.uint64) * (low + np.uint64(1))
+    return key
 
 
 def _places(keys: np.ndarray, cells: int) -> list[np.ndarray]:
@@ -138,12 +167,23 @@ class Pool:
         self.owner = np.repeat(np.arange(len(self.counts)), self.counts)
         self.bytes = np.bincount(self.owner, (self.keys & np.uint64(0xFFFF)).astype(float), len(self.counts))
 
+    def of(self, i: int) -> np.ndarray:
+        return self.keys[self.starts[i] : self.starts[i] + self.counts[i]]
+
     def fingerprints(self) -> list[str]:
         tables = Tables(len(self.counts), CELLS)
         tables.add(self.owner, self.keys, np.ones(len(self.keys), np.int64))
         return tables.pack()
 
 
+def _exact(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digests and signs by which two lists differ as multisets."""
+    keys, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    sign = np.bincount(at, np.concatenate([np.ones(len(a)), -np.ones(len(b))]), len(keys)).astype(np.int64)
+    times = np.abs(sign)
+    return np.repeat(keys, times), np.repeat(np.sign(sign), times)
+
+
 def differences(a: Pool, at_a: np.ndarray, b: Pool, at_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pair number, digest and sign (1: only in a, -1: only in b) of all that differs; and each pair's cells."""
     left = np.arange(len(at_a))
@@ -168,6 +208,13 @@ def differences(a: Pool, at_a: np.ndarray, b: Pool, at_b: np.ndarray) -> tuple[n
             failed.append(part[~done])
         left = np.concatenate(failed)
         cells *= GROWTH
+        # a table larger than both lists of digests has no advantage over them; what it could not part is compared as it is
+        listed = a.counts[at_a[left]] + b.counts[at_b[left]] < cells
+        for i in left[listed].tolist():
+            keys, signs = _exact(a.of(at_a[i]), b.of(at_b[i]))
+            out.append((np.full(len(keys), i), keys, signs))
+            needed[i] = 3 * cells
+        left = left[~listed]
     pair, keys, sign = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     return pair, keys, sign, needed
 

@@ -252,3 +252,42 @@ def test_version_digests(spark):
 
 def test_codes_differ():
     assert len(set(byte_codes().tolist())) == 256 and len(set(byte_codes(True).tolist())) == 230
+
+
+def pool(*texts):
+    parts = [t.encode() for t in texts]
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in parts])]).astype(np.int64)
+    return fingerprints.Pool(np.frombuffer(b"".join(parts), np.uint8), bounds)
+
+
+def test_colliding_digests_come_to_an_end(monkeypatch):
+    monkeypatch.setattr(fingerprints, "mix", lambda x: x & np.uint64(1 << 40))  # nearly all digests agree
+    a, b = pool("one two\nthree four\nfive six\none two\n" * 5), pool("three four\none two\nfive six\none two\n" * 5)
+    assert len(set(a.keys.tolist())) == len(a.keys)
+    assert sorted(a.keys.tolist()) == sorted(b.keys.tolist())
+
+
+def test_tables_that_never_peel_give_exact_differences(monkeypatch):
+    a, b = pool("a b c\nd e f\n" * 30, "", "x\n" * 9), pool("a b c\n" * 31, "new", "x\n" * 9)
+    at = np.arange(3)
+    want = fingerprints.likeness(a, at, b, at)
+    monkeypatch.setattr(fingerprints.Tables, "peel", lambda self: (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(self.count) // self.width, bool)))
+    assert fingerprints.likeness(a, at, b, at).tolist() == want.tolist() and want[2] == 1 and want[1] == 0
+
+
+def test_long_paragraphs_count_with_their_whole_length():
+    a = pool("x" * 300_000, "y" * 65_535, "z" * 65_536 + " w")
+    assert a.bytes.tolist() == [300_000, 65_535, 65_537]
+    assert 0.5 < fingerprints.likeness(a, np.array([0]), pool("x" * 200_000), np.array([0]))[0] < 0.9
+
+
+def test_likeness_by_plain_counting():
+    rng = np.random.default_rng(3)
+    texts = ["\n".join(" ".join(rng.choice(list("abcdefgh"), 3)) for _ in range(rng.integers(0, 30))) for _ in range(40)]
+    a, b = pool(*texts), pool(*texts[1:], texts[0])
+    at = np.arange(len(texts))
+    for i, told in enumerate(fingerprints.likeness(a, at, b, at)):
+        one, two = set(a.of(i).tolist()), set(b.of(i).tolist())
+        weigh = lambda keys: sum(k & 0xFFFF for k in keys)
+        whole = weigh(one) + weigh(two)
+        assert told == (1 - weigh(one ^ two) / whole if whole else 1)
