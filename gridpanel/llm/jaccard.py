@@ -212,6 +212,18 @@ def shared_shingles(found: DataFrame, classes: DataFrame) -> DataFrame:
     return thinned.join(classes.select(F.col("sig_a").alias("sig"), "id"), ["id", "sig"], "left_semi").select("h", "sig", "id", "n", "pos")
 
 
+def distinct_groups(group: DataFrame) -> DataFrame:
+    """``group`` with one shingle for each set of members, and none that a single class holds.
+
+    Shingles that the same classes share bring up the same pairs. The one that comes first in the order of
+    all sets stays: there the members have the most behind it, so no filter loses a pair by it.
+    """
+    members = group.groupBy("h").agg(
+        F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("id")).alias("_a"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("_b"), F.sum("pos").alias("_p"))
+    first = members.where("_n > 1").groupBy("_n", "_a", "_b").agg(F.min(F.struct("_p", "h")).alias("_f")).select("_f.h")
+    return group.join(first.hint(JOIN), "h", "left_semi")
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
     """``id, sig_a, set`` of the documents ``ids`` (``id, sig_a``); a repeated id comes as often as it has that set."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +339,8 @@ def components(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, every_
     members = found.select("doc_id", "n", "sig_a", "sig_b")
     classes = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("id"))
     classes = kept(classes)
-    group = written(shared_shingles(found, classes), "jaccard-shared").withColumn("comp", F.col("id"))
+    group = written(shared_shingles(found, classes), "jaccard-shared")
+    group = written(distinct_groups(group), "jaccard-groups").withColumn("comp", F.col("id"))
     tried = None
     labels = classes.select("id", F.col("id").alias("component"))
     # a doc_id with several texts joins their classes
