@@ -205,6 +205,53 @@ def gate_forecast(spark, sf):
     return GT.gate_forecast(scores, cells, rerun, last + 1, scores.dtypes)
 
 
+@query("q4_artefact_set", """
+SELECT 'altered_artefact' AS gate, 'scores' AS key, 'content differs from its manifest' AS detail UNION ALL SELECT 'missing_artefact', 'model', 'absent'
+UNION ALL SELECT 'extra_artefact', 'draft', 'not expected' UNION ALL SELECT 'extra_artefact', 'draft.manifest.json', 'not expected'
+UNION ALL SELECT 'half_written', 'layer', 'no manifest' UNION ALL SELECT 'sound', 'matrix', CONCAT(COUNT(*), ' rows') FROM cell""", "cell")
+def artefact_set(spark, sf):
+    """A forecast folder with one artefact each that is sound, altered, missing, half-written and unexpected."""
+    scores = published_scores(Views(spark, sf))
+    folder = K.scratch_path(spark, "forecast")
+    for name in ("matrix", "scores", "draft"):
+        K.publish(scores, f"{folder}/{name}", name)
+    scores.limit(1).write.mode("append").parquet(f"{folder}/scores")
+    scores.write.parquet(f"{folder}/layer")
+    found = GT.gate_artefacts(spark, folder, ["matrix", "scores", "model", "layer"])
+    alone = GT.gate_artefacts(spark, folder, ["matrix"]).where("gate <> 'extra_artefact'")
+    kept = spark.read.parquet(f"{folder}/matrix").agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(" rows")).alias("detail"))
+    return found.unionByName(alone).unionByName(kept.select(F.lit("sound").alias("gate"), F.lit("matrix").alias("key"), "detail"))
+
+
+NATIONAL = PanelContract(
+    features=(
+        FieldRule("n_items", 0.0, 4.0, integral=True), FieldRule("disc", 0.0, 1.0, group="climate"),
+        FieldRule("tax", 0.0, 0.05, group="climate"), FieldRule("price", 0.0, 2000.0),
+    ),
+    target=FieldRule("target", 0.0, 1.0), metadata=CONTRACT.metadata,
+)
+
+
+@query("q7_national_panel", """
+WITH m AS (SELECT cell_id, COUNT(*) FILTER (WHERE disc IS NULL) AS m, COUNT(*) AS n FROM panel GROUP BY cell_id),
+r AS (SELECT observation_year AS y, 'above_n_items' AS gate, cell_id FROM panel WHERE n_items > 4 UNION ALL SELECT observation_year, 'above_tax', cell_id FROM panel WHERE tax > 0.05 + 1e-9)
+SELECT gate, CONCAT(y, '|', MIN(cell_id)) AS key, CONCAT(COUNT(*), ' rows') AS detail FROM r GROUP BY gate, y
+UNION ALL SELECT 'moving_mask', cell_id, CONCAT(m, ' of ', n) FROM m WHERE m > 0 AND m < n
+UNION ALL SELECT 'ordering', (SELECT CONCAT(MIN(observation_year), '|', MIN(cell_id)) FROM panel), '1 rows'
+UNION ALL SELECT 'key_set', CONCAT('CELL_999999|', (SELECT MAX(year) FROM lyrs)), 'missing'""", "panel lyrs")
+def national_panel(spark, sf):
+    """Every year's rules at once; the last year is stored before the others and one expected key is missing."""
+    from gridpanel.operators.prefix import canonical_order
+
+    v = Views(spark, sf)
+    panel, last = contract_panel(v), v.labelled_years()[-1]
+    stored = canonical_order(panel, ["observation_year", "cell_id"])
+    turned = stored.where(F.col("observation_year") == last).unionByName(stored.where(F.col("observation_year") < last))
+    expected = v.cell_years().select("cell_id", "observation_year")
+    extra = expected.limit(1).select(F.lit("CELL_999999").alias("cell_id"), F.lit(last).alias("observation_year"))
+    return GT.gate_national_panel(turned, NATIONAL, DESIGN, expected.unionByName(extra))
+
+
 @query("q6_gate_layers", """
 SELECT 'status' AS gate, MIN(cell_id) AS key, CONCAT(COUNT(*), ' rows') AS detail FROM cell
 UNION ALL SELECT 'window_start', MIN(cell_id), CONCAT(COUNT(*), ' rows') FROM cell UNION ALL SELECT 'window_length', MIN(cell_id), CONCAT(COUNT(*), ' rows') FROM cell""", "cell")

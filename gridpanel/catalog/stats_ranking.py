@@ -103,7 +103,7 @@ def ordering_gate(spark, sf):
     stored = P.canonical_order(Views(spark, sf).pred().withColumn("key", F.concat_ws("_", "observation_year", "cell_id")), ["key"])
     bad = P.order_violations(stored, "key").agg(F.count(F.lit(1)).alias("n")).scalar()
     years = stored.select(F.min("observation_year"), F.max("observation_year")).first()
-    late = lambda wanted: stored.where((F.col("observation_year") == years[1]) == F.lit(wanted)).coalesce(1)
+    late = lambda wanted: stored.where((F.col("observation_year") == years[1]) == F.lit(wanted))
     turned = P.order_violations(late(True).union(late(False)), "key").agg(F.count(F.lit(1)).alias("n")).scalar()
     return stored.agg(F.count(F.lit(1)).alias("rows")).select(bad.alias("violations"), "rows", turned.alias("turned"))
 

@@ -30,6 +30,25 @@ def run_gates(df: DataFrame, rules: Mapping[str, Column], key: str) -> DataFrame
     return df.agg(*aggregates).select(F.inline(rows)).where("n > 0").drop("n")
 
 
+def run_gates_by(df: DataFrame, rules: Mapping[str, Column], key: str, by: str) -> DataFrame:
+    """:func:`run_gates` per value of ``by``, still in one aggregate over one scan; keys read ``by|key``."""
+    aggregates, rows = [], []
+    for i, (name, rule) in enumerate(rules.items()):
+        aggregates += [F.count_if(rule).alias(f"n{i}"), F.min(F.when(rule, F.col(key).cast("string"))).alias(f"k{i}")]
+        at = F.concat_ws("|", F.col(by).cast("string"), F.col(f"k{i}"))
+        rows.append(F.struct(F.lit(name).alias("gate"), at.alias("key"), F.concat(F.col(f"n{i}").cast("string"), F.lit(" rows")).alias("detail"), F.col(f"n{i}").alias("n")))
+    return df.groupBy(by).agg(*aggregates).select(F.inline(F.array(*rows))).where("n > 0").drop("n")
+
+
+def ordering_gate(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows that do not follow the row stored before them, across partitions too; one row per first column of ``order``."""
+    from gridpanel.operators.prefix import order_violations
+
+    keyed = df.select(*order, F.struct(*order).alias("_order"))
+    broken = order_violations(keyed, "_order").groupBy(order[0]).agg(F.count(F.lit(1)).alias("n"), F.min(F.concat_ws("|", *[F.col(c).cast("string") for c in order])).alias("key"))
+    return broken.select(F.lit("ordering").alias("gate"), "key", F.concat(F.col("n").cast("string"), F.lit(" rows")).alias("detail"))
+
+
 def count_gate(df: DataFrame, expected: int, name: str = "row_count") -> DataFrame:
     counted = df.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != expected)
     return counted.select(F.lit(name).alias("gate"), F.lit("table").alias("key"), F.concat(F.col("n").cast("string"), F.lit(f" instead of {expected}")).alias("detail"))
@@ -242,6 +261,57 @@ def gate_national(df: DataFrame, climate: Sequence[str], others: Sequence[str],
     return all_violations([run_gates(df, rules, cell), unstable, unique_gate(df, [cell, year])])
 
 
+def gate_national_panel(df: DataFrame, contract: PanelContract, design: TimeDesign, expected: DataFrame) -> DataFrame:
+    """The panel gate per year, the stored order by year and cell, and the same climate mask in every year.
+
+    All row rules of all years are one aggregate; schema, keys and the expected set are as in :func:`gate_panel`.
+    """
+    missing = [c for c in contract.columns if c not in df.columns]
+    if missing:
+        return df.sparkSession.createDataFrame([("schema", c, "missing") for c in missing], "gate string, key string, detail string")
+    climate = contract.joint_null_columns()
+    names = [r.name for r in contract.features if r.name not in climate] + [contract.target.name]
+    rules = _range_rules(contract, names, contract.tolerance) | _time_rules(contract.year, design)
+    # null climate is a mask, not a fault, as long as it is joint
+    rules |= {n: r for n, r in _range_rules(contract, climate, contract.tolerance).items() if not n.startswith("null_")}
+    parts = [run_gates_by(df, rules, contract.cell, contract.year), ordering_gate(df, [contract.year, contract.cell]), key_set_gate(expected, df, contract.key)]
+    if climate:
+        parts.append(gate_national(df, climate, [], contract.cell, contract.year))
+    return all_violations(parts)
+
+
+def gate_artefacts(spark, folder: str, expected: Sequence[str]) -> DataFrame:
+    """A published folder against the names it must hold: missing, half-written, extra and altered artefacts.
+
+    Names are metadata of a bounded set; contents are compared with their manifests by distributed checksums.
+    """
+    from gridpanel.sinks.publish import listed, verify_published
+
+    there = set(listed(spark, folder))
+    rows, parts = [], []
+    for name in expected:
+        data, manifest = name in there, f"{name}.manifest.json" in there
+        if data and manifest:
+            broken = verify_published(spark, f"{folder}/{name}")
+            parts.append(broken.select(F.lit("altered_artefact").alias("gate"), F.lit(name).alias("key"), F.lit("content differs from its manifest").alias("detail")))
+        elif data or manifest:
+            rows.append(("half_written", name, "no manifest" if data else "no data"))
+        else:
+            rows.append(("missing_artefact", name, "absent"))
+    known = {*expected, *[f"{n}.manifest.json" for n in expected]}
+    rows += [("extra_artefact", n, "not expected") for n in sorted(there - known)]
+    return all_violations([spark.createDataFrame(rows, "gate string, key string, detail string"), *parts])
+
+
+def gate_forecast_set(spark, folder: str, contract: PanelContract, design: TimeDesign, forecast_year: int, cells: DataFrame, matrix: str = "matrix", scores: str = "scores", others: Sequence[str] = ()) -> DataFrame:
+    """The whole published forecast: its artefacts, the scoring matrix, and one score for every row of the matrix."""
+    found = gate_artefacts(spark, folder, [matrix, scores, *others])
+    if not found.isEmpty():
+        return found
+    rows, told = spark.read.parquet(f"{folder}/{matrix}"), spark.read.parquet(f"{folder}/{scores}")
+    return all_violations([gate_scoring(rows, contract, design, forecast_year, cells), key_set_gate(rows.select("cell_id"), told, ["cell_id"]), unique_gate(told, ["cell_id"])])
+
+
 def gate_source_matrix(df: DataFrame, required: Sequence[str], year: str, years: Sequence[int]) -> DataFrame:
     missing = [("required_column", c, "missing") for c in required if c not in df.columns]
     if missing:

@@ -30,6 +30,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the direct children of a folder, without hidden files."""
+    fs, p, _ = _fs(spark, folder)
+    names = [entry.getPath().getName() for entry in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n for n in names if not n.startswith((".", "_")))
+
+
 def _move(spark: SparkSession, source: str, target: str) -> None:
     fs, src, jvm = _fs(spark, source)
     if not fs.rename(src, jvm.org.apache.hadoop.fs.Path(target)):
