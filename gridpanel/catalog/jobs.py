@@ -144,18 +144,29 @@ CYCLE = PanelContract(
 )
 
 
-@query("b6_annual_cycle", """SELECT CAST(0 AS BIGINT) AS violations, COUNT(*) AS rows, COUNT(*) AS ranked FROM cell""", "cell")
+@query("b6_annual_cycle", """
+WITH l AS (SELECT COUNT(*) FILTER (WHERE observation_year <= 1997) AS development, COUNT(*) FILTER (WHERE observation_year > 1997) AS later FROM panel
+  WHERE observation_year < (SELECT MAX(year) FROM lyrs))
+SELECT CAST(0 AS BIGINT) AS violations, COUNT(*) AS rows, COUNT(*) AS ranked, ANY_VALUE(l.development) AS development, ANY_VALUE(l.later) AS later FROM cell, l""", "cell panel lyrs")
 def annual_cycle(spark, sf):
     v = Views(spark, sf)
     years = v.labelled_years()
     extra = contract_panel(v).drop("n_items", "disc", "tax", "price", "target", "cell_year_id")
     panel = v.panel().select(*KEY, *FEATURES, "target").join(extra, KEY)
-    labelled, matrix = panel.where(F.col("observation_year") < years[-1]), panel.where(F.col("observation_year") == years[-1]).drop("target")
+    matrix = panel.where(F.col("observation_year") == years[-1]).drop("target")
+    early, late = [y for y in years[:-1] if y <= 1997], [y for y in years[:-1] if y > 1997]
+    blocks = [(n, panel.where(F.col("observation_year").isin(block)), block) for n, block in (("development", early), ("later", late))]
+    # what the forecast needs: burns of the history and of the last outcome, climate of the input year
+    last = v.table("lineitem").agg((F.year(F.max("l_shipdate"))).alias("y"))
+    needs = last.select(F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), (F.col("y") - back).alias("year")) for kind, back in (("burn", 0), ("burn", 1), ("burn", 2), ("climate", 1))])).alias("n")).select("n.*")
+    has = v.burn().select(F.lit("burn").alias("kind"), "year").distinct().unionByName(v.clim().select(F.lit("climate").alias("kind"), "year").distinct()).withColumn("present", F.lit(True))
     estimator = MD.HurdleModel(FEATURES, "target", key=KEY)
-    _, scores, violations = J.annual_cycle(labelled, matrix, estimator, years[:-1], years[-1] + 1, v.cell().select("cell_id"), CYCLE, DESIGN, "trial")
+    _, scores, violations, labelled = J.operational_cycle(blocks, matrix, estimator, years[-1] + 1, v.cell().select("cell_id"), CYCLE, DESIGN, "trial", needs, has)
     bad = violations.agg(F.count(F.lit(1))).scalar()
+    count = lambda name: labelled.where(F.col("source") == name).agg(F.count(F.lit(1))).scalar()
     ranked = F.count_if((F.col("rank_pct") > 0) & (F.col("rank_pct") <= 1))
-    return scores.agg(F.count(F.lit(1)).alias("rows"), ranked.alias("ranked")).select(bad.alias("violations"), "rows", "ranked")
+    told = scores.agg(F.count(F.lit(1)).alias("rows"), ranked.alias("ranked"))
+    return told.select(bad.alias("violations"), "rows", "ranked", count("development").alias("development"), count("later").alias("later"))
 
 
 @query("b6_select_model", SUMMARY_SQL, "panel")

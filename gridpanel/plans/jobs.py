@@ -17,9 +17,11 @@ from gridpanel.operators import models as MD
 from gridpanel.operators import raster as RA
 from gridpanel.operators import recurrence as R
 from gridpanel.operators import screening as SC
+from gridpanel.operators.compare import append_labelled
 from gridpanel.operators.prefix import rank_pct, stratified_sample
 from gridpanel.session import materialize
 from gridpanel.sinks.publish import geojson_features, metadata_row, public_fields
+from gridpanel.sources.registry import forecast_preflight
 
 
 def recurrence_ranking(
@@ -115,6 +117,22 @@ def annual_cycle(
     return model, scores, violations
 
 
+def operational_cycle(
+    blocks: Sequence[tuple[str, DataFrame, Sequence[int]]], matrix: DataFrame, estimator, forecast_year: int, cells: DataFrame,
+    contract: PanelContract, design: TimeDesign, model_id: str, required: DataFrame, available: DataFrame,
+) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
+    """The annual cycle from stored blocks: check that every input exists, append the labelled blocks in order, refit and score.
+
+    A missing input ends the cycle before anything is fitted. Also returned are the labelled rows with the block each came from.
+    """
+    missing = forecast_preflight(required, available)
+    GT.enforce(missing.select(F.lit("missing_input").alias("gate"), F.concat_ws(" ", "kind", F.col("year").cast("string")).alias("key"), F.col("reason").alias("detail")))
+    labelled = append_labelled(blocks, contract.year)
+    years = [y for _, _, block in blocks for y in block]
+    model, scores, violations = annual_cycle(labelled.drop("source"), matrix, estimator, years, forecast_year, cells, contract, design, model_id)
+    return model, scores, violations, labelled
+
+
 def diagnostics(pred: DataFrame, year: str, target: str, models: Sequence[str]) -> dict[str, DataFrame]:
     """Regression metrics, binned comparison, residual quartiles and 2-D counts of stored predictions."""
     renamed = pred.withColumnRenamed(target, "target") if target != "target" else pred
