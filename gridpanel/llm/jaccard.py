@@ -11,7 +11,7 @@ whole sets.
 Components need no link within them: the first rounds compare the members of a shingle's group
 with one of them each, first the same for all shingles, then one drawn per shingle. What then
 still lies in different components of a group is compared pair by pair, within bands of equal
-length, so no link between components is lost.
+length and bounded by parity maps of both sets, so no link between components is lost.
 
 With ``every_link`` all links between classes are counted: every pair of a shingle's group is a
 candidate, large groups are dealt in blocks so that no task holds a whole one, and a pair is
@@ -26,6 +26,7 @@ a null component. Empty tables give no rows. Extra columns are ignored, except b
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,9 @@ SLICE_BYTES = 1 << 20
 SHARED_BITS = 1 << 25
 #: Parts that the suffix filter splits a set into.
 PARTS = 32
+#: Bits of a set's parity map, in words of 64: every shingle turns one over.
+WORDS_OF_BITS = 8
+_MAP = [f"m{i}" for i in range(WORDS_OF_BITS)]
 #: Rounds of one comparison per member before all pairs of different components are compared.
 ROUNDS = 2
 #: Members of a shingle's group that one block holds of either side of its pairs.
@@ -140,7 +144,7 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Arra
 
 
 def index(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``doc_id, n, sig_a, sig_b`` (the set's signature), ``prefix`` (rarest shingles first) and ``parts``."""
+    """``doc_id, n, sig_a, sig_b`` (the set's signature), ``prefix`` (rarest shingles first), ``parts`` and parity map."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,6 +160,8 @@ def index(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(salt)))])
                     sums.append((running[ends[1:]] - running[ends[:-1]]).view(np.int64))
                 size = np.bincount(who * PARTS + (h >> np.uint64(59)).astype(np.int64), minlength=rows * PARTS)
+                turned = np.bincount(who * 64 * WORDS_OF_BITS + (mix(h + np.uint64(0xA24BAED4963EE407)) % np.uint64(64 * WORDS_OF_BITS)).astype(np.int64), minlength=rows * 64 * WORDS_OF_BITS) & 1
+                maps = np.packbits(turned.astype(np.uint8).reshape(rows, -1), axis=1, bitorder="little").view("<i8")
                 # one order for all sets: the count of a shingle's class, then its hash
                 rare = (counts[(h & np.uint64(len(counts) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32))
                 order = np.argsort(rare, kind="stable")
@@ -168,9 +174,9 @@ def index(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     "doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "sig_a": pa.array(sums[0]), "sig_b": pa.array(sums[1]),
                     "prefix": _lists(first, prefix, pa.int64()),
                     "parts": _lists(np.minimum(size, 1 << 30), np.full(rows, PARTS), pa.int32()),
-                })
+                } | {name: pa.array(maps[:, i]) for i, name in enumerate(_MAP)})
 
-    schema = "doc_id long, n long, sig_a long, sig_b long, prefix array<long>, parts array<int>"
+    schema = "doc_id long, n long, sig_a long, sig_b long, prefix array<long>, parts array<int>, " + ", ".join(f"{m} long" for m in _MAP)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, schema)
 
 
@@ -258,17 +264,25 @@ def _ordered(passed: DataFrame) -> DataFrame:
     return passed.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in ends]).distinct()
 
 
-def _pairs_across(group: DataFrame) -> DataFrame:
+def _pairs_across(group: DataFrame, maps: DataFrame) -> DataFrame:
     """All pairs of different components that share a prefix shingle and pass the filters, each once.
 
     Sets that can link have lengths of one band or of two neighbouring ones, so members meet by
-    shingle and band, the shorter one first.
+    shingle and band, the shorter one first. Two parity maps differ in at most as many bits as the sets
+    differ in shingles, which bounds the overlap of a pair before it leaves the join.
     """
+    group = group.join(maps.hint(JOIN), ["id", "sig"])
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM + 1e-4))).cast("int")
-    left = group.select("h", F.explode(F.array(band, band + 1)).alias("band"), "sig", "id", "n", "pos", "comp")
-    right = group.select("h", band.alias("band"), F.col("sig").alias("with"), F.col("id").alias("with_id"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("other"))
+    left = group.select("h", F.explode(F.array(band, band + 1)).alias("band"), "sig", "id", "n", "pos", "comp", *_MAP)
+    right = group.select(
+        "h", band.alias("band"), F.col("sig").alias("with"), F.col("id").alias("with_id"), F.col("n").alias("m"), F.col("pos").alias("at"),
+        F.col("comp").alias("other"), *[F.col(m).alias(f"o_{m}") for m in _MAP])
     shorter = (F.col("n") < F.col("m")) | (F.col("n") == F.col("m")) & (F.col("sig") < F.col("with"))
-    passed = left.join(right.hint(JOIN), ["h", "band"]).where((F.col("comp") != F.col("other")) & shorter & _near("n", "m", "pos", "at"))
+    apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(m).bitwiseXOR(F.col(f"o_{m}"))) for m in _MAP])
+    total = (F.col("n") + F.col("m")).cast("long")
+    # twice the overlap is at most the total less what differs
+    alike = F.lit(NUM + DEN) * (total - apart) >= F.lit(2 * NUM) * total
+    passed = left.join(right.hint(JOIN), ["h", "band"]).where((F.col("comp") != F.col("other")) & shorter & _near("n", "m", "pos", "at") & alike)
     return _ordered(passed)
 
 
@@ -362,7 +376,8 @@ def components(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, every_
             pairs = _across(group, open_.select("h", "_o.with", "_o.with_id", "_o.m", "_o.at", "_o.other"))
         else:
             group = kept(group.join(open_.select("h"), "h", "left_semi"))
-            pairs = _pairs_across(group)
+            maps = found.where("n > 0").select(F.col("doc_id").alias("id"), F.col("sig_a").alias("sig"), *_MAP).dropDuplicates(["id", "sig"])
+            pairs = _pairs_across(group, maps)
         if tried is not None:
             pairs = pairs.join(tried.hint(JOIN), ["a", "b"], "left_anti")
         pairs = kept(pairs)
