@@ -27,8 +27,9 @@ from gridpanel.functions.geometry import (
     ring_edges,
 )
 from gridpanel.functions.kernels import clip_ring, dissolve, edge_chunks, rect_planes, ring_area, segments_meet_convex, slab_areas
+from gridpanel.operators.prefix import row_index
 from gridpanel.operators.skew import salted_join
-from gridpanel.operators.sweep import met_squares, polygon_edges
+from gridpanel.operators.sweep import Tiles, met_squares, polygon_edges
 from gridpanel.session import broadcast_if_small, materialize, spread
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
@@ -664,44 +665,96 @@ def repair_polygons(polys: DataFrame, keys: Sequence[str]) -> DataFrame:
     usable = lambda r: F.size(F.array_distinct(r)) >= 3
     rings = F.transform(F.filter(F.transform(F.coalesce("rings", F.array().cast(RINGS_TYPE)), clean_ring), usable), closed)
     cleaned = polys.withColumn("raw_area", F.coalesce(F.when(F.size("rings") > 0, polygon_area(F.col("rings"))), F.lit(0.0)))
-    cleaned = cleaned.withColumn("rings", rings)
-    flat = spread(_flat(cleaned))
-    extra = [T.StructField("invalid", T.BooleanType()), T.StructField("area_after", T.DoubleType()), T.StructField("part", T.IntegerType())]
-    schema = T.StructType([*flat.schema.fields, *extra])
+    cleaned = materialize(cleaned.withColumn("rings", rings).withColumn("_poly", F.monotonically_increasing_id()))
+    crossed = broadcast_if_small(materialize(self_crossing(cleaned, "_poly")))
+    sound, crossing = cleaned.join(crossed, "_poly", "left_anti"), cleaned.join(crossed, "_poly", "left_semi")
+    flat = spread(_flat(sound))
+    schema = T.StructType([*flat.schema.fields, T.StructField("area_after", T.DoubleType())])
 
-    def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def orient(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            origin, invalid, after, part = [], [], [], []
-            xs_out, ys_out, lens_out = [], [], []
-            for row, (xs, ys, lens) in enumerate(zip(batch["xs"], batch["ys"], batch["lens"])):
-                bad = len(lens) > 0 and _crosses(_ring_edges(xs, ys, lens))
-                if bad:
-                    e = _ring_edges(xs, ys, lens)
-                    box = (min(xs), min(ys), max(xs), max(ys))
-                    traps = [_trapezoid(t) for t in dissolve(np.zeros(len(e), dtype=int), *e.T, box)]
-                    parts = [(np.array(t[0], dtype=float), np.array(t[1], dtype=float), t[2]) for t in traps] or [(np.array([]), np.array([]), [])]
-                    area = float(sum(abs(ring_area(x, y)) for x, y, n in parts if len(n)))
-                else:
-                    xs, ys, area = _oriented(np.asarray(xs, dtype=float), np.asarray(ys, dtype=float), lens)
-                    parts = [(xs, ys, lens)]
-                for i, (px, py, n) in enumerate(parts):
-                    origin.append(row)
-                    invalid.append(bad)
-                    after.append(area)
-                    part.append(i)
-                    xs_out.append(px)
-                    ys_out.append(py)
-                    lens_out.append(list(n))
-            batch = batch.iloc[origin].reset_index(drop=True)
-            batch["xs"], batch["ys"], batch["lens"] = xs_out, ys_out, lens_out
-            batch["invalid"], batch["area_after"], batch["part"] = invalid, after, np.array(part, dtype="int32")
-            yield batch
+            told = [_oriented(np.asarray(x, dtype=float), np.asarray(y, dtype=float), n) for x, y, n in zip(batch["xs"], batch["ys"], batch["lens"])]
+            yield batch.assign(xs=[t[0] for t in told], ys=[t[1] for t in told], area_after=[t[2] for t in told])
 
-    fixed = _unflat(flat.mapInPandas(fix, schema))
+    plain = _unflat(flat.mapInPandas(orient, schema)).withColumns({"invalid": F.lit(False), "part": F.lit(0)})
+    fixed = plain.unionByName(_filled_even_odd(crossing, "_poly")).drop("_poly")
     status = F.when(F.col("area_after") <= 0, "rejected").when(F.col("invalid"), "repaired").otherwise("accepted")
     return fixed.withColumn("status", status).withColumn("rings", F.when(F.col("status") != "rejected", F.col("rings")))
 
 
+#: Edges of a polygon per window in which its self-crossings are resolved.
+REPAIR_EDGES = 1000
+
+
+def self_crossing(polys: DataFrame, pid: str) -> DataFrame:
+    """``pid`` of the polygons two of whose edges cross properly.
+
+    Every polygon gets a grid of its own, about a square per edge, and only edges that enter the same square are
+    compared, so nothing grows with the square of a polygon's edges unless they crowd in one place.
+    """
+    edges = polys.select(F.col(pid).alias("pid"), F.explode(F.flatten(F.transform("rings", ring_edges))).alias("_e"))
+    edges = materialize(edges.select("pid", F.monotonically_increasing_id().alias("eid"), *[F.col(f"_e.{c}").alias(c) for c in ("xa", "ya", "xb", "yb")]))
+    box = edges.groupBy("pid").agg(
+        F.min("xa").alias("x0"), F.min("ya").alias("y0"), (F.greatest(F.max("xa") - F.min("xa"), F.max("ya") - F.min("ya")) / F.ceil(F.sqrt(F.count(F.lit(1))))).alias("step"))
+    placed = edges.join(box.where("step > 0"), "pid")
+    moved = {c: (F.col(c) - F.col(f"{c[0]}0")) / F.col("step") for c in ("xa", "ya", "xb", "yb")}
+    near = Tiles(1.0, shift=0.0).entered(placed.select("pid", "eid", *[v.alias(n) for n, v in moved.items()]), F.lit(0))
+    # exact coordinates decide; the grid only brings edges together
+    near = near.select("pid", "tx", "ty", "eid").join(edges, ["pid", "eid"])
+    other = near.select("pid", "tx", "ty", *[F.col(c).alias(f"o_{c}") for c in ("eid", "xa", "ya", "xb", "yb")])
+
+    def side(px: str, py: str, o: str) -> Column:
+        a = [F.col(f"{o}{c}") for c in ("xa", "ya", "xb", "yb")]
+        return (a[2] - a[0]) * (F.col(py) - a[1]) - (a[3] - a[1]) * (F.col(px) - a[0])
+
+    apart = (side("xa", "ya", "o_") * side("xb", "yb", "o_") < 0) & (side("o_xa", "o_ya", "") * side("o_xb", "o_yb", "") < 0)
+    return near.join(other, ["pid", "tx", "ty"]).where((F.col("eid") < F.col("o_eid")) & apart).select(F.col("pid").alias(pid)).distinct()
+
+
+def _filled_even_odd(polys: DataFrame, pid: str) -> DataFrame:
+    """Self-crossing polygons as trapezoids of their even-odd fill, window by window, numbered by ``part``.
+
+    A polygon is cut into windows of about ``REPAIR_EDGES`` of its edges, so no step compares all edges of a large one.
+    """
+    boxed = with_bbox(polys)
+    n_edges = F.aggregate("rings", F.lit(0), lambda acc, r: acc + F.size(r) - 1)
+    side = F.ceil(F.sqrt(n_edges / REPAIR_EDGES)).cast("int")
+    steps = F.sequence(F.lit(0), F.col("_k") - 1)
+    split = boxed.withColumn("_k", side).withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
+    at = lambda low, high, i: F.col(low) + (F.col(high) - F.col(low)) * i / F.col("_k")
+    split = split.withColumns({
+        "wx0": at("xmin", "xmax", F.col("_i")), "wx1": at("xmin", "xmax", F.col("_i") + 1),
+        "wy0": at("ymin", "ymax", F.col("_j")), "wy1": at("ymin", "ymax", F.col("_j") + 1),
+    }).drop(*BOX, "_k")
+    flat = _flat(clip_to_rect(spread(split)))
+    keep = [c for c in flat.columns if c not in ("wx0", "wx1", "wy0", "wy1")]
+    schema = T.StructType([*[flat.schema[c] for c in keep], T.StructField("_n", T.IntegerType()), T.StructField("_area", T.DoubleType())])
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            origin, number, area, xs_out, ys_out = [], [], [], [], []
+            windows = batch[["wx0", "wy0", "wx1", "wy1"]].to_numpy(dtype=float)
+            for row, (xs, ys, lens) in enumerate(zip(batch["xs"], batch["ys"], batch["lens"])):
+                e = _ring_edges(xs, ys, lens)
+                for i, t in enumerate(dissolve(np.zeros(len(e), dtype=int), *e.T, tuple(windows[row]))):
+                    x, y, _ = _trapezoid(t)
+                    origin.append(row)
+                    number.append(i)
+                    xs_out.append(np.array(x, dtype=float))
+                    ys_out.append(np.array(y, dtype=float))
+                    area.append(abs(ring_area(xs_out[-1], ys_out[-1])))
+            out = batch[keep].iloc[origin].reset_index(drop=True)
+            yield out.assign(xs=xs_out, ys=ys_out, lens=[[4]] * len(out), _n=np.array(number, dtype="int32"), _area=np.array(area, dtype=float))
+
+    parts = materialize(flat.mapInPandas(fill, schema).where("_area > 0"))
+    total = parts.groupBy(pid).agg(F.sum("_area").alias("area_after"))
+    numbered = row_index(parts, ["_i", "_j", "_n"], [pid], "_part").withColumn("part", F.col("_part").cast("int"))
+    told = _unflat(numbered.join(total, pid).drop("_i", "_j", "_n", "_area", "_part"))
+    # a fill without area keeps its line
+    gone = polys.join(total.select(pid), pid, "left_anti").withColumns({"area_after": F.lit(0.0), "part": F.lit(0)})
+    return told.select(*gone.columns).unionByName(gone).withColumn("invalid", F.lit(True))
+
+
 def _oriented(xs: np.ndarray, ys: np.ndarray, lens) -> tuple[np.ndarray, np.ndarray, float]:
     """Outer ring counter-clockwise, holes clockwise; also the net area."""
     total, start = 0.0, 0
@@ -716,23 +769,6 @@ def _oriented(xs: np.ndarray, ys: np.ndarray, lens) -> tuple[np.ndarray, np.ndar
     return xs, ys, total
 
 
-def _crosses(e: np.ndarray) -> bool:
-    """Whether any two edges of one polygon cross properly; compared in row blocks."""
-    xa, ya, xb, yb = e.T
-
-    def side(px, py, i):
-        return (xb[i, None] - xa[i, None]) * (py[None, :] - ya[i, None]) - (yb[i, None] - ya[i, None]) * (px[None, :] - xa[i, None])
-
-    for start in range(0, len(e), 512):
-        i = np.arange(start, min(start + 512, len(e)))
-        s1, s2 = side(xa, ya, i), side(xb, yb, i)
-        t1 = (xb - xa)[None, :] * (ya[i, None] - ya[None, :]) - (yb - ya)[None, :] * (xa[i, None] - xa[None, :])
-        t2 = (xb - xa)[None, :] * (yb[i, None] - ya[None, :]) - (yb - ya)[None, :] * (xb[i, None] - xa[None, :])
-        if ((s1 * s2 < 0) & (t1 * t2 < 0)).any():
-            return True
-    return False
-
-
 def repair_log(repaired: DataFrame, by: Sequence[str]) -> DataFrame:
     """Counts, areas and repairs by relative area change; a repair of zero area counts as infinite."""
     fixed = F.col("status") == "repaired"
