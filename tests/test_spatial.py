@@ -154,3 +154,44 @@ def test_repair_policy(spark):
     assert {r["status"] for r in again.collect()} == {"accepted"}
     measured = parts.groupBy("poly_id").agg(F.sum(GE.polygon_area(F.col("rings"))).alias("a"))
     assert dict(measured.collect()) == {1: 8.0, 2: 16.0}
+
+
+def test_repair_by_windows_keeps_the_even_odd_area(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    shapes = []
+    for i in range(6):
+        # a closed walk that crosses itself many times, beside a plain star
+        walk = rng.random((12, 2)) * 100
+        angles = np.sort(rng.random(30)) * 2 * math.pi
+        star = np.column_stack([np.cos(angles), np.sin(angles)]) * rng.uniform(20, 40, (30, 1))
+        for kind, points in (("walk", walk), ("star", star)):
+            ring = [(float(x), float(y)) for x, y in [*points, points[0]]]
+            shapes.append((f"{kind}{i}", [ring]))
+    layer = spark.createDataFrame(shapes, "name string, rings array<array<struct<x:double,y:double>>>")
+
+    def crosses(ring):
+        edges = list(zip(ring, ring[1:]))
+        side = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+        return any(side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0 for i, (a, b) in enumerate(edges) for c, d in edges[:i])
+
+    def told():
+        rows = SP.repair_polygons(layer, ["name"]).collect()
+        parts = {}
+        for r in rows:
+            parts.setdefault(r["name"], []).append(r["part"])
+        assert all(sorted(p) == list(range(len(p))) for p in parts.values())
+        return {r["name"]: (r["invalid"], r["area_after"]) for r in rows}
+
+    whole = told()
+    assert {n: v[0] for n, v in whole.items()} == {n: crosses(r[0]) for n, r in shapes}
+    monkeypatch.setattr(SP, "REPAIR_EDGES", 2)
+    cut = told()
+    assert {n: v[0] for n, v in cut.items()} == {n: v[0] for n, v in whole.items()}
+    assert all(abs(cut[n][1] - whole[n][1]) < 1e-6 for n in whole)
+    # a plain lattice count of the even-odd fill
+    name, rings = next(s for s in shapes if s[0].startswith("walk"))
+    inside = sum(
+        sum((ya > y) != (yb > y) and x < xa + (y - ya) / (yb - ya) * (xb - xa) for (xa, ya), (xb, yb) in zip(rings[0], rings[0][1:])) % 2
+        for x in np.arange(0.25, 100, 0.5) for y in np.arange(0.25, 100, 0.5)
+    )
+    assert abs(inside * 0.25 - whole[name][1]) < 0.02 * whole[name][1] + 5
