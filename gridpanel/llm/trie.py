@@ -198,7 +198,10 @@ def screened(prefixes: DataFrame, count: int) -> DataFrame:
     def add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.minimum(a + b, 2)
 
-    shared = prefixes.sparkSession.sparkContext.broadcast(fixed_table(prefixes.select("k1", "k2"), fill, 2 * width, "uint8", add))
+    context = prefixes.sparkSession.sparkContext
+    # every task fills a table of its own, so the keys are read in a few tasks per core
+    keys = prefixes.select("k1", "k2").coalesce(2 * context.defaultParallelism)
+    shared = context.broadcast(fixed_table(keys, fill, 2 * width, "uint8", add))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
