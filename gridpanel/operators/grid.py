@@ -111,14 +111,17 @@ def neighbourhood_offsets(cell_size: float, distance: float) -> list[tuple[int,
 
 
 def explode_neighbours(df: DataFrame, cell_size: float, distance: float) -> DataFrame:
-    """Each ``(ix, iy)`` row once per square within ``distance`` (itself included), as ``nix, niy``."""
+    """Each ``(ix, iy)`` row once per square within ``distance`` (itself included), as ``nix, niy``.
+
+    Spark sizes the exploded rows like the rows before, so a join with them is told never to broadcast them.
+    """
     offsets = F.array(
         *[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in neighbourhood_offsets(cell_size, distance)]
     )
     spread = df.withColumn("_o", F.explode(offsets))
     return spread.withColumns(
         {"nix": F.col("ix") + F.col("_o.dx"), "niy": F.col("iy") + F.col("_o.dy")}
-    ).drop("_o")
+    ).drop("_o").hint("merge")
 
 
 def grid_neighbourhood(cells: DataFrame, cell_size: float, distance: float, key: str = "cell_id") -> DataFrame:
