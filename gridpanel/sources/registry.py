@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +26,12 @@ def checked_registry(raw: DataFrame) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, glob: str) -> DataFrame:
-    """Path, size and upper-case sha256 of every file; its bytes are streamed inside tasks, whatever its size.
+    """Path, size and upper-case sha256 of every file or folder that ``glob`` names; bytes are streamed inside tasks, whatever a file's size.
 
-    ``pyarrow`` opens the file by its address, so the store must be one that it knows.
+    A folder, as Spark writes tables, is one entry: the sum of its files' sizes and the sha256 of its files' relative paths
+    and checksums in order. ``pyarrow`` opens a file by its address, so the store must be one that it knows.
     """
-    files = spark.read.format("binaryFile").load(glob).select("path", "length")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(glob).select("path", "length")
 
     def hash_chunks(batches):
         import hashlib
@@ -49,7 +52,24 @@ def file_inventory(spark: SparkSession, glob: str) -> DataFrame:
             yield batch
 
     hashed = files.repartition("path").mapInPandas(hash_chunks, "path string, length bigint, sha256 string")
-    return hashed.withColumn("name", F.element_at(F.split("path", "/"), -1))
+    # the entry's own name stands as deep in the path as the last part of the pattern, whatever scheme or host precedes it
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    depth = len([part for part in re.sub(scheme, "", glob).split("/") if part not in ("", ".")])
+    if not re.match(scheme + "/|^/", glob):
+        raise ValueError(f"inventory needs an absolute path: {glob}")
+    bare = F.regexp_replace("path", scheme, "")
+    parts = F.filter(F.split(bare, "/"), lambda part: part != "")
+    placed = hashed.select(
+        "path", "length", "sha256", F.element_at(parts, depth).alias("name"), F.array_join(F.slice(parts, depth + 1, F.size(parts)), "/").alias("_inner"),
+        F.array_join(F.slice(parts, 1, depth), "/").alias("_entry"),
+    )
+    # one row per file of a folder, its path and checksum only
+    listed = F.array_sort(F.collect_list(F.struct("_inner", "sha256")))
+    lines = F.array_join(F.transform(listed, lambda f: F.concat_ws(" ", f["_inner"], f["sha256"])), "\n")
+    whole = F.when(F.max("_inner") == "", F.max("sha256")).otherwise(F.upper(F.sha2(lines, 256)))
+    path = F.min(F.when(F.col("_inner") == "", F.col("path")).otherwise(F.expr("left(path, length(path) - length(_inner) - 1)")))
+    entries = placed.groupBy("_entry", "name").agg(path.alias("path"), F.sum("length").alias("length"), whole.alias("sha256"))
+    return entries.select("path", "length", "sha256", "name")
 
 
 def verify_inventory(expected: DataFrame, actual: DataFrame, key: str = "name", group: str = "kind") -> DataFrame:
