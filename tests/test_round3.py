@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridpanel.operators import grid as G
 from gridpanel.operators import metrics as M
+from gridpanel.operators import spatial as SP
 from gridpanel.sources import registry as RG
 
 
@@ -44,3 +45,24 @@ def test_means_by_count_do_not_depend_on_the_order_of_rows(spark):
         table = spark.createDataFrame(turn, "n int, t double").coalesce(1)
         seen.add(tuple((r["n"], r["mean_target"]) for r in M.mean_by_count(table, "n", "t").orderBy("n").collect()))
     assert len(seen) == 1
+
+
+def stacked(spark, boxes, copies):
+    """Every box ``copies`` times as a polygon ``poly_id``."""
+    rows = [
+        (i + len(boxes) * k, [[(float(x), float(y)) for x, y in ((a, b), (c, b), (c, d), (a, d), (a, b))]])
+        for k in range(copies) for i, (a, b, c, d) in enumerate(boxes)
+    ]
+    return spark.createDataFrame(rows, "poly_id long, rings array<array<struct<x:double,y:double>>>")
+
+
+BOXES = [(10, 10, 150, 60), (120, 20, 260, 90), (40, 110, 90, 180)]
+
+
+def test_copies_of_a_polygon_are_cut_once(spark, monkeypatch):
+    cut = []
+    windows = SP.cell_windows
+    monkeypatch.setattr(SP, "cell_windows", lambda polys, size: cut.append(polys.count()) or windows(polys, size))
+    total = SP.window_areas(stacked(spark, BOXES, 20), [], 100).agg(F.sum("area")).first()[0]
+    assert total == 140 * 50 + 140 * 70 - 30 * 40 + 50 * 70
+    assert cut == [len(BOXES)]
