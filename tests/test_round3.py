@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridpanel.operators import grid as G
 from gridpanel.operators import metrics as M
 from gridpanel.operators import spatial as SP
+from gridpanel.operators.skew import packed
 from gridpanel.sources import registry as RG
 
 
@@ -66,3 +67,15 @@ def test_copies_of_a_polygon_are_cut_once(spark, monkeypatch):
     total = SP.window_areas(stacked(spark, BOXES, 20), [], 100).agg(F.sum("area")).first()[0]
     assert total == 140 * 50 + 140 * 70 - 30 * 40 + 50 * 70
     assert cut == [len(BOXES)]
+
+
+def test_joined_boxes_shuffle_the_sides_and_not_the_pairs(spark):
+    layer = SP.with_bbox(stacked(spark, BOXES, 30)).drop("rings")
+    assert packed(layer, SP.BOX, "rows").count() == len(BOXES)
+    assert packed(layer, SP.BOX, "rows", per_pack=10).select(F.sum(F.size("rows"))).first()[0] == 90
+    pairs = SP.spatial_join(layer, layer, 100)
+    assert "Generate" in plan_of(pairs)  # copies are taken apart behind the join
+    found = {(r["poly_id"], r["r_poly_id"]) for r in pairs.collect()}
+    near = {(0, 0), (1, 1), (2, 2), (0, 1), (1, 0)}
+    assert found == {(a, b) for a in range(90) for b in range(90) if (a % 3, b % 3) in near}
+    assert pairs.count() == len(found)
