@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridpanel.operators import grid as G
 from gridpanel.operators import metrics as M
 from gridpanel.operators import spatial as SP
+from gridpanel.operators import sweep as SW
 from gridpanel.operators.skew import packed
 from gridpanel.sources import registry as RG
 
@@ -79,3 +80,14 @@ def test_joined_boxes_shuffle_the_sides_and_not_the_pairs(spark):
     near = {(0, 0), (1, 1), (2, 2), (0, 1), (1, 0)}
     assert found == {(a, b) for a in range(90) for b in range(90) if (a % 3, b % 3) in near}
     assert pairs.count() == len(found)
+
+
+def test_copies_of_points_and_polygons_are_compared_once(spark, monkeypatch):
+    seen = []
+    core = SW._places_in_shapes
+    monkeypatch.setattr(SW, "_places_in_shapes", lambda points, polys, *a: seen.append((points.count(), polys.count())) or core(points, polys, *a))
+    points = spark.createDataFrame([(i, *[(20.0, 20.0), (10.0, 30.0), (500.0, 500.0)][i % 3]) for i in range(60)], "id int, x double, y double")
+    found = SW.points_in_polygons(points, stacked(spark, BOXES, 20), ["id"], 100, edge="on").collect()
+    want = {(i, p, i % 3 == 1) for i in range(60) if i % 3 < 2 for p in range(0, 60, 3)}
+    assert {(r["id"], r["poly_id"], r["on"]) for r in found} == want and len(found) == len(want)
+    assert seen == [(3, 3)]
