@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gridpanel.operators import grid as G
 from gridpanel.operators import metrics as M
+from gridpanel.functions import geometry as GE
+from gridpanel.operators import raster as R
 from gridpanel.operators import spatial as SP
 from gridpanel.operators import sweep as SW
 from gridpanel.operators.skew import packed
@@ -91,3 +93,23 @@ def test_copies_of_points_and_polygons_are_compared_once(spark, monkeypatch):
     want = {(i, p, i % 3 == 1) for i in range(60) if i % 3 < 2 for p in range(0, 60, 3)}
     assert {(r["id"], r["poly_id"], r["on"]) for r in found} == want and len(found) == len(want)
     assert seen == [(3, 3)]
+
+
+def test_copies_are_clipped_masked_repaired_and_drawn_once(spark, monkeypatch):
+    seen = []
+    windows, repair, lines = SP.cell_windows, SP._repair_shapes, R.scanline_spans
+    monkeypatch.setattr(SP, "cell_windows", lambda polys, size: seen.append(polys.count()) or windows(polys, size))
+    monkeypatch.setattr(SP, "_repair_shapes", lambda polys: seen.append(polys.count()) or repair(polys))
+    monkeypatch.setattr(R, "scanline_spans", lambda polys, *a: seen.append(polys.count()) or lines(polys, *a))
+    layer = stacked(spark, BOXES, 20)
+    whole = {i: a for i, a in enumerate((140 * 50, 140 * 70, 50 * 70))}
+    clipped = SP.clip_to_cells(layer, ["poly_id"], 100).groupBy("poly_id").agg(F.sum("area").alias("a")).collect()
+    assert {r["poly_id"]: r["a"] for r in clipped} == {i: whole[i % 3] for i in range(60)}
+    boundary = stacked(spark, [(0, 0, 1000, 1000)], 1).select("rings")
+    masked = SP.mask_polygons(layer, boundary, ["poly_id"], 100).groupBy("poly_id").agg(F.sum(GE.polygon_area(F.col("rings"))).alias("a")).collect()
+    assert {r["poly_id"]: round(r["a"], 6) for r in masked} == {i: whole[i % 3] for i in range(60)}
+    fixed = SP.repair_polygons(layer.withColumn("note", F.lit("n")), ["poly_id"]).collect()
+    assert {(r["poly_id"], r["note"], r["status"], r["area_after"]) for r in fixed} == {(i, "n", "accepted", whole[i % 3]) for i in range(60)} and len(fixed) == 60
+    drawn = R.rasterize(layer, 10, "poly_id", "poly_id").groupBy("poly_id").count().collect()
+    assert {r["poly_id"] for r in drawn} == {57, 58, 59}
+    assert max(seen) == len(BOXES)
