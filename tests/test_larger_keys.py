@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gridpanel.catalog import all_queries
 from gridpanel.catalog.views import Views, cut_id
 from gridpanel.operators import compare as CM
+from gridpanel.operators import models as MD
 from tests.conftest import SF
 
 
@@ -42,3 +43,16 @@ def test_a_key_repeated_in_a_patch_is_an_error(spark):
     assert sorted(r["v"] for r in whole.collect()) == [1.0, 3.0, 9.0]
     with pytest.raises(Exception, match="key repeated in the patch: 2"):
         CM.replace_columns(base, spark.createDataFrame([(2, 9.0), (2, 9.0)], "k int, v double"), ["k"], ["v"]).collect()
+
+
+def test_the_annual_cycle_passes_its_gates(spark, wide, monkeypatch):
+    """Cut ids stopped the cycle at the gate on repeated keys."""
+    class Half:
+        out = "hurdle"
+
+        def transform(self, df):
+            return df.withColumn("hurdle", F.lit(0.5))
+
+    monkeypatch.setattr(MD, "fit_hurdles", lambda matrix, models, seed=0: {n: Half() for n in models})
+    told = all_queries()["b6_annual_cycle"](spark, wide).first()
+    assert told["violations"] == 0 and told["rows"] == told["ranked"] == 400

@@ -90,3 +90,43 @@ def test_an_error_of_one_job_is_raised(spark):
     assert MD.side_by_side(spark, []) == []
     with pytest.raises(KeyError):
         MD.side_by_side(spark, [bad, lambda: 1])
+
+
+def test_equal_rows_are_one_row_with_a_weight(spark):
+    """Copies of a table lengthen no fit and change no tree."""
+    # squares leave no two cuts equally good
+    rows = matrix_rows(spark).withColumn("y", F.col("y") * F.col("y"))
+    many = rows.withColumn("id", F.explode(F.array(*[F.col("id") + 400 * i for i in range(5)])))
+    one, five = (MD.FeatureMatrix(df, ["x", "z"], "y", ["id"]) for df in (rows, many))
+    assert one.rows.count() == five.rows.count() == 60
+    assert "not in" not in one.share(SMALL["one"]["share"], 1).toDebugString
+    settings = {part: {**s, "minInstancesPerNode": 30} for part, s in SMALL["one"].items()}
+    wider = {part: {**s, "minInstancesPerNode": 150} for part, s in settings.items()}
+    a = MD.fit_hurdles(one, {"m": settings})["m"].transform(rows).select("id", "m").collect()
+    b = MD.fit_hurdles(five, {"m": wider})["m"].transform(rows).select("id", "m").collect()
+    assert {r["id"]: round(r["m"], 12) for r in a} == {r["id"]: round(r["m"], 12) for r in b}
+
+
+def test_least_rows_of_a_leaf_are_counted_by_weight(spark):
+    matrix = MD.FeatureMatrix(matrix_rows(spark), ["x"], "y", ["id"])
+    parts = lambda least: matrix.occurrence({"maxIter": 1, "maxDepth": 5, "minInstancesPerNode": least}, 1).trees[0].numNodes
+    assert parts(200) == 3 and parts(201) == 1 and parts(500) == 1
+
+
+def test_bins_of_many_values_hold_equal_weight(spark):
+    rows = spark.range(10_000).select((F.col("id") * 1.0).alias("x"), (F.col("id") % 7).cast("double").alias("z"), F.lit(1).alias("w"))
+    bins = MD.feature_bins(rows, ["x", "z"], "w")
+    sizes = [r["count"] for r in bins.transform(rows).groupBy("_bin_x").count().collect()]
+    assert len(sizes) == MD.BINS and max(sizes) - min(sizes) <= 1
+    assert [r["count"] for r in bins.transform(rows).groupBy("_bin_z").count().orderBy("_bin_z").collect()] == [1429] * 4 + [1428] * 3
+
+
+def test_rows_of_the_same_bins_are_scored_once(spark):
+    rows = matrix_rows(spark)
+    matrix = MD.FeatureMatrix(rows, ["x", "z"], "y", ["id"])
+    seen = []
+    told = MD.by_bins(rows, matrix.bins, ["s"], lambda met: seen.append(met.count()) or met.withColumn("s", F.col("x") * 10 + F.col("z")))
+    assert seen == [60] and told.columns == [*rows.columns, "s"]
+    assert told.where("s <=> x * 10 + z").count() == 400
+    with pytest.raises(Exception):
+        MD.fit_hurdles(matrix, {"m": SMALL["one"]})["m"].transform(rows.withColumn("x", F.when(F.col("id") > 0, F.col("x")))).collect()
