@@ -14,6 +14,8 @@ through; outputs replace columns of the same name.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -45,6 +47,8 @@ SURE = 18.0
 KNOWN_TEXTS = 30
 #: Windows scored at once, and words a task remembers before it starts anew.
 SCORED, STORE_WORDS = 2048, 150_000
+#: Words whose n-grams are held at once.
+HELD_WORDS = 4000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -80,6 +84,26 @@ def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(grams), np.concatenate(owners), (whole % np.uint64(BUCKETS)).astype(np.int64)
 
 
+def buckets_by_word(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all n-grams word after word, their number for each word, and each word's own bucket."""
+    parts = []
+    for begin in range(0, max(len(words), 1), HELD_WORDS):
+        some = words[begin : begin + HELD_WORDS]
+        grams, owner, own = gram_buckets(some)
+        # two bytes hold a bucket's number
+        parts.append((grams[np.argsort(owner, kind="stable")].astype(np.uint16), np.bincount(owner, minlength=len(some)), own))
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system, which glibc otherwise keeps for the life of the driver."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def hits_of(documents: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Texts of either kind that each bucket occurs in; a text's buckets are distinct."""
     hits = np.zeros((2, BUCKETS))
@@ -295,8 +319,8 @@ class Scorer:
             self.forget()
         every = [w for text in texts for w in text]
         new = [w for w in dict.fromkeys(every) if w not in self.known]
-        for begin in range(0, len(new), 20_000):
-            some = new[begin : begin + 20_000]
+        for begin in range(0, len(new), HELD_WORDS):
+            some = new[begin : begin + HELD_WORDS]
             x, _ = self.net.inputs(some)
             for s in "fb":
                 self.table[s] = np.concatenate([self.table[s], (x.astype(np.float32) @ self.p[f"in_{s}"] + self.p[f"add_{s}"])])
@@ -372,16 +396,13 @@ def fit(texts: list[str], toxic: list[int], share: float) -> Network:
     number: dict[str, int] = {}
     cut = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
     every = list(number)
-    grams, owner, own = gram_buckets(every)
-    order = np.argsort(owner, kind="stable")
-    grams, counts = grams[order], np.bincount(owner, minlength=len(every))
-    del order, owner
+    grams, counts, own = buckets_by_word(every)
     starts = np.cumsum(counts) - counts
     gram_sets, word_sets = [], []
     for c in cut:
         n = np.unique(c).astype(np.int64)
         gram_sets.append(np.unique(gather(grams, starts[n], counts[n])))
-        word_sets.append(np.unique(own[n]))
+        word_sets.append(np.unique(own[n]).astype(np.uint16))
     often = [hits_of(sets, kind).sum(0) >= KNOWN_TEXTS for sets in (gram_sets, word_sets)]
     net = Network(leanings(gram_sets, kind), leanings(word_sets, kind), share, *often)
     del grams
@@ -398,8 +419,8 @@ def fit(texts: list[str], toxic: list[int], share: float) -> Network:
     leans = []
     for part in nets:
         tops = []
-        for begin in range(0, len(every), 20_000):
-            x, _ = part.inputs(every[begin : begin + 20_000])
+        for begin in range(0, len(every), HELD_WORDS):
+            x, _ = part.inputs(every[begin : begin + HELD_WORDS])
             tops.append(np.maximum(x[:, 0], x[:, 2]))
         leans.append(np.concatenate(tops))
     rng = np.random.default_rng(3)
@@ -448,7 +469,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = SA
     drawn = short.where("toxic = 1").orderBy(*order).limit(rows).union(short.where("toxic = 0").orderBy(*order).limit(rows))
     found = docs.select("doc_id", F.col(text).alias("text")).where(F.octet_length("text") <= max_bytes).join(F.broadcast(drawn), "doc_id")
     picked = found.orderBy(*order, F.xxhash64("text")).limit(2 * rows).select("text", "toxic").collect()
-    return fit([r["text"] for r in picked], [r["toxic"] for r in picked], share)
+    texts, toxic = [r["text"] for r in picked], [r["toxic"] for r in picked]
+    del picked
+    net = fit(texts, toxic, share)
+    del texts, toxic
+    give_back()
+    return net
 
 
 def score(df: DataFrame, net: Network, text: str = "text", out: str = "score") -> DataFrame:
