@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,11 +13,13 @@ from pyspark.sql import types as T
 
 from gridpanel.functions.scalars import band3, parse_radii
 from gridpanel.operators.skew import salted_join
-from gridpanel.session import spread
+from gridpanel.session import materialize, spread
 
 SEGMENTS = 64
 #: Radius of the circle inside the 64-gon, as a share of the outer radius.
 INSCRIBED = math.cos(math.pi / SEGMENTS) * (1 - 1e-12)
+#: Rows of the kernel's arrays held at once, so that they stay in the processor's cache.
+KERNEL_ROWS = 512
 
 
 @F.pandas_udf(T.DoubleType())
@@ -29,8 +31,9 @@ def _disc_rect_area(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Ser
     """
     angle = 2 * math.pi * np.arange(SEGMENTS + 1) / SEGMENTS
     ux, uy = np.cos(angle), np.sin(angle)
-    for px, py, r, x0, y0, x1, y1 in batches:
-        p, q, rad, a, b, c, d = (v.to_numpy()[:, None] for v in (px, py, r, x0, y0, x1, y1))
+
+    def areas(*columns: np.ndarray) -> np.ndarray:
+        p, q, rad, a, b, c, d = (v[:, None] for v in columns)
         vx, vy = p + rad * ux - a, q + rad * uy
         xa, xb, ya, yb = vx[:, :-1], vx[:, 1:], vy[:, :-1], vy[:, 1:]
         width = c - a
@@ -46,18 +49,23 @@ def _disc_rect_area(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Ser
         with np.errstate(divide="ignore", invalid="ignore"):
             mixed = np.where(uh != ul, (primitive(uh) - primitive(ul)) / (uh - ul), np.clip(ul, 0, width))
         mean = np.where(inside, (ul + uh) / 2, np.where((ul <= 0) & (uh <= 0), 0.0, np.where((ul >= width) & (uh >= width), width, mixed)))
-        yield pd.Series(np.maximum(np.sum(mean * (high - low), axis=1), 0.0))
+        return np.maximum(np.sum(mean * (high - low), axis=1), 0.0)
+
+    for batch in batches:
+        columns = [v.to_numpy() for v in batch]
+        parts = [areas(*[v[i : i + KERNEL_ROWS] for v in columns]) for i in range(0, len(columns[0]), KERNEL_ROWS)]
+        yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
 
-def containing_cell(points: DataFrame, cells: DataFrame, size: float, key: str = "event_id") -> DataFrame:
-    """Covering cell of each point; on a shared edge the smallest ``cell_id``."""
+def containing_cell(points: DataFrame, cells: DataFrame, size: float, key: str | Sequence[str] = "event_id") -> DataFrame:
+    """Covering cell of each point, known by one or more columns; on a shared edge the smallest ``cell_id``."""
     fx, fy = F.floor(F.col("x") / size), F.floor(F.col("y") / size)
     xs = F.when(F.col("x") == fx * size, F.array(fx - 1, fx)).otherwise(F.array(fx))
     ys = F.when(F.col("y") == fy * size, F.array(fy - 1, fy)).otherwise(F.array(fy))
     candidates = points.withColumn("ix", F.explode(xs)).withColumn("iy", F.explode(ys))
     grid = cells.select(F.col("ix").cast("bigint").alias("ix"), F.col("iy").cast("bigint").alias("iy"), "cell_id")
     hit = salted_join(candidates, grid, ["ix", "iy"])
-    return hit.groupBy(key).agg(F.min("cell_id").alias("cell_id"))
+    return hit.groupBy(*([key] if isinstance(key, str) else key)).agg(F.min("cell_id").alias("cell_id"))
 
 
 def context_summary(
@@ -87,14 +95,16 @@ def context_summary(
         squared = lambda side: side("x", x0, x1) * side("x", x0, x1) + side("y", y0, y1) * side("y", y0, y1)
         whole = squared(far) <= r * r * INSCRIBED**2
         rim = squares.where(~whole & (squared(near) < r * r))
-        kernel = _disc_rect_area(F.col("x"), F.col("y"), r, x0, y0, x1, y1)
+        # declared so that the filter below is not pushed under it, which would run it twice
+        kernel = _disc_rect_area.asNondeterministic()(F.col("x"), F.col("y"), r, x0, y0, x1, y1)
         weighted = squares.where(whole).withColumn("w", F.lit(float(size * size))).unionByName(rim.withColumn("w", kernel))
     # contact without area leaves rounding dust, far below a square millimetre per square metre
     weighted = weighted.where(F.col("w") > 1e-9 * size * size)
     values = cells.select(
         F.col("ix").cast("bigint").alias("ix"), F.col("iy").cast("bigint").alias("iy"), "cell_id", "estimate", "rank_pct", "history"
     )
-    met = salted_join(weighted, values, ["ix", "iy"])
+    # squares are counted before the kernel, which would run once more for the count
+    met = salted_join(weighted, values, ["ix", "iy"], key_counts=squares.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("_n")))
     w = F.col("w")
     mean = lambda c: F.sum(w * F.col(c)) / F.sum(w)
     # at most (2r/size + 2)^2 cells per point, so the id list is bounded by the largest legal radius
@@ -123,18 +133,19 @@ def lookup_job(
     """Status 200, 404 or 422 and the response of every request row.
 
     ``requests(key, x, y, buffers_km)``; the contexts of a request arrive as one array
-    in radius order (a request names a few radii only).
+    in radius order (a request names a few radii only). A response hangs on the place and
+    the radii alone: each distinct pair is answered once, and its requests meet the answer in one join.
     """
     radii, error = parse_radii(F.col("buffers_km"))
     parsed = requests.withColumns({"radii": radii, "error": error})
-    valid = parsed.where(F.col("error").isNull())
-    located = containing_cell(valid, cells, size, key)
-    found = salted_join(valid.join(located, key), cells.select("cell_id", "estimate", "rank_pct", "history"), ["cell_id"])
-    asked = found.select(key, "x", "y", F.explode("radii").alias("radius_km"))
-    spots = asked.groupBy("x", "y", "radius_km").agg(F.count(F.lit(1)).alias("_n"))
+    ask = ["x", "y", "radii"]
+    asked = materialize(parsed.where(F.col("error").isNull()).groupBy(*ask).agg(F.count(F.lit(1)).alias("_n")))
+    located = containing_cell(asked.select("x", "y").distinct(), cells, size, ["x", "y"])
+    scored = salted_join(located, cells.select("cell_id", "estimate", "rank_pct", "history"), ["cell_id"])
+    found = materialize(asked.select(*ask).join(scored, ["x", "y"]))
+    spots = found.select("x", "y", F.explode("radii").alias("radius_km"), "radii")
     context = context_summary(spots, cells, size, square=square)
-    answered = salted_join(asked, context, ["x", "y", "radius_km"], key_counts=spots)
-    packed = answered.groupBy(key).agg(
+    packed = spots.join(context, ["x", "y", "radius_km"]).groupBy(*ask).agg(
         F.array_sort(
             F.collect_list(
                 F.struct(
@@ -144,8 +155,8 @@ def lookup_job(
             )
         ).alias("contexts")
     )
-    body = found.drop("x", "y", "buffers_km", "radii", "error").withColumn("band", band3(F.col("rank_pct"))["label"])
-    rows = parsed.join(body, key, "left").join(packed, key, "left")
+    body = found.withColumn("band", band3(F.col("rank_pct"))["label"])
+    rows = salted_join(parsed, body.join(packed, ask, "left"), ask, "left", key_counts=asked)
     status = F.when(F.col("error").isNotNull(), 422).when(F.col("cell_id").isNull(), 404).otherwise(200)
     return rows.select(
         key, "x", "y", status.alias("status"), "error", "cell_id", "estimate", "rank_pct", "band", "history", "contexts"

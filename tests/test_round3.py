@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridpanel.operators import grid as G
+from gridpanel.operators import lookup as L
 from gridpanel.operators import metrics as M
 from gridpanel.functions import geometry as GE
 from gridpanel.operators import raster as R
@@ -113,3 +114,35 @@ def test_copies_are_clipped_masked_repaired_and_drawn_once(spark, monkeypatch):
     drawn = R.rasterize(layer, 10, "poly_id", "poly_id").groupBy("poly_id").count().collect()
     assert {r["poly_id"] for r in drawn} == {57, 58, 59}
     assert max(seen) == len(BOXES)
+
+
+def test_copies_of_a_request_are_answered_once(spark, monkeypatch):
+    cells = spark.range(100).select(
+        F.format_string("C%03d", "id").alias("cell_id"), (F.col("id") % 10).cast("int").alias("ix"), F.floor(F.col("id") / 10).cast("int").alias("iy"),
+        (F.col("id") / 100).alias("estimate"), (F.col("id") / 100).alias("rank_pct"), F.col("id").cast("double").alias("history"),
+    )
+    asked = [(5500.5, 5500.5, "1,3"), (5500.5, 5500.5, "1"), (2000.0, 300.0, "1"), (99000.0, 5.0, "1"), (10.0, 10.0, "x"), (None, 10.0, "1")]
+    requests = spark.createDataFrame([(i * 6 + j, *a) for i in range(20) for j, a in enumerate(asked)], "event_id long, x double, y double, buffers_km string")
+    seen = []
+    placed = L.containing_cell
+    monkeypatch.setattr(L, "containing_cell", lambda points, *rest: seen.append(points.count()) or placed(points, *rest))
+    rows = L.lookup_job(requests, cells, 1000).orderBy("event_id").collect()
+    assert seen == [4]
+    assert [r["status"] for r in rows] == [200, 200, 200, 404, 422, 404] * 20
+    assert [len(r["contexts"] or []) for r in rows] == [2, 1, 1, 0, 0, 0] * 20
+    assert len({str(r["contexts"]) for r in rows if r["event_id"] % 6 == 0}) == 1
+    assert [r["cell_id"] for r in rows[:3]] == ["C055", "C055", "C001"]
+
+
+def test_the_kernel_runs_once_for_a_context(spark):
+    """Counting crowded squares used to run it a second time."""
+    cells = spark.createDataFrame([("A", 0, 0, 1.0, 0.5, 2.0)], "cell_id string, ix int, iy int, estimate double, rank_pct double, history double")
+    runs = spark.sparkContext.accumulator(0)
+    area = F.pandas_udf(lambda px, py, r, a, b, c, d: (runs.add(1), px * 0 + 1.0)[1], "double")
+    kept, L._disc_rect_area = L._disc_rect_area, area
+    try:
+        points = spark.createDataFrame([(500.0, 500.0, 0.6)], "x double, y double, radius_km double").coalesce(1)
+        assert len(L.context_summary(points, cells, 1000).collect()) == 1
+    finally:
+        L._disc_rect_area = kept
+    assert runs.value == 1
