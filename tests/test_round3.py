@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridpanel.operators import grid as G
 from gridpanel.operators import lookup as L
 from gridpanel.operators import metrics as M
+from gridpanel.operators import nearest as N
 from gridpanel.functions import geometry as GE
 from gridpanel.operators import raster as R
 from gridpanel.operators import spatial as SP
@@ -146,3 +147,34 @@ def test_the_kernel_runs_once_for_a_context(spark):
     finally:
         L._disc_rect_area = kept
     assert runs.value == 1
+
+
+def test_far_points_keep_a_handful_of_boxes(spark, monkeypatch):
+    """Far away the corners of boxes side by side are almost equally far; a point then kept the whole row of boxes."""
+    rng = np.random.default_rng(4)
+    sources = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 10_000, (3000, 2)))]
+    sources += [(i + 5000, x, y) for i, x, y in sources]
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 10_000, (50, 2)) + [[0, 5_000_000]])]
+    points += [(99, 5000.0, 5000.0), (100, 5000.0, 5000.0), (101, -70_000.0, 3000.0)]
+    table, asked = spark.createDataFrame(sources, "sid int, sx double, sy double"), spark.createDataFrame(points, "pid int, px double, py double")
+    seen = []
+    meet = N._meet_boxes
+    monkeypatch.setattr(N, "_meet_boxes", lambda frontier, *rest: seen.append(frontier) or meet(frontier, *rest))
+    s = np.array(sources)
+    for k in (1, 2, 5):
+        seen.clear()
+        got = {}
+        for r in N.knn(asked, table, k, per_box=8).collect():
+            got.setdefault(r["pid"], []).append((r["rank"], r["sid"], r["distance"]))
+        for pid, x, y in points:
+            d2 = (s[:, 1] - x) ** 2 + (s[:, 2] - y) ** 2
+            best = np.lexsort((s[:, 0], d2))[:k]
+            assert sorted(got[pid]) == [(n + 1, int(s[i, 0]), float(np.sqrt(d2[i]))) for n, i in enumerate(best)]
+        assert seen[-1].groupBy("px", "py").count().agg(F.max("count")).first()[0] <= 12
+
+
+def test_nearest_of_fewer_sources_than_asked_for(spark):
+    sources = spark.createDataFrame([(1, 0.0, 0.0), (2, 9.0, 9.0), (3, 9.0, 0.0)], "sid int, sx double, sy double")
+    points = spark.createDataFrame([(1, 100.0, 1.0)], "pid int, px double, py double")
+    assert [r["sid"] for r in N.knn(points, sources, 2, per_box=1).orderBy("rank").collect()] == [3, 2]
+    assert [r["sid"] for r in N.knn(points, sources, 5, per_box=1).orderBy("rank").collect()] == [3, 2, 1]
