@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,30 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         yield batch.slice(begin)
 
 
+def trim() -> None:
+    """Hand freed memory back to the system, which Arrow and glibc otherwise keep for the life of the process."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def give_back() -> None:
+    """As :func:`trim`, after objects that refer to each other were let go."""
+    gc.collect()
+    trim()
+
+
+def handing_back(read: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``read`` for ``mapInArrow``; at a task's end its memory goes back, as Spark keeps idle Python workers beside later stages."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from read(batches)
+        trim()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gridpanel.llm.arrowtext import filled, flat, slices
+from gridpanel.llm.arrowtext import filled, flat, handing_back, slices
 
 #: Bytes of text encoded at once; a longer text is encoded alone. The words of a slice cost some hundred times as much.
 SLICE_BYTES = 1 << 19
@@ -225,7 +225,7 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
             for part in slices(batch, text, SLICE_BYTES):
                 yield _encoded(encoder, part, text)
 
-    return df.mapInArrow(encode, _replaced(df.schema, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())))
+    return df.mapInArrow(handing_back(encode), _replaced(df.schema, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())))
 
 
 def bpe_decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -237,7 +237,7 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
             for part in slices(batch, ids, SLICE_BYTES):
                 yield _decoded(shared.value, part, ids, out)
 
-    return df.mapInArrow(decode, _replaced(df.schema, T.StructField(out, T.StringType())))
+    return df.mapInArrow(handing_back(decode), _replaced(df.schema, T.StructField(out, T.StringType())))
 
 
 def bpe_codec(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "decoded") -> DataFrame:
@@ -251,7 +251,7 @@ def bpe_codec(df: DataFrame, path: str, pattern: str, text: str = "text", out: s
                 yield _decoded(shared.value, _encoded(encoder, part, text), "ids", out)
 
     added = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField(out, T.StringType())]
-    return df.mapInArrow(both, _replaced(df.schema, *added))
+    return df.mapInArrow(handing_back(both), _replaced(df.schema, *added))
 
 
 def ranks_of(path: str) -> dict[bytes, int]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridpanel.llm.arrowtext import WORD_BYTE, RangeHash, byte_codes, filled, flat, mix, runs, slices
+from gridpanel.llm.arrowtext import WORD_BYTE, RangeHash, byte_codes, filled, flat, handing_back, mix, runs, slices
 from gridpanel.llm.components import JOIN, connected_components, kept
 from gridpanel.session import written
 
@@ -108,7 +108,7 @@ def fixed_table(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None
         yield pa.RecordBatch.from_pydict({"piece": pa.array(list(held), pa.int32()), "data": pa.array([v.tobytes() for v in held.values()], pa.binary())})
 
     schema = "piece int, data binary"
-    rows = df.mapInArrow(partial, schema).repartition(pieces, "piece").mapInArrow(total, schema).collect()
+    rows = df.mapInArrow(handing_back(partial), schema).repartition(pieces, "piece").mapInArrow(handing_back(total), schema).collect()
     found = {r["piece"]: np.frombuffer(bytes(r["data"]), dtype) for r in rows}
     return np.concatenate([found.get(i, np.zeros(len(c), dtype)) for i, c in enumerate(np.array_split(np.zeros(size, dtype), pieces))])
 
@@ -177,7 +177,7 @@ def index(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 } | {name: pa.array(maps[:, i]) for i, name in enumerate(_MAP)})
 
     schema = "doc_id long, n long, sig_a long, sig_b long, prefix array<long>, parts array<int>, " + ", ".join(f"{m} long" for m in _MAP)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(handing_back(read), schema)
 
 
 def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +213,7 @@ def shared_shingles(found: DataFrame, classes: DataFrame) -> DataFrame:
             row = pa.array(who[keep])
             yield pa.RecordBatch.from_pydict({"h": pa.array(h[keep]), "sig": batch.column("sig_a").take(row), "id": batch.column("doc_id").take(row), "n": batch.column("n").take(row).cast(pa.int32()), "pos": pa.array(pos[keep], pa.int32())})
 
-    thinned = rows.select("doc_id", "sig_a", "n", "prefix").mapInArrow(thin, "h long, sig long, id long, n int, pos int")
+    thinned = rows.select("doc_id", "sig_a", "n", "prefix").mapInArrow(handing_back(thin), "h long, sig long, id long, n int, pos int")
     # of equal sets only the one that stands for their class
     return thinned.join(classes.select(F.col("sig_a").alias("sig"), "id"), ["id", "sig"], "left_semi").select("h", "sig", "id", "n", "pos")
 
@@ -242,7 +242,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"id": part.column("id"), "sig_a": part.column("sig_a"), "own": pa.array(sig), "set": _lists(h.view(np.int64), n, pa.int64())})
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if small else ids, "id").select("id", "sig_a", "text")
-    return wanted.mapInArrow(read, "id long, sig_a long, own long, set array<long>").where("own = sig_a").select("id", "sig_a", "set")
+    return wanted.mapInArrow(handing_back(read), "id long, sig_a long, own long, set array<long>").where("own = sig_a").select("id", "sig_a", "set")
 
 
 def _near(n: str, m: str, pos: str, at: str) -> Column:

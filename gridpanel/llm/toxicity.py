@@ -14,8 +14,6 @@ through; outputs replace columns of the same name.
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridpanel.llm.arrowtext import filled, slices
+from gridpanel.llm.arrowtext import filled, give_back, handing_back, slices
 from gridpanel.llm.bpe import gather
 
 #: Labelled rows of each kind that are fitted on at most, and the longest text among them in bytes.
@@ -95,15 +93,6 @@ def buckets_by_word(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return tuple(np.concatenate(p) for p in zip(*parts))
 
 
-def give_back() -> None:
-    """Hand freed memory back to the system, which glibc otherwise keeps for the life of the driver."""
-    gc.collect()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def hits_of(documents: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Texts of either kind that each bucket occurs in; a text's buckets are distinct."""
     hits = np.zeros((2, BUCKETS))
@@ -491,4 +480,4 @@ def score(df: DataFrame, net: Network, text: str = "text", out: str = "score") -
                 yield pa.RecordBatch.from_pydict(kept | {out: pa.array(values, pa.float64())})
 
     fields = [f for f in df.schema.fields if f.name != out]
-    return df.mapInArrow(read, T.StructType([*fields, T.StructField(out, T.DoubleType())]))
+    return df.mapInArrow(handing_back(read), T.StructType([*fields, T.StructField(out, T.DoubleType())]))
