@@ -247,15 +247,21 @@ def gate_screening_layer(df: DataFrame, first: int, last: int) -> DataFrame:
     )
 
 
-def gate_national(df: DataFrame, climate: Sequence[str], others: Sequence[str], cell: str, year: str) -> DataFrame:
-    """Climate is null for all columns or none, for the same cells every year; nothing else is null."""
+def gate_national(
+    df: DataFrame, climate: Sequence[str], others: Sequence[str], cell: str, year: str, mask_by: Column | None = None
+) -> DataFrame:
+    """Climate is null for all columns or none, for the same cells every year; nothing else is null.
+
+    ``mask_by`` is the id whose mask must not move, ``cell`` itself if it is not given.
+    """
     rules = {"joint_climate_mask": joint_null_rule(climate)}
     rules |= {f"null_{c}": F.col(c).isNull() for c in others}
     masked = F.col(climate[0]).isNull()
     # a cell masked in some of its years only is unstable
-    moving = df.groupBy(cell).agg(F.count_if(masked).alias("m"), F.count(F.lit(1)).alias("n")).where("m > 0 AND m < n")
+    place = (F.col(cell) if mask_by is None else mask_by).cast("string")
+    moving = df.groupBy(place.alias("key")).agg(F.count_if(masked).alias("m"), F.count(F.lit(1)).alias("n")).where("m > 0 AND m < n")
     unstable = moving.select(
-        F.lit("moving_mask").alias("gate"), F.col(cell).cast("string").alias("key"),
+        F.lit("moving_mask").alias("gate"), "key",
         F.concat_ws(" of ", F.col("m").cast("string"), F.col("n").cast("string")).alias("detail"),
     )
     return all_violations([run_gates(df, rules, cell), unstable, unique_gate(df, [cell, year])])
