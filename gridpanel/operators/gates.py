@@ -267,7 +267,9 @@ def gate_national(
     return all_violations([run_gates(df, rules, cell), unstable, unique_gate(df, [cell, year])])
 
 
-def gate_national_panel(df: DataFrame, contract: PanelContract, design: TimeDesign, expected: DataFrame) -> DataFrame:
+def gate_national_panel(
+    df: DataFrame, contract: PanelContract, design: TimeDesign, expected: DataFrame, mask_by: Column | None = None
+) -> DataFrame:
     """The panel gate per year, the stored order by year and cell, and the same climate mask in every year.
 
     All row rules of all years are one aggregate; schema, keys and the expected set are as in :func:`gate_panel`.
@@ -282,7 +284,7 @@ def gate_national_panel(df: DataFrame, contract: PanelContract, design: TimeDesi
     rules |= {n: r for n, r in _range_rules(contract, climate, contract.tolerance).items() if not n.startswith("null_")}
     parts = [run_gates_by(df, rules, contract.cell, contract.year), ordering_gate(df, [contract.year, contract.cell]), key_set_gate(expected, df, contract.key)]
     if climate:
-        parts.append(gate_national(df, climate, [], contract.cell, contract.year))
+        parts.append(gate_national(df, climate, [], contract.cell, contract.year, mask_by))
     return all_violations(parts)
 
 
