@@ -143,12 +143,12 @@ def write_if_changed(df: DataFrame, path: str, component: str) -> bool:
     return True
 
 
-def with_geometry(table: DataFrame, cells: DataFrame, size: float, key: str = "cell_id") -> DataFrame:
-    """Attributes with the square of each cell as ring and WKT; every row must find its cell."""
+def with_geometry(table: DataFrame, cells: DataFrame, size: float, key: str = "cell_id", fields: Sequence[str] = ()) -> DataFrame:
+    """Attributes with the ``fields`` and the square of each cell as ring and WKT; every row must find its cell."""
     x0, y0 = F.col("x0").cast("double"), F.col("y0").cast("double")
     p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     ring = F.array(p(x0, y0), p(x0 + size, y0), p(x0 + size, y0 + size), p(x0, y0 + size), p(x0, y0))
-    shapes = cells.select(key, F.array(ring).alias("rings"))
+    shapes = cells.select(key, *fields, F.array(ring).alias("rings"))
     joined = table.join(shapes, key, "left")
     placed = F.when(F.col("rings").isNotNull(), True).otherwise(F.raise_error(F.lit("row has no cell geometry")))
     return joined.where(placed).withColumn("wkt", to_wkt(F.col("rings")))
@@ -194,12 +194,15 @@ def write_report_tables(tables: Mapping[str, DataFrame], path: str, max_rows: in
         df.coalesce(1).write.mode("error").option("header", True).csv(f"{path}/{name}")
 
 
-def year_snapshot(panel: DataFrame, cells: DataFrame, affected: DataFrame, year: int, size: float) -> DataFrame:
-    """One year of the panel with the assignment flag and cell geometry."""
+def year_snapshot(panel: DataFrame, cells: DataFrame, affected: DataFrame, year: int, size: float, key: str = "cell_id") -> DataFrame:
+    """One year of the panel with the assignment flag and cell geometry.
+
+    ``key`` tells cells apart in ``cells`` and ``affected``; a row gets flag and square of every cell of its ``cell_id``.
+    """
     one = panel.where(F.col("observation_year") == year)
-    flagged = one.join(affected.select("cell_id").distinct().withColumn("_f", F.lit(True)), "cell_id", "left")
+    flagged = cells.join(affected.select(key).distinct().withColumn("_f", F.lit(True)), key, "left")
     flag = F.when(F.col("_f"), "nearest_valid_source").otherwise("containing_source")
-    return with_geometry(flagged.withColumn("assignment_method", flag).drop("_f"), cells, size)
+    return with_geometry(one, flagged.withColumn("assignment_method", flag).drop("_f"), size, fields=["assignment_method"])
 
 
 PUBLIC_FIELDS = ("cell_id", "forecast_year", "estimate", "rank_pct", "band_code", "band_label")
