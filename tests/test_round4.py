@@ -10,6 +10,7 @@ from tests.conftest import SF
 from tools.check import TABLES, compare
 
 QUERIES = [
+    "p2_tile_key",
     "k5_publish_with_geometry",
     "k1_write_panel",
     "k12_year_snapshot",
