@@ -6,6 +6,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from gridpanel.catalog.models_lookup import FEATURES, KEY
+from gridpanel.catalog.views import Views
+from gridpanel.operators import models as MD
 from tests.conftest import SF
 from tools.check import TABLES, compare
 
@@ -53,3 +56,26 @@ def test_cells_that_share_a_cut_id(spark, long_keys, name):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{long_keys}/{table}.parquet{there}')")
     ok, detail = compare(spark, con, name, queries()[name], oracle_sql()[name], long_keys)
     assert ok, detail
+
+
+def test_the_panel_is_never_broadcast(spark):
+    plan = Views(spark, SF).panel()._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 4
+
+
+def test_candidates_meet_the_bins_once(spark, monkeypatch):
+    """Every candidate used to bin, group and join the combinations again, each with a broadcast of its own."""
+    rows = spark.range(400).select(
+        F.col("id").cast("string").alias("cell_id"), F.lit(1998).alias("observation_year"), (F.col("id") % 7).alias("n_items"),
+        (F.col("id") % 5).alias("size"), (F.col("id") % 11).alias("price"), (F.col("id") % 3).alias("events"),
+        F.when(F.col("id") % 4 == 0, (F.col("id") % 9 + 1) / 10).otherwise(0.0).alias("target"),
+    )
+    settings = {"occurrence": {"maxIter": 2, "minInstancesPerNode": 2}, "share": {"maxIter": 2, "minInstancesPerNode": 2}}
+    other = {part: {**s, "maxIter": 3} for part, s in settings.items()}
+    called = []
+    once = MD.by_bins
+    monkeypatch.setattr(MD, "by_bins", lambda *args: called.append(1) or once(*args))
+    found = MD.compare_candidates(rows, rows, FEATURES, "target", KEY, "observation_year", {"a": settings, "b": other, "c": settings})
+    scores = {(r["cell_id"], r["model"]): r["score"] for r in found.collect()}
+    assert called == [1] and len(scores) == 1200
+    assert all(scores[str(i), "a"] == scores[str(i), "c"] for i in range(400)) and any(scores[str(i), "a"] != scores[str(i), "b"] for i in range(400))
