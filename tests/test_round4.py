@@ -79,3 +79,7 @@ def test_candidates_meet_the_bins_once(spark, monkeypatch):
     scores = {(r["cell_id"], r["model"]): r["score"] for r in found.collect()}
     assert called == [1] and len(scores) == 1200
     assert all(scores[str(i), "a"] == scores[str(i), "c"] for i in range(400)) and any(scores[str(i), "a"] != scores[str(i), "b"] for i in range(400))
+
+
+def test_the_cells_of_the_climate_grid_are_never_broadcast(spark):
+    assert "Broadcast" not in Views(spark, SF).clim()._jdf.queryExecution().executedPlan().toString()
